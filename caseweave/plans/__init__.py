@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph"]
+MODULES = ["graph", "detectors"]
 
 
 def load_all() -> None:
