@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors"]
+MODULES = ["graph", "detectors", "windows", "joins"]
 
 
 def load_all() -> None:

@@ -509,7 +509,7 @@ def smuggled_docs(d):
     return """
     SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN text || '‮⁦' WHEN 1 THEN '​' || text || '⁠'
              WHEN 2 THEN text || '\U000e0041\U000e0042\U000e007f' WHEN 3 THEN text || '️\U000e0101' WHEN 4 THEN '' || text
-             WHEN 5 THEN text || 'ае Α' WHEN 6 THEN text || '⁫' ELSE text END AS text
+             WHEN 5 THEN text || 'ае Α' WHEN 6 THEN text || '⁫' WHEN 7 THEN text || ' ﬁle pаypal' ELSE text END AS text
     FROM {documents}"""
 
 
