@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors", "windows", "joins"]
+MODULES = ["graph", "detectors", "windows", "joins", "statistics"]
 
 
 def load_all() -> None:
