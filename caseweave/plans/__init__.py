@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors", "windows", "joins", "statistics"]
+MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates"]
 
 
 def load_all() -> None:
