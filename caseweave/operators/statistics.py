@@ -96,8 +96,8 @@ def directions(vectors: DataFrame) -> DataFrame:
         (F.avg(F.when(F.col("positive"), x)) - F.avg(F.when(~F.col("positive"), x))).alias("delta"))
     raw = means.groupBy("depth").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("dim", "delta"))), lambda s: s["delta"]).alias("raw"))
-    n = norm(F.col("raw"))
-    return raw.select("depth", F.transform("raw", lambda v: v / (n + 1e-12)).alias("direction"), n.alias("raw_norm"))
+    raw = raw.withColumn("raw_norm", norm(F.col("raw")))
+    return raw.select("depth", F.transform("raw", lambda v: v / (F.col("raw_norm") + 1e-12)).alias("direction"), "raw_norm")
 
 
 def projections(vectors: DataFrame, dirs: DataFrame) -> DataFrame:

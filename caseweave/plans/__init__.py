@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates"]
+MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates", "feeds", "text"]
 
 
 def load_all() -> None:

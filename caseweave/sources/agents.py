@@ -123,24 +123,13 @@ def card_fields(cards: DataFrame) -> DataFrame:
                         part("extensions").alias("extensions_sha256"))
 
 
-def body_objects(bodies: DataFrame, max_depth: int = 8) -> DataFrame:
+def body_objects(bodies: DataFrame) -> DataFrame:
     """Message, artifact and task objects at any depth of a body, with their JSON path.
 
-    ``bodies``: exchange_id, direction, raw.  One union branch per nesting level:
-    each level explodes the children of the previous one.
+    ``bodies``: exchange_id, direction, raw.
     """
-    level = bodies.select("exchange_id", "direction", F.lit("$").alias("path"), V.parse("raw").alias("v")).filter("v IS NOT NULL")
-    levels = []
-    for _ in range(max_depth + 1):
-        levels.append(level)
-        members = F.transform(F.map_entries(V.fields(F.col("v"))), lambda e: F.struct(
-            F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
-        elements = F.transform(V.items(F.col("v")), lambda x, i: F.struct(
-            F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
-        children = F.coalesce(members, elements)
-        level = level.select("exchange_id", "direction", F.explode(F.filter(children, lambda c: V.kind(c["v"]).isin("object", "array"))).alias("c")).select(
-            "exchange_id", "direction", "c.path", "c.v")
-    x = union_all(levels)
+    x = V.walk(bodies.select("exchange_id", "direction", V.parse("raw").alias("doc")), ["exchange_id", "direction"], F.col("doc"), indexed=True)
+    x = x.filter(V.kind(F.col("v")) == "object")
     v = F.col("v")
     t = lambda p: V.text(v, p)
     has = lambda p: V.at(v, p).isNotNull() & ~F.coalesce(F.is_variant_null(V.at(v, p)), F.lit(True))

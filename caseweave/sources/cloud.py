@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import quote_numbers
 from . import variants as V
 
 # Field names per provider, in order of preference.
@@ -277,26 +278,31 @@ def result_cells(docs: DataFrame, lossless: bool = False) -> DataFrame:
     never converts through a double.
     """
     doc = F.col("doc")
-    d = docs.withColumn("doc", V.parse("raw"))
+    # VARIANT rewrites numbers (1e-29 becomes 1.0E-29); reading the cells as
+    # strings, numbers quoted first, keeps the exact text for the lossless profile.
+    exact = F.from_json(quote_numbers("raw"), "tables array<struct<rows:array<array<string>>>>") if lossless else F.lit(None).cast(
+        "struct<tables:array<struct<rows:array<array<string>>>>>")
+    d = docs.withColumns({"doc": V.parse("raw"), "exact": exact})
     partial = V.text(doc, "$.error.code") == "PartialError"
-    t = d.select("source_id", F.when(partial, "PARTIAL").otherwise("NO_ERROR_RECORDED").alias("response_state"),
+    t = d.select("source_id", "exact", F.when(partial, "PARTIAL").otherwise("NO_ERROR_RECORDED").alias("response_state"),
                  F.posexplode(V.items(doc, "$.tables")).alias("tpos", "table"))
     t = t.withColumns({"columns": V.at(F.col("table"), "$.columns", "array<struct<name:string,type:string>>"),
                        "table_name": V.text(F.col("table"), "$.name"), "rows": V.items(F.col("table"), "$.rows"),
-                       "columns_json": F.to_json(V.at(F.col("table"), "$.columns"))})
-    r = t.select("source_id", "response_state", "tpos", "table_name", "columns", "columns_json", F.posexplode("rows").alias("rpos", "row"))
-    r = r.withColumns({"cells": V.items(F.col("row")), "row_json": F.to_json("row")})
+                       "columns_json": F.to_json(V.at(F.col("table"), "$.columns")),
+                       "exact_rows": F.get("exact.tables", F.col("tpos"))["rows"]})
+    r = t.select("source_id", "response_state", "tpos", "table_name", "columns", "columns_json", "exact_rows", F.posexplode("rows").alias("rpos", "row"))
+    r = r.withColumns({"cells": V.items(F.col("row")), "row_json": F.to_json("row"), "tokens": F.get("exact_rows", F.col("rpos"))})
     width_ok = F.size("cells") == F.size("columns")
     c = r.select("source_id", "response_state", (F.col("tpos") + 1).alias("table_ordinal"), "table_name", (F.col("rpos") + 1).alias("row_ordinal"),
                  F.sha2("row_json", 256).alias("row_sha256"),
                  F.sha2(F.concat(F.lit('{"columns":'), "columns_json", F.lit(',"row":'), "row_json", F.lit("}")), 256).alias("binding_sha256"),
-                 width_ok.alias("width_ok"), F.posexplode(F.arrays_zip("columns", "cells")).alias("cpos", "z"))
+                 width_ok.alias("width_ok"), "tokens", F.posexplode(F.arrays_zip("columns", "cells")).alias("cpos", "z"))
     x, kind = F.col("z.cells"), F.col("z.columns.type")
     null = x.isNull() | F.coalesce(F.is_variant_null(x), F.lit(False))
     jk = F.coalesce(V.kind(x), F.lit("null"))
     txt = F.to_json(x)
     s = F.when(jk == "string", V.at(x, "$", "string"))
-    number = F.when(jk == "number", txt).when(F.lit(lossless) & (jk == "string"), s)
+    number = F.when(jk == "number", F.coalesce(F.get("tokens", F.col("cpos")), txt)).when(F.lit(lossless) & (jk == "string"), s)
     is_num = number.rlike(JSON_NUMBER)
     integer = number.rlike(r"^-?(?:0|[1-9]\d*)$")
     in_int = integer & F.coalesce((number.try_cast("int")).isNotNull(), F.lit(False))
@@ -316,7 +322,7 @@ def result_cells(docs: DataFrame, lossless: bool = False) -> DataFrame:
         F.col("z.columns.name").alias("column_name"), kind.alias("type"), "row_sha256", "binding_sha256",
         F.when(null, "null").otherwise("present").alias("state"), jk.alias("json_kind"), F.sha2(F.coalesce(txt, F.lit("null")), 256).alias("sha256"),
         F.when((kind == "bool") & (jk == "boolean"), V.at(x, "$", "boolean")).alias("v_bool"),
-        F.when(kind.isin("int", "long") & in_long, number.try_cast("bigint")).alias("v_long"),
+        F.when(((kind == "int") & in_int) | ((kind == "long") & in_long), number.try_cast("bigint")).alias("v_long"),
         F.when((kind == "real") & real_ok, real).alias("v_double"),
         F.when(kind.isin("int", "long", "real", "decimal") & is_num, number).alias("numeric_text"),
         F.when(kind == "datetime", s).alias("datetime_text"), reject.alias("reject"))

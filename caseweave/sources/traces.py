@@ -44,7 +44,8 @@ def any_value(v: Column) -> Column:
 def attributes(v: Column) -> tuple[Column, Column]:
     """Attribute map of a span or log (array of key/value or object), and whether a key repeats."""
     pairs = V.items(v)
-    entries = F.transform(pairs, lambda p: F.struct(V.at(p, "$.key", "string").alias("key"), any_value(V.at(p, "$.value")).alias("value")))
+    entries = F.transform(pairs, lambda p: F.named_struct(
+        F.lit("key"), V.at(p, "$.key", "string"), F.lit("value"), any_value(V.at(p, "$.value"))))
     keys = F.transform(entries, lambda e: e["key"])
     repeated = (F.size(keys) != F.size(F.array_distinct(keys))) | F.exists(keys, lambda k: k.isNull())
     as_object = F.transform_values(V.fields(v), lambda k, x: any_value(x))

@@ -65,3 +65,28 @@ def tri_state(members: Column, name: str) -> Column:
     null = F.coalesce(F.is_variant_null(x), F.lit(False))
     return F.struct(F.when(~has, "absent").when(null, "null").otherwise("present").alias("state"),
                     F.when(has, digest(x)).alias("sha256"))
+
+
+MAX_DEPTH = 32  # nesting beyond this is outside the document profiles
+
+
+def walk(df, keep: list[str], doc: Column, indexed: bool, max_depth: int = MAX_DEPTH):
+    """Every node of a document in one pass: ``keep``, path, v.
+
+    Each level is one projection over the level above, held as an array inside
+    the record's own row, so nothing is shuffled or parsed twice.  Array
+    positions are part of the path only when ``indexed``.
+    """
+    def children(node):
+        members = F.transform(F.map_entries(fields(node["v"])), lambda e: F.named_struct(
+            F.lit("path"), F.concat(node["path"], F.lit("."), e["key"]), F.lit("v"), e["value"]))
+        spot = (lambda i: F.concat(node["path"], F.lit("["), i.cast("string"), F.lit("]"))) if indexed else (
+            lambda i: F.concat(node["path"], F.lit("[]")))
+        elements = F.transform(items(node["v"]), lambda x, i: F.named_struct(F.lit("path"), spot(i), F.lit("v"), x))
+        return F.coalesce(members, elements)
+
+    level = df.withColumn("__l0", F.array(F.named_struct(F.lit("path"), F.lit("$"), F.lit("v"), doc))).filter(doc.isNotNull())
+    for d in range(max_depth):
+        level = level.withColumn(f"__l{d + 1}", F.flatten(F.transform(f"__l{d}", children)))
+    nodes = F.concat(*[F.col(f"__l{d}") for d in range(max_depth + 1)])
+    return level.select(*keep, F.explode(nodes).alias("__n")).select(*keep, "__n.path", "__n.v")
