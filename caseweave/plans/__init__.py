@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates", "feeds", "text"]
+MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates", "feeds", "text", "verification", "exports"]
 
 
 def load_all() -> None:
