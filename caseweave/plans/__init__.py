@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates", "feeds", "text", "verification", "exports"]
+MODULES = ["graph", "detectors", "windows", "joins", "statistics", "gates", "feeds", "text", "verification",
+           "exports", "live"]
 
 
 def load_all() -> None:
