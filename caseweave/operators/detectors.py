@@ -16,7 +16,11 @@ from ..functions.scalars import (blank, contains_any, entropy, hostname, origin,
                                  truthy)
 from ..schema import EVENT_TYPES, Rule, as_findings, detect, ensure, union_all
 
-NEVER = F.lit(False)
+
+
+def never() -> Column:
+    return F.lit(False)
+
 
 # Fixed values.
 EVENT_SCHEMA = r"^[a-z0-9-]+/agentic-event/v(?:0\.9|1\.1)$"
@@ -75,7 +79,7 @@ VERDICT_MAX_NOTES = 4000
 
 def outside(value: Column, allowed: list | None) -> Column:
     """Value not in a non-empty allow-list; a missing value is outside too."""
-    return ~F.coalesce(value.isin(list(allowed)), F.lit(False)) if allowed else NEVER
+    return ~F.coalesce(value.isin(list(allowed)), F.lit(False)) if allowed else never()
 
 
 def event_validation(events: DataFrame) -> DataFrame:
@@ -99,7 +103,7 @@ def model_routing(events: DataFrame, policy: dict) -> DataFrame:
         rank = F.coalesce(F.array_position(F.lit(order), F.col("safety_profile")), F.lit(0)) - 1
         below = rank < F.lit(order.index(minimum) if minimum in order else 999)
     else:
-        below = NEVER
+        below = never()
     pinned = policy.get("router_policy_sha256")
     return detect(e, "model_routing", [
         Rule("unapproved_model_resolution", "critical", outside(F.col("resolved_model"), policy.get("allowed_models"))),
@@ -110,7 +114,7 @@ def model_routing(events: DataFrame, policy: dict) -> DataFrame:
              & (F.col("requested_model") != F.col("resolved_model")) & ~truthy("fallback_approved")),
         Rule("safety_policy_downgrade", "critical", below),
         Rule("router_policy_drift", "critical",
-             present("router_policy_sha256") & (F.col("router_policy_sha256") != F.lit(pinned)) if pinned else NEVER),
+             present("router_policy_sha256") & (F.col("router_policy_sha256") != F.lit(pinned)) if pinned else never()),
     ], kind="request", subject="request_id", event_id="request_id")
 
 
@@ -234,7 +238,7 @@ def mcp_events(events: DataFrame, app_origins: list | None = None, extensions: l
         Rule("mcp_header_body_method_mismatch", "critical",
              present(header) & present("body_method") & (header != F.col("body_method"))),
         Rule("mcp_unapproved_extension_negotiated", "critical",
-             F.size(F.array_except(negotiated, F.lit(list(extensions)))) > 0 if extensions else NEVER),
+             F.size(F.array_except(negotiated, F.lit(list(extensions)))) > 0 if extensions else never()),
         Rule("mcp_invalid_cache_ttl", "high", catalog & F.col("ttlMs").isNotNull() & (ttl.isNull() | (ttl < 0))),
         Rule("mcp_unknown_cache_scope", "high", catalog & ~F.col("cacheScope").isin(CACHE_SCOPES)),
         Rule("mcp_expired_catalog_cache_read", "high",
@@ -282,7 +286,7 @@ def mcp_boundary(events: DataFrame, roots: list | None = None) -> DataFrame:
     return detect(e, "mcp_boundary", [
         Rule("mcp_missing_routing_name", "high", (mcp_method() == "tools/call") & mcp_name().isNull()),
         Rule("mcp_authorization_issuer_validation_failed", "critical", truthy("issuer_validation_failed")),
-        Rule("mcp_root_boundary_escape", "critical", present("resolved_path") & ~inside if roots else NEVER,
+        Rule("mcp_root_boundary_escape", "critical", present("resolved_path") & ~inside if roots else never(),
              detail="resolved_path"),
         Rule("mcp_expired_catalog_cache_read", "high",
              catalog & (F.col("event") == "cache_read") & truthy("cache_expired")),
@@ -325,13 +329,13 @@ def a2a_binding(events: DataFrame, verification: dict) -> DataFrame:
     return detect(e, "a2a_binding", [
         Rule("a2a_execution_bound_to_untrusted_agent_card", "critical", F.lit(not trusted)),
         Rule("a2a_execution_card_hash_mismatch", "critical",
-             present("agent_card_sha256") & (F.col("agent_card_sha256") != F.lit(expected)) if expected else NEVER),
+             present("agent_card_sha256") & (F.col("agent_card_sha256") != F.lit(expected)) if expected else never()),
         Rule("a2a_undeclared_skill_invoked", "critical",
              present("skill_id") & (~F.col("skill_id").isin(skills) if skills else F.lit(True)), detail="skill_id"),
         Rule("a2a_tenant_binding_mismatch", "critical", outside(F.col("tenant"), tenants), detail="tenant"),
         Rule("a2a_callback_points_to_agent_interface", "high",
              origin("callback_url").isin(interface_origins) & (F.col("callback_role") == "client")
-             if interface_origins else NEVER, detail="callback_url"),
+             if interface_origins else never(), detail="callback_url"),
         Rule("a2a_unapproved_authority_escalation", "critical",
              (F.size(gained) > 0) & ~truthy("authority_elevation_approved"),
              detail=F.array_join(F.array_sort(gained), ",")),
@@ -419,7 +423,7 @@ def network_exfil(events: DataFrame, approved_domains: list | None = None) -> Da
         approved = approved | (host == d.lower()) | host.endswith("." + d.lower())
     rows = detect(e, "network", [
         Rule("agent_network_to_unapproved_domain", "high",
-             ~approved & F.col("source").isin("agent", "tool", "rendered_output") if approved_domains else NEVER),
+             ~approved & F.col("source").isin("agent", "tool", "rendered_output") if approved_domains else never()),
         Rule("dns_query_correlated_with_sensitive_source", "critical",
              (F.col("channel") == "dns") & truthy("contains_sensitive_source_hash")),
     ], kind="host", subject="_host", event_id="event_id")
@@ -487,6 +491,8 @@ def entity_decoding(docs: DataFrame) -> DataFrame:
 
 def unicode_smuggling(docs: DataFrame) -> DataFrame:
     """Invisible, direction-changing and confusable characters: ``doc_id, type, severity, n``."""
+    # All classes lie outside ASCII: one pass strips the rest, the counts run on what is left.
+    docs = docs.select("doc_id", F.regexp_replace("text", r"[\x00-\x7F]+", "").alias("text")).filter("text <> ''")
     text = F.col("text")
     counts = [F.struct(F.lit(f"unicode_{n}").alias("type"),
                        F.lit("critical" if n in ("tag", "bidi") else "high").alias("severity"),

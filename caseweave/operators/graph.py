@@ -92,27 +92,33 @@ def typed_edges(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, unknown
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, hops: int = 2) -> DataFrame:
     """All ``(seed, node, depth)`` with a directed path of at least one edge.
 
     ``seeds`` has ``seed`` (label) and ``node`` (where it starts).  A seed on a
-    cycle reaches itself.  Semi-naive: only newly found pairs are expanded.
+    cycle reaches itself.  Semi-naive: only newly found pairs are expanded,
+    ``hops`` edges per written round.
     """
     edges = materialize(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     frontier = seeds.select("seed", "node").distinct()
     found: list[DataFrame] = []
     depth = 0
     while max_rounds is None or depth < max_rounds:
-        depth += 1
-        step = (frontier.join(edges, F.col("node") == F.col("src"))
-                .select("seed", F.col("dst").alias("node")).distinct())
+        layers, layer = [], frontier
+        for _ in range(hops if max_rounds is None else min(hops, max_rounds - depth)):
+            depth += 1
+            layer = (layer.join(edges, F.col("node") == F.col("src"))
+                     .select("seed", F.col("dst").alias("node")).distinct())
+            layers.append(layer.withColumn("depth", F.lit(depth)))
+        step = union_all(layers).groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         if found:
             step = step.join(union_all(found).select("seed", "node"), ["seed", "node"], "left_anti")
-        step = materialize(step.withColumn("depth", F.lit(depth)))
+        step = materialize(step)
         if step.isEmpty():
             break
         found.append(step)
-        frontier = step.select("seed", "node")
+        # Pairs found on the last hop still have unexplored children.
+        frontier = step.filter(F.col("depth") == depth).select("seed", "node")
     if not found:
         return frontier.select("seed", "node", F.lit(0).alias("depth")).limit(0)
     return union_all(found)

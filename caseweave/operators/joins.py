@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import present
+from ..runtime import materialize
 from ..schema import union_all
 from .ordered import prior
 
@@ -57,6 +58,8 @@ def memory_integrity(events: DataFrame, chunk: Column, trusted: list | None = No
     dead = F.col("_tomb_at").isNotNull() & (F.col("_write_at").isNull() | (F.col("_tomb_at") > F.col("_write_at")))
     e = e.withColumns({"_tombstoned": F.when(dead, F.col("_tomb.at")),
                        "_known": F.col("_rec").isNotNull() | dead})
+    # The fallback below reads this stage several times: write it once.
+    e = materialize(e)
 
     # Cross-tenant fallback: the key (tenant) of this memory id created last
     # before the read, and that key's latest record.

@@ -30,10 +30,9 @@ def batches(rows, item, prefix, suffix, key=None):
 
 
 def js(**fields):
-    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return F.to_json(F.struct(*[v.alias(name) for name, v in fields.items()]))
 
 
-k, ORD = F.col("k"), F.col("ord")
 E_SQL = f"WITH e AS ({duck(base_events)})"
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -44,7 +43,7 @@ def iso(ts="ts", pattern="yyyy-MM-dd'T'HH:mm:ss"):
 
 # S1 - S5, S25, F28 -----------------------------------------------------------
 def lines(spark, sf):
-    return events(spark, sf).select("event_id", F.when(k % 7 == 0, "").when(k % 7 == 1, "{broken").when(k % 7 == 2, '{"a":1,"a":2}')
+    return events(spark, sf).select("event_id", F.when(F.col("k") % 7 == 0, "").when(F.col("k") % 7 == 1, "{broken").when(F.col("k") % 7 == 2, '{"a":1,"a":2}')
                                     .otherwise(js(id=F.col("event_id"), t=F.col("event_type"))).alias("value"))
 
 
@@ -62,7 +61,7 @@ def s2(spark, sf):
 @query("s3_enveloped_rows", E_SQL + " SELECT event_id, CAST(CASE WHEN ord // 20 % 3 = 2 THEN 0 ELSE ord % 20 END AS INT) AS ordinal FROM e")
 def s3(spark, sf):
     e = events(spark, sf)
-    item, mode = js(id=F.col("event_id")), F.floor(ORD / BATCH) % 3
+    item, mode = js(id=F.col("event_id")), F.floor(F.col("ord") / BATCH) % 3
     docs = batches(e.filter(mode == 0), item, '{"events":[', "]}").union(batches(e.filter(mode == 1), item, "[", "]")).union(
         e.filter(mode == 2).select("event_id", item))
     rows = FS.enveloped(docs.withColumn("doc", V.parse("raw")).drop("raw"), "events")
@@ -103,8 +102,8 @@ def f28(spark, sf):
 @query("s6_made_events", E_SQL + """ SELECT event_id, CASE WHEN k % 3 = 0 THEN 'given' ELSE sha256('body ' || k) END AS content_sha256,
  array_to_string(list_sort(list_distinct(['b' || k % 3, 'a', 'b' || k % 2])), ',') AS cause_event_ids FROM e""")
 def s6(spark, sf):
-    e = events(spark, sf).select("event_id", F.when(k % 3 == 0, "given").alias("content_sha256"), F.concat(F.lit("body "), "k").alias("content"),
-                                 F.array(F.concat(F.lit("b"), k % 3), F.lit("a"), F.concat(F.lit("b"), k % 2)).alias("cause_event_ids"), F.lit(None).cast("array<string>").alias("correlation_ids"))
+    e = events(spark, sf).select("event_id", F.when(F.col("k") % 3 == 0, "given").alias("content_sha256"), F.concat(F.lit("body "), "k").alias("content"),
+                                 F.array(F.concat(F.lit("b"), F.col("k") % 3), F.lit("a"), F.concat(F.lit("b"), F.col("k") % 2)).alias("cause_event_ids"), F.lit(None).cast("array<string>").alias("correlation_ids"))
     return TR.make_events(e).select("event_id", "content_sha256", F.array_join("cause_event_ids", ",").alias("cause_event_ids"))
 
 
@@ -112,23 +111,23 @@ def s6(spark, sf):
  CASE WHEN k % 10 IN (6, 7) THEN NULL ELSE event_id END AS request_id, CASE WHEN k % 2 = 0 THEN 'u' || user_id END AS actor_id, sha256('hello ' || k) AS prompt_sha256 FROM e""")
 def s7(spark, sf):
     e = events(spark, sf)
-    req = F.when(k % 10 != 6, F.concat(F.lit('"request_id":"'), "event_id", F.lit('",'))).otherwise(F.lit('"request_id":null,"id":"shadowed",'))
-    a = e.filter(k % 2 == 0).select(F.lit("openai").alias("provider"), F.concat(F.lit("{"), req, F.lit('"user_id":"u'), "user_id", F.lit('","input":"hello '), "k", F.lit('"}')).alias("raw"))
-    op = F.when(k % 10 == 7, F.lit("")).otherwise(F.concat(F.lit('"operationId":"'), "event_id", F.lit('",')))
-    b = e.filter(k % 2 == 1).select(F.lit("microsoft_copilot_foundry").alias("provider"), F.concat(F.lit("{"), op, F.lit('"prompt":"hello '), "k", F.lit('"}')).alias("raw"))
+    req = F.when(F.col("k") % 10 != 6, F.concat(F.lit('"request_id":"'), "event_id", F.lit('",'))).otherwise(F.lit('"request_id":null,"id":"shadowed",'))
+    a = e.filter(F.col("k") % 2 == 0).select(F.lit("openai").alias("provider"), F.concat(F.lit("{"), req, F.lit('"user_id":"u'), "user_id", F.lit('","input":"hello '), "k", F.lit('"}')).alias("raw"))
+    op = F.when(F.col("k") % 10 == 7, F.lit("")).otherwise(F.concat(F.lit('"operationId":"'), "event_id", F.lit('",')))
+    b = e.filter(F.col("k") % 2 == 1).select(F.lit("microsoft_copilot_foundry").alias("provider"), F.concat(F.lit("{"), op, F.lit('"prompt":"hello '), "k", F.lit('"}')).alias("raw"))
     rows = a.union(b).select("provider", F.lit(0).alias("ordinal"), V.parse("raw").alias("row"))
     return C.provider_events(rows).select("event_id", "request_id", "actor_id", "prompt_sha256")
 
 
 # S8 -------------------------------------------------------------------------------
 def trail_record():
-    version = F.when(k % 50 == 1, "1.1").otherwise("1.09")
+    version = F.when(F.col("k") % 50 == 1, "1.1").otherwise("1.09")
     ident = F.struct(F.lit("AssumedRole").alias("type"), F.concat(F.lit("arn:"), "actor_id").alias("arn"), F.struct(F.struct(
         F.lit("Role").alias("type"), F.lit("p1").alias("principalId")).alias("sessionIssuer")).alias("sessionContext"))
-    return F.to_json(F.struct(version.alias("eventVersion"), F.col("event_id").alias("eventID"), F.concat(iso(), F.when(k % 50 == 2, "+02:00").otherwise("Z")).alias("eventTime"),
-                              F.lit("s3.amazonaws.com").alias("eventSource"), F.when(k % 50 == 3, "").otherwise(F.concat(F.lit("Op"), k % 5)).alias("eventName"), F.lit("eu-1").alias("awsRegion"),
-                              F.when(k % 50 == 4, "AwsCloudTrailInsight").otherwise("AwsApiCall").alias("eventType"), (k % 2 == 0).alias("readOnly"), ident.alias("userIdentity"),
-                              F.when(k % 3 == 0, F.struct(F.concat(F.lit("b"), "k").alias("bucket"))).alias("requestParameters")))
+    return F.to_json(F.struct(version.alias("eventVersion"), F.col("event_id").alias("eventID"), F.concat(iso(), F.when(F.col("k") % 50 == 2, "+02:00").otherwise("Z")).alias("eventTime"),
+                              F.lit("s3.amazonaws.com").alias("eventSource"), F.when(F.col("k") % 50 == 3, "").otherwise(F.concat(F.lit("Op"), F.col("k") % 5)).alias("eventName"), F.lit("eu-1").alias("awsRegion"),
+                              F.when(F.col("k") % 50 == 4, "AwsCloudTrailInsight").otherwise("AwsApiCall").alias("eventType"), (F.col("k") % 2 == 0).alias("readOnly"), ident.alias("userIdentity"),
+                              F.when(F.col("k") % 3 == 0, F.struct(F.concat(F.lit("b"), "k").alias("bucket"))).alias("requestParameters")))
 
 
 TRAIL_REJECT = """CASE WHEN k % 50 = 3 THEN 'invalid_metadata' WHEN k % 50 = 1 THEN 'unsupported_version' WHEN k % 50 = 2 THEN 'event_time_not_utc' WHEN k % 50 = 4 THEN 'insight_event' """
@@ -143,10 +142,10 @@ def s8(spark, sf):
 
 
 def trail_lookup(spark, sf):
-    wrapper = js(EventId=F.when(k % 50 == 5, "other").otherwise(F.col("event_id")), EventName=F.concat(F.lit("Op"), k % 5),
-                 ReadOnly=F.when(k % 50 == 6, "false").otherwise((k % 2 == 0).cast("string")),
-                 EventTime=F.concat(F.when(k % 50 == 7, "2000-01-01T00:00:00").otherwise(iso()), F.lit("+00:00")), CloudTrailEvent=trail_record())
-    e = events(spark, sf).filter(k % 50 != 3)
+    wrapper = js(EventId=F.when(F.col("k") % 50 == 5, "other").otherwise(F.col("event_id")), EventName=F.concat(F.lit("Op"), F.col("k") % 5),
+                 ReadOnly=F.when(F.col("k") % 50 == 6, "false").otherwise((F.col("k") % 2 == 0).cast("string")),
+                 EventTime=F.concat(F.when(F.col("k") % 50 == 7, "2000-01-01T00:00:00").otherwise(iso()), F.lit("+00:00")), CloudTrailEvent=trail_record())
+    e = events(spark, sf).filter(F.col("k") % 50 != 3)
     return batches(e, wrapper, '{"NextToken":"t1","Events":[', "]}")
 
 
@@ -165,23 +164,23 @@ def s8_docs(spark, sf):
  CASE WHEN k % 40 <> 2 THEN 123456700 END AS nanos, 'op' || k % 4 AS operation, CASE WHEN k % 3 = 0 THEN 'absent' WHEN k % 3 = 1 THEN 'null' ELSE 'present' END AS status_state, 'app-' || user_id AS appid,
  CASE WHEN k % 40 = 1 THEN 'invalid_metadata' WHEN k % 40 = 2 THEN 'invalid_timestamp' END AS reject FROM e""")
 def s9(spark, sf):
-    status = F.when(k % 3 == 0, '{"localizedValue":"x"}').when(k % 3 == 1, '{"value":null}').otherwise('{"value":"Succeeded"}')
-    item = F.concat(F.lit("{"), F.when(k % 40 == 1, "").otherwise(F.concat(F.lit('"eventDataId":"'), "event_id", F.lit('",'))), F.lit('"eventTimestamp":"'), iso(),
-                    F.when(k % 40 == 2, "").otherwise(".1234567Z"), F.lit('","operationName":{"value":"op'), k % 4, F.lit('"},"status":'), status, F.lit(',"claims":{"appid":"app-'), "user_id", F.lit('"}}'))
+    status = F.when(F.col("k") % 3 == 0, '{"localizedValue":"x"}').when(F.col("k") % 3 == 1, '{"value":null}').otherwise('{"value":"Succeeded"}')
+    item = F.concat(F.lit("{"), F.when(F.col("k") % 40 == 1, "").otherwise(F.concat(F.lit('"eventDataId":"'), "event_id", F.lit('",'))), F.lit('"eventTimestamp":"'), iso(),
+                    F.when(F.col("k") % 40 == 2, "").otherwise(".1234567Z"), F.lit('","operationName":{"value":"op'), F.col("k") % 4, F.lit('"},"status":'), status, F.lit(',"claims":{"appid":"app-'), "user_id", F.lit('"}}'))
     e = events(spark, sf)
-    docs = batches(e.filter(F.floor(ORD / BATCH) % 2 == 0), item, '{"value":[', "]}").union(batches(e.filter(F.floor(ORD / BATCH) % 2 == 1), item, "[", "]"))
+    docs = batches(e.filter(F.floor(F.col("ord") / BATCH) % 2 == 0), item, '{"value":[', "]}").union(batches(e.filter(F.floor(F.col("ord") / BATCH) % 2 == 1), item, "[", "]"))
     t = C.azure_events(docs)
     return t.select("source_id", "event_data_id", "event_timestamp", "nanos", F.col("operation_name.value").alias("operation"), F.col("status.value_state").alias("status_state"),
                     F.col("actor.claims")["appid"].alias("appid"), "reject")
 
 
 def gcp_docs(spark, sf):
-    log = F.when(k % 40 == 1, "projects/p/logs/other").otherwise("projects/p-1/logs/cloudaudit.googleapis.com%2Fdata_access")
-    deleg = F.when(k % 4 == 0, '[{"firstPartyPrincipal":{"principalEmail":"a@x"}},{"principalSubject":"s"}]').when(
-        k % 40 == 2, '[{"firstPartyPrincipal":{},"thirdPartyPrincipal":{}}]').otherwise("[]")
-    auths = F.when(k % 5 == 0, '[{"resource":"r","permission":"p.get","granted":true},{"permission":"p.set"}]').otherwise("[]")
+    log = F.when(F.col("k") % 40 == 1, "projects/p/logs/other").otherwise("projects/p-1/logs/cloudaudit.googleapis.com%2Fdata_access")
+    deleg = F.when(F.col("k") % 4 == 0, '[{"firstPartyPrincipal":{"principalEmail":"a@x"}},{"principalSubject":"s"}]').when(
+        F.col("k") % 40 == 2, '[{"firstPartyPrincipal":{},"thirdPartyPrincipal":{}}]').otherwise("[]")
+    auths = F.when(F.col("k") % 5 == 0, '[{"resource":"r","permission":"p.get","granted":true},{"permission":"p.set"}]').otherwise("[]")
     item = F.concat(F.lit('{"logName":"'), log, F.lit('","resource":{"type":"t"},"insertId":"'), "event_id", F.lit('","timestamp":"'), iso(), F.lit('.123456789Z","severity":"NOTICE","protoPayload":{"@type":"'),
-                    F.lit(C.GCP_AUDIT_TYPE), F.lit('","serviceName":"s","methodName":"m'), k % 3, F.lit('","status":{"code":'), F.when(k % 40 == 3, "1.5").otherwise((k % 9).cast("string")),
+                    F.lit(C.GCP_AUDIT_TYPE), F.lit('","serviceName":"s","methodName":"m'), F.col("k") % 3, F.lit('","status":{"code":'), F.when(F.col("k") % 40 == 3, "1.5").otherwise((F.col("k") % 9).cast("string")),
                     F.lit('},"authenticationInfo":{"principalEmail":"u'), "user_id", F.lit('@x","serviceAccountDelegationInfo":'), deleg, F.lit('},"authorizationInfo":'), auths, F.lit("}}"))
     return batches(events(spark, sf), item, '{"entries":[', "]}")
 
@@ -208,9 +207,9 @@ def s10_auth(spark, sf):
 def la_docs(spark, sf, lossless=False):
     extra = ',{"name":"D","type":"decimal"}' if lossless else ""
     cols = '{"name":"B","type":"bool"},{"name":"I","type":"int"},{"name":"L","type":"long"},{"name":"R","type":"real"},{"name":"S","type":"string"},{"name":"T","type":"datetime"}' + extra
-    dec = F.when(k % 6 == 0, "79228162514264337593543950335").when(k % 6 == 1, "79228162514264337593543950336").when(k % 6 == 2, '"1.50"').when(k % 6 == 3, "1e-29").when(k % 6 == 4, "1200e3").otherwise("null")
-    row = F.concat(F.lit("["), (k % 2 == 0).cast("string"), F.lit(","), F.when(k % 10 == 1, "3000000000").otherwise("7"), F.lit(","), "ord", F.lit(","), F.when(k % 4 == 0, "null").otherwise("0.25"),
-                   F.lit(',"s'), "k", F.lit('","'), iso(), F.when(k % 10 == 2, "").otherwise(".1234567Z"), F.lit('"'), *([F.lit(","), dec] if lossless else []), F.lit("]"))
+    dec = F.when(F.col("k") % 6 == 0, "79228162514264337593543950335").when(F.col("k") % 6 == 1, "79228162514264337593543950336").when(F.col("k") % 6 == 2, '"1.50"').when(F.col("k") % 6 == 3, "1e-29").when(F.col("k") % 6 == 4, "1200e3").otherwise("null")
+    row = F.concat(F.lit("["), (F.col("k") % 2 == 0).cast("string"), F.lit(","), F.when(F.col("k") % 10 == 1, "3000000000").otherwise("7"), F.lit(","), "ord", F.lit(","), F.when(F.col("k") % 4 == 0, "null").otherwise("0.25"),
+                   F.lit(',"s'), "k", F.lit('","'), iso(), F.when(F.col("k") % 10 == 2, "").otherwise(".1234567Z"), F.lit('"'), *([F.lit(","), dec] if lossless else []), F.lit("]"))
     suffix = ']}],"error":{"code":"PartialError"}}'
     return batches(events(spark, sf), row, '{"tables":[{"name":"PrimaryResult","columns":[' + cols + '],"rows":[', suffix)
 
@@ -253,21 +252,21 @@ def span_id(n):
 
 
 def trace_id():
-    return F.lpad(F.hex(F.floor(ORD / BATCH)), 32, "0")
+    return F.lpad(F.hex(F.floor(F.col("ord") / BATCH)), 32, "0")
 
 
 OPS = ["execute_tool", "chat", "retrieval", "update_memory", "custom_op"]
 
 
 def otlp_docs(spark, sf):
-    op = F.element_at(F.lit(OPS), (k % 5 + 1).cast("int"))
-    parent = F.when(ORD % BATCH == 0, F.lit("")).otherwise(F.concat(F.lit(',"parentSpanId":"'), span_id(F.when(k % 25 == 1, ORD + 100000).otherwise(ORD - 1)), F.lit('"')))
+    op = F.element_at(F.lit(OPS), (F.col("k") % 5 + 1).cast("int"))
+    parent = F.when(F.col("ord") % BATCH == 0, F.lit("")).otherwise(F.concat(F.lit(',"parentSpanId":"'), span_id(F.when(F.col("k") % 25 == 1, F.col("ord") + 100000).otherwise(F.col("ord") - 1)), F.lit('"')))
     attr = lambda key, val: F.concat(F.lit('{"key":"' + key + '","value":{"stringValue":"'), val, F.lit('"}}'))
     parts = F.array_compact(F.array(
-        F.when(k % 10 != 0, attr("gen_ai.operation.name", op)), F.when(k % 3 == 0, attr("gen_ai.agent.id", F.col("actor_id"))), F.when(k % 5 == 0, attr("gen_ai.tool.name", F.lit("search"))),
-        F.when(k % 4 == 0, attr("gen_ai.request.model", F.lit("m1"))), F.when(k % 6 == 0, attr("gen_ai.custom", F.lit("x"))), F.when(k % 50 == 7, attr("gen_ai.operation.name", F.lit("chat"))),
+        F.when(F.col("k") % 10 != 0, attr("gen_ai.operation.name", op)), F.when(F.col("k") % 3 == 0, attr("gen_ai.agent.id", F.col("actor_id"))), F.when(F.col("k") % 5 == 0, attr("gen_ai.tool.name", F.lit("search"))),
+        F.when(F.col("k") % 4 == 0, attr("gen_ai.request.model", F.lit("m1"))), F.when(F.col("k") % 6 == 0, attr("gen_ai.custom", F.lit("x"))), F.when(F.col("k") % 50 == 7, attr("gen_ai.operation.name", F.lit("chat"))),
         F.lit('{"key":"n","value":{"intValue":"5"}}')))
-    span = F.concat(F.lit('{"traceId":"'), trace_id(), F.lit('"'), F.when(k % 45 == 9, "").otherwise(F.concat(F.lit(',"spanId":"'), span_id(ORD), F.lit('"'))), parent, F.lit(',"name":"'), "event_type",
+    span = F.concat(F.lit('{"traceId":"'), trace_id(), F.lit('"'), F.when(F.col("k") % 45 == 9, "").otherwise(F.concat(F.lit(',"spanId":"'), span_id(F.col("ord")), F.lit('"'))), parent, F.lit(',"name":"'), "event_type",
                     F.lit('","startTimeUnixNano":"'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit('123","attributes":['), F.array_join(parts, ","), F.lit("]}"))
     return batches(events(spark, sf), span, '{"resourceSpans":[{"resource":{"attributes":[]},"scopeSpans":[{"scope":{"name":"sc"},"spans":[', "]}]}]}")
 
@@ -309,7 +308,7 @@ def s14_cov(spark, sf):
 
 def log_docs(spark, sf):
     rec = F.concat(F.lit('{"timeUnixNano":"'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit('000","severityNumber":9,"severityText":"INFO","body":{"stringValue":"m'), "k", F.lit('"}'),
-                   F.when(k % 3 != 0, F.concat(F.lit(',"traceId":"'), trace_id(), F.lit('"'))).otherwise(""), F.when(k % 3 == 1, F.concat(F.lit(',"spanId":"'), span_id(ORD), F.lit('"'))).otherwise(""), F.lit(',"attributes":{"a":1}}'))
+                   F.when(F.col("k") % 3 != 0, F.concat(F.lit(',"traceId":"'), trace_id(), F.lit('"'))).otherwise(""), F.when(F.col("k") % 3 == 1, F.concat(F.lit(',"spanId":"'), span_id(F.col("ord")), F.lit('"'))).otherwise(""), F.lit(',"attributes":{"a":1}}'))
     return batches(events(spark, sf), rec, '{"resourceLogs":[{"scopeLogs":[{"logRecords":[', "]}]}]}")
 
 
@@ -326,7 +325,7 @@ def s17_diag(spark, sf):
 @query("j27_logs_to_spans", SPAN_SQL + """ SELECT l.event_id AS body_event, s.event_type AS span_name FROM e l LEFT JOIN s ON l.k % 3 = 1 AND s.span_id = lpad(printf('%X', l.ord), 16, '0') AND s.trace_id = lpad(printf('%X', l.ord // 20), 32, '0')""")
 def j27(spark, sf):
     from ..operators.joins import logs_to_spans
-    e = events(spark, sf).select("event_id", F.concat(F.lit("x"), "ord").alias("o"), F.floor(ORD / BATCH).cast("string").alias("source_id"), (ORD % BATCH).cast("int").alias("log_index"))
+    e = events(spark, sf).select("event_id", F.concat(F.lit("x"), "ord").alias("o"), F.floor(F.col("ord") / BATCH).cast("string").alias("source_id"), (F.col("ord") % BATCH).cast("int").alias("log_index"))
     logs = TR.log_envelopes(log_docs(spark, sf)).join(e, ["source_id", "log_index"])
     return logs_to_spans(logs, TR.trace_envelopes(otlp_docs(spark, sf))).select(F.col("event_id").alias("body_event"), "span_name")
 
@@ -372,30 +371,30 @@ def r8_cycles(spark, sf):
 @query("s18_mcp_exchanges", E_SQL + """ SELECT event_id AS exchange_id, CASE k % 3 WHEN 0 THEN 'tools/call' WHEN 1 THEN 'tasks/get' ELSE 'tools/list' END AS method, CASE WHEN k % 4 = 0 THEN 'search' WHEN k % 5 = 0 THEN 'hdr' END AS name, k % 3 = 1 AS task_extension,
  concat_ws(',', CASE WHEN k % 7 = 0 AND k % 3 <> 0 THEN 'mcp-method-header-does-not-match-jsonrpc-method' END, CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN 'mcp-name-header-does-not-match-request-name' END) AS divergences, CASE WHEN k % 20 = 3 THEN 'response_not_json_rpc' END AS reject FROM e""")
 def s18(spark, sf):
-    method = F.when(k % 3 == 0, "tools/call").when(k % 3 == 1, "tasks/get").otherwise("tools/list")
-    req = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"method":"'), method, F.lit('","params":{'), F.when(k % 4 == 0, '"name":"search"').otherwise(""), F.lit("}}"))
-    heads = F.map_from_entries(F.array_compact(F.array(F.when(k % 7 == 0, F.struct(F.lit("MCP-Method"), F.lit("tools/call"))), F.when(k % 5 == 0, F.struct(F.lit("Mcp-Name"), F.lit("hdr"))))))
-    rows = events(spark, sf).select(F.col("event_id").alias("exchange_id"), req.alias("request"), F.when(k % 20 == 3, '{"jsonrpc":"1.0"}').otherwise('{"jsonrpc":"2.0","result":{}}').alias("response"), heads.alias("request_headers"))
+    method = F.when(F.col("k") % 3 == 0, "tools/call").when(F.col("k") % 3 == 1, "tasks/get").otherwise("tools/list")
+    req = F.concat(F.lit('{"jsonrpc":"2.0","id":1,"method":"'), method, F.lit('","params":{'), F.when(F.col("k") % 4 == 0, '"name":"search"').otherwise(""), F.lit("}}"))
+    heads = F.map_from_entries(F.array_compact(F.array(F.when(F.col("k") % 7 == 0, F.struct(F.lit("MCP-Method"), F.lit("tools/call"))), F.when(F.col("k") % 5 == 0, F.struct(F.lit("Mcp-Name"), F.lit("hdr"))))))
+    rows = events(spark, sf).select(F.col("event_id").alias("exchange_id"), req.alias("request"), F.when(F.col("k") % 20 == 3, '{"jsonrpc":"1.0"}').otherwise('{"jsonrpc":"2.0","result":{}}').alias("response"), heads.alias("request_headers"))
     return AG.mcp_exchanges(rows).select("exchange_id", "method", "name", "task_extension", F.array_join("divergences", ",").alias("divergences"), "reject")
 
 
 @query("s19_a2a_exchanges", E_SQL + """ SELECT event_id AS exchange_id, CASE WHEN k % 3 = 0 THEN '0.3' ELSE '1.0' END AS protocol_version, k % 3 = 0 AS version_missing, CASE WHEN k % 4 = 0 THEN 'a,b' ELSE '' END AS extensions,
  CASE k % 6 WHEN 0 THEN 'SendMessage' WHEN 1 THEN 'GetTask' WHEN 2 THEN 'CancelTask' WHEN 3 THEN 'ListTaskPushNotificationConfigs' WHEN 4 THEN NULL ELSE 'Strange' END AS operation, CASE WHEN k % 6 = 5 THEN false END AS method_known, CASE WHEN k % 9 = 0 THEN -32001 END AS error_code FROM e""")
 def s19(spark, sf):
-    m = F.when((k % 6).isin(0, 2), "post").otherwise("GET")
-    path = F.when(k % 6 == 0, "/message:send").when(k % 6 == 1, "/tasks/t1?x=1").when(k % 6 == 2, "/tasks/t1:cancel").when(k % 6 == 3, "/tasks/t1/pushNotificationConfigs").otherwise("/nothing")
-    heads = F.map_from_entries(F.array_compact(F.array(F.when(k % 3 != 0, F.struct(F.lit("A2A-Version"), F.lit("1.0"))), F.when(k % 4 == 0, F.struct(F.lit("a2a-extensions"), F.lit("b, a,,b"))))))
-    rows = events(spark, sf).select(F.col("event_id").alias("exchange_id"), F.when(k % 6 == 5, "JSONRPC").otherwise("HTTP+JSON").alias("binding"), m.alias("http_method"), path.alias("path"), heads.alias("request_headers"),
-                                    F.lit('{"jsonrpc":"2.0","method":"Strange"}').alias("request"), F.when(k % 9 == 0, '{"error":{"code":-32001}}').otherwise("{}").alias("response"), F.lit(200).alias("status"))
+    m = F.when((F.col("k") % 6).isin(0, 2), "post").otherwise("GET")
+    path = F.when(F.col("k") % 6 == 0, "/message:send").when(F.col("k") % 6 == 1, "/tasks/t1?x=1").when(F.col("k") % 6 == 2, "/tasks/t1:cancel").when(F.col("k") % 6 == 3, "/tasks/t1/pushNotificationConfigs").otherwise("/nothing")
+    heads = F.map_from_entries(F.array_compact(F.array(F.when(F.col("k") % 3 != 0, F.struct(F.lit("A2A-Version"), F.lit("1.0"))), F.when(F.col("k") % 4 == 0, F.struct(F.lit("a2a-extensions"), F.lit("b, a,,b"))))))
+    rows = events(spark, sf).select(F.col("event_id").alias("exchange_id"), F.when(F.col("k") % 6 == 5, "JSONRPC").otherwise("HTTP+JSON").alias("binding"), m.alias("http_method"), path.alias("path"), heads.alias("request_headers"),
+                                    F.lit('{"jsonrpc":"2.0","method":"Strange"}').alias("request"), F.when(F.col("k") % 9 == 0, '{"error":{"code":-32001}}').otherwise("{}").alias("response"), F.lit(200).alias("status"))
     return AG.a2a_exchanges(rows).select("exchange_id", "protocol_version", "version_missing", F.array_join("extensions", ",").alias("extensions"), "operation", "method_known", "error_code")
 
 
 @query("s20_sse_events", E_SQL + """ SELECT CAST(ord // 20 AS VARCHAR) AS stream_id, CAST(ord % 20 AS INT) AS sequence, CASE WHEN k % 10 = 5 THEN NULL WHEN k % 3 = 0 THEN 'task' WHEN k % 3 = 1 THEN 'statusUpdate' ELSE 'message' END AS event_type, CASE WHEN k % 10 = 5 THEN 'not_exactly_one_event' END AS reject FROM e""")
 def s20(spark, sf):
-    kind = F.when(k % 3 == 0, "task").when(k % 3 == 1, "statusUpdate").otherwise("message")
-    body = F.concat(F.lit('{"'), kind, F.lit('":{"k":'), "k", F.lit("}"), F.when(k % 10 == 5, ',"artifactUpdate":{}').otherwise(""), F.lit("}"))
+    kind = F.when(F.col("k") % 3 == 0, "task").when(F.col("k") % 3 == 1, "statusUpdate").otherwise("message")
+    body = F.concat(F.lit('{"'), kind, F.lit('":{"k":'), "k", F.lit("}"), F.when(F.col("k") % 10 == 5, ',"artifactUpdate":{}').otherwise(""), F.lit("}"))
     ev = F.struct("ord", F.concat(F.lit(": keepalive\ndata: "), body).alias("j"))
-    streams = events(spark, sf).groupBy(F.floor(ORD / BATCH).cast("string").alias("stream_id")).agg(F.array_sort(F.collect_list(ev)).alias("x"))
+    streams = events(spark, sf).groupBy(F.floor(F.col("ord") / BATCH).cast("string").alias("stream_id")).agg(F.array_sort(F.collect_list(ev)).alias("x"))
     streams = streams.select("stream_id", F.lit("HTTP+JSON").alias("binding"), F.concat(F.array_join(F.transform("x", lambda x: x["j"]), "\r\n\r\n"), F.lit("\n\n")).alias("raw"))
     return AG.sse_events(streams).select("stream_id", "sequence", "event_type", "reject")
 
@@ -412,8 +411,8 @@ def s21(spark, sf):
 
 def bodies(spark, sf):
     e = events(spark, sf)
-    task = F.concat(F.lit('{"id":"t'), F.col("user_id"), F.lit('","contextId":"c'), F.col("user_id") % 10, F.lit('","status":{"state":"working","message":{"messageId":"m'), "event_id", F.lit('","role":"agent","parts":[]}},"artifacts":[{"artifactId":"a'), k % 5, F.lit('","parts":[]}]}'))
-    res = F.when(k % 2 == 0, F.concat(F.lit('{"result":'), task, F.lit("}"))).otherwise(F.concat(F.lit('{"taskId":"t'), F.col("user_id"), F.lit('","contextId":"c1","status":{"state":"done"}}')))
+    task = F.concat(F.lit('{"id":"t'), F.col("user_id"), F.lit('","contextId":"c'), F.col("user_id") % 10, F.lit('","status":{"state":"working","message":{"messageId":"m'), "event_id", F.lit('","role":"agent","parts":[]}},"artifacts":[{"artifactId":"a'), F.col("k") % 5, F.lit('","parts":[]}]}'))
+    res = F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"result":'), task, F.lit("}"))).otherwise(F.concat(F.lit('{"taskId":"t'), F.col("user_id"), F.lit('","contextId":"c1","status":{"state":"done"}}')))
     req = F.concat(F.lit('{"params":{"message":{"messageId":"q'), "event_id", F.lit('","role":"user","taskId":"t'), F.col("user_id"), F.lit('","parts":[{"text":"x"}]}}}'))
     base = e.select(F.col("event_id").alias("exchange_id"), F.explode(F.array(F.struct(F.lit("request").alias("direction"), req.alias("raw")), F.struct(F.lit("response").alias("direction"), res.alias("raw")))).alias("b"))
     return e, base.select("exchange_id", "b.*")
@@ -431,7 +430,7 @@ def s31(spark, sf):
 
 def _graph(spark, sf):
     e, b = bodies(spark, sf)
-    ex = e.select(F.col("event_id").alias("exchange_id"), F.col("actor_id").alias("client_agent_id"), F.concat(F.lit("srv-"), k % 5).alias("server_agent_id"))
+    ex = e.select(F.col("event_id").alias("exchange_id"), F.col("actor_id").alias("client_agent_id"), F.concat(F.lit("srv-"), F.col("k") % 5).alias("server_agent_id"))
     return AG.exchange_graph(ex, AG.body_objects(b))
 
 
@@ -449,15 +448,15 @@ def r9_edges(spark, sf):
 
 @query("s24_retrieval_documents", E_SQL + """ SELECT event_id AS retrieval_id, l AS list, CAST(p AS INT) AS pos, 'd' || ((k + p) % 7) AS document_id, sha256('chunk ' || ((k + p) % 7)) AS content_sha256 FROM e, (VALUES ('candidates', 0), ('candidates', 1), ('candidates', 2), ('returned', 0)) v(l, p)""")
 def s24(spark, sf):
-    d = lambda p: F.struct(F.concat(F.lit("d"), (k + p) % 7).alias("document_id"), F.lit("c").alias("chunk_id"), F.concat(F.lit("chunk "), (k + p) % 7).alias("content"), F.lit(0.5).alias("score"))
+    d = lambda p: F.struct(F.concat(F.lit("d"), (F.col("k") + p) % 7).alias("document_id"), F.lit("c").alias("chunk_id"), F.concat(F.lit("chunk "), (F.col("k") + p) % 7).alias("content"), F.lit(0.5).alias("score"))
     r = events(spark, sf).select(F.col("event_id").alias("retrieval_id"), F.lit("q").alias("query"), F.array(d(0), d(1), d(2)).alias("candidates"), F.array(d(0)).alias("returned"))
     return AG.retrieval_documents(r).select("retrieval_id", "list", "pos", "document_id", "content_sha256")
 
 
 @query("s24_memory_records", E_SQL + """ SELECT event_id AS memory_id, CASE k % 5 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'delete' WHEN 3 THEN 'expire' ELSE 'merge' END AS operation, sha256('after ' || k) AS after_sha256, CASE WHEN k % 5 = 4 THEN 'unsupported_operation' WHEN k % 8 = 0 THEN 'id_missing' END AS reject FROM e""")
 def s24_mem(spark, sf):
-    op = F.element_at(F.lit(["read", "write", "delete", "expire", "merge"]), (k % 5 + 1).cast("int"))
-    m = events(spark, sf).select(F.col("event_id").alias("memory_id"), op.alias("operation"), F.when(k % 8 != 0, "x").alias("source_execution_id"), F.lit("b").alias("before"), F.lit("i").alias("input"), F.concat(F.lit("after "), "k").alias("after"))
+    op = F.element_at(F.lit(["read", "write", "delete", "expire", "merge"]), (F.col("k") % 5 + 1).cast("int"))
+    m = events(spark, sf).select(F.col("event_id").alias("memory_id"), op.alias("operation"), F.when(F.col("k") % 8 != 0, "x").alias("source_execution_id"), F.lit("b").alias("before"), F.lit("i").alias("input"), F.concat(F.lit("after "), "k").alias("after"))
     return AG.memory_records(m).select("memory_id", "operation", "after_sha256", "reject")
 
 
@@ -522,10 +521,10 @@ def s30_errors(spark, sf):
 # G15 - G17, F27 ------------------------------------------------------------------------------
 def records(spark, sf, new=False):
     e = events(spark, sf)
-    extra = F.when(k % 7 == 0, ',"list":[1,"a",{"z":null}]').otherwise("")
-    add = F.when(k % 3 == 0, ',"added":true').otherwise("") if new else F.lit("")
-    val = F.when(k % 11 == 0, '"text"').otherwise(F.col("k").cast("string")) if new else F.col("k").cast("string")
-    raw = F.concat(F.lit('{"id":"'), "event_id", F.lit('","v":'), val, F.when(k % 5 == 0, "").otherwise(',"opt":null'), extra, add, F.lit(',"nest":{"u":'), "user_id", F.lit("}}"))
+    extra = F.when(F.col("k") % 7 == 0, ',"list":[1,"a",{"z":null}]').otherwise("")
+    add = F.when(F.col("k") % 3 == 0, ',"added":true').otherwise("") if new else F.lit("")
+    val = F.when(F.col("k") % 11 == 0, '"text"').otherwise(F.col("k").cast("string")) if new else F.col("k").cast("string")
+    raw = F.concat(F.lit('{"id":"'), "event_id", F.lit('","v":'), val, F.when(F.col("k") % 5 == 0, "").otherwise(',"opt":null'), extra, add, F.lit(',"nest":{"u":'), "user_id", F.lit("}}"))
     return e.select("event_id", F.lit("all").alias("source_id"), raw.alias("raw"))
 
 

@@ -290,7 +290,7 @@ def denies(d):
 
 
 def actions(d):
-    return f"""SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) AS action_id, 'cust-' || CAST(o_custkey AS STRING) AS principal,
+    return f"""SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS action_id, 'cust-' || CAST(o_custkey AS STRING) AS principal,
            CAST(l_shipdate AS TIMESTAMP) AS ts, 'T' || CAST(o_custkey % 4 AS STRING) AS tenant, 'res-' || CAST(l_partkey % 3 AS STRING) AS resource,
            CASE l_returnflag WHEN 'A' THEN 'audit' WHEN 'N' THEN 'fix' END AS purpose, {d.arr("'read'", "'scope-' || CAST(l_orderkey % 6 AS STRING)")} AS required
     FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_linenumber <= 2"""
@@ -313,6 +313,16 @@ def j3(spark, sf):
     return t.select("action_id", "principal", "scopes", "missing_scopes", "first_missing", "authorized")
 
 
+@query("j3_action_findings", f"""WITH a AS ({duck(actions)}) SELECT 'temporal_authority_missing_required_approval' AS type, 'critical' AS severity, principal AS subject_id, action_id AS event_id FROM a WHERE purpose = 'audit' AND resource = 'res-0'
+UNION ALL SELECT 'authority_backed_by_expired_credential', 'critical', principal, action_id FROM a WHERE ts >= TIMESTAMP '1999-06-01'""")
+def j3_findings(spark, sf):
+    a = domain(spark, sf, actions).withColumns({
+        "approval_required": F.col("purpose") == "audit", "approval_event_id": F.when(F.col("resource") != "res-0", "ok"),
+        "credential_expires": F.lit("1999-06-01").cast("timestamp")})
+    t = A.temporal_authority(a, domain(spark, sf, grants), domain(spark, sf, denies))
+    return A.action_findings(a, t).filter("type <> 'action_exceeded_temporal_authority'").select("type", "severity", "subject_id", "event_id")
+
+
 def principals(extra):
     return lambda d: f"""SELECT 'cust-' || CAST(c_custkey AS STRING) AS principal, {d.arr("'role-' || CAST(c_nationkey AS STRING)")} AS roles,
       CASE WHEN c_custkey % 9 = {extra} THEN {d.arr("'scope-1'", "'scope-2'")} ELSE {d.arr("'scope-1'")} END AS direct_scopes FROM {{customer}}"""

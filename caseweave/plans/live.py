@@ -9,12 +9,14 @@ from ..streaming import jobs as J
 from .domains import base_events
 from .registry import brief, duck, query, table
 
-TS = F.col("ts").cast("timestamp")
-K = F.get_json_object("props", "$.k").cast("bigint")
+
+
+def _k():
+    return F.get_json_object("props", "$.k").cast("bigint")
 
 
 def stream(spark, sf):
-    return J.read_table(spark, sf, "events").withColumns({"ts": TS, "k": K})
+    return J.read_table(spark, sf, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "k": _k()})
 
 
 def beats(df):
@@ -23,7 +25,7 @@ def beats(df):
     h = lambda x: F.sha2(F.concat_ws("|", F.lit("beat"), x), 256)
     return df.select(F.concat(F.lit("node-"), n % 50).alias("node_id"), (F.floor(n / 50) + 1).alias("seq"), "ts", n.alias("ord"), h(n).alias("payload_sha256"),
                      F.when(n < 50, F.lit(J.ZERO_HASH)).otherwise(h(n - 50)).alias("prev_hash"),
-                     F.when(K > 95, 50).when(K > 90, 40).when(K > 80, 30).otherwise(0).alias("score"))
+                     F.when(_k() > 95, 50).when(_k() > 90, 40).when(_k() > 80, 30).otherwise(0).alias("score"))
 
 
 @query("st1_fleet_states")
