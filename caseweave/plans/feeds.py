@@ -525,7 +525,7 @@ def records(spark, sf, new=False):
     add = F.when(F.col("k") % 3 == 0, ',"added":true').otherwise("") if new else F.lit("")
     val = F.when(F.col("k") % 11 == 0, '"text"').otherwise(F.col("k").cast("string")) if new else F.col("k").cast("string")
     raw = F.concat(F.lit('{"id":"'), "event_id", F.lit('","v":'), val, F.when(F.col("k") % 5 == 0, "").otherwise(',"opt":null'), extra, add, F.lit(',"nest":{"u":'), "user_id", F.lit("}}"))
-    return e.select("event_id", F.lit("all").alias("source_id"), raw.alias("raw"))
+    return e.select("event_id", F.when(F.col("ord") >= 0, "all").alias("source_id"), raw.alias("raw"))
 
 
 @query("g15_field_profile", E_SQL + """, n AS (SELECT count(*) AS t FROM e) SELECT 'all' AS source_id, f AS field, c AS present_records, ks AS kinds, mm AS type_mismatch_records, CASE WHEN f IN ('id', 'opt') THEN t - c ELSE 0 END AS missing_required_records, f IN ('list', 'added', 'nest') AS unexpected FROM n, (

@@ -109,10 +109,11 @@ def gate_defs(d):
 
 
 def gate_reqs(d):
-    return """SELECT 'pack-' || CAST(p_partkey % 3 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, 'art-' || CAST(n_nationkey AS STRING) AS requirement,
-      'art-' || CAST(CASE WHEN r_regionkey = 0 THEN n_nationkey ELSE (n_nationkey + r_regionkey) % 25 END AS STRING) AS candidate,
-      CASE WHEN p_partkey % 5 = 0 THEN 'CORRELATED' WHEN p_partkey % 5 = 1 THEN 'PRESENT_UNVALIDATED' ELSE 'VALIDATED' END AS required_quality
-      FROM {part} JOIN {nation} ON n_nationkey % 10 = p_partkey % 10 JOIN {region} ON r_regionkey < 2 WHERE p_partkey < 27 AND p_partkey % 9 <> 4"""
+    # Two candidates per requirement: the artifact itself and one alias.
+    one = lambda alias: f"""SELECT 'pack-' || CAST(p_partkey % 3 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, 'art-' || CAST(n_nationkey AS STRING) AS requirement,
+      'art-' || CAST((n_nationkey + {alias}) % 25 AS STRING) AS candidate, CASE WHEN p_partkey % 5 = 0 THEN 'CORRELATED' WHEN p_partkey % 5 = 1 THEN 'PRESENT_UNVALIDATED' ELSE 'VALIDATED' END AS required_quality
+      FROM {{part}} JOIN {{nation}} ON n_nationkey % 10 = p_partkey % 10 WHERE p_partkey < 27 AND p_partkey % 9 <> 4"""
+    return f"{one(0)} UNION ALL {one(1)}"
 
 
 @query("g19_conclusion_gates", QUALITY_SQL + f""", g AS ({duck(gate_defs)}), rq AS ({duck(gate_reqs)}), cs AS (SELECT DISTINCT case_id, pack_id FROM q),

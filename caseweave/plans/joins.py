@@ -627,7 +627,7 @@ UNION ALL SELECT 'duplicate_evidence_path', path FROM a GROUP BY path HAVING cou
 UNION ALL SELECT 'record_case_mismatch', record_id FROM r WHERE case_id = 'case-2'""")
 def j26(spark, sf):
     p, o, li = (table(spark, sf, t) for t in ("part", "orders", "lineitem"))
-    art = p.filter("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("artifact_id"), F.lit("case-1").alias("case_id"),
+    art = p.filter("p_partkey % 10 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("artifact_id"), F.when(F.col("p_partkey") >= 0, "case-1").alias("case_id"),
                                                  F.concat(F.lit("x/"), "p_name", F.lit("/"), F.col("p_partkey") % 400).alias("path"))
     rec = o.select(F.when(F.col("o_orderkey") % 500 == 0, F.concat(F.lit("p"), (F.col("o_orderkey") / 500 + 1).cast("int")))
                    .otherwise(F.concat(F.lit("r"), "o_orderkey")).alias("record_id"),
