@@ -54,12 +54,16 @@ def registrable(host) -> Column:
 
 
 def entropy(text) -> Column:
-    """Shannon entropy in bits per character."""
-    chars = F.filter(F.split(c(text), ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    share = lambda ch: F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n
-    return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0),
-                                     lambda acc, ch: acc - share(ch) * F.log2(share(ch)))).otherwise(0.0)
+    """Shannon entropy in bits per character.
+
+    Each distinct character is counted by removing it from the text, so the
+    text is split only once.
+    """
+    s = c(text)
+    n = F.char_length(s).cast("double")
+    distinct = F.array_distinct(F.filter(F.split(s, ""), lambda x: x != ""))
+    shares = F.transform(distinct, lambda ch: (F.char_length(s) - F.char_length(F.replace(s, ch, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))).otherwise(0.0)
 
 
 def looks_like_refusal(text) -> Column:
