@@ -8,8 +8,9 @@ source stay constant) until they are decided.
 
 The flight runs in hash blocks of one source.  A block leaves two undecided
 documents at most; these meet in fewer blocks in the next round, until every
-source has one block, whose last two documents land where the words of the
-source come nearest to its target.
+source has one block.  There the landing gives up the count of documents first,
+then rounds the last one to where the words of the source come nearest to its
+target.  Large documents are decided first, so what is left is small.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from caseweave.llm.common import as_bytes, block_of
 from caseweave.runtime import materialize
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 EPS = 1e-9
 
 
@@ -75,35 +76,51 @@ def source_targets(sized: DataFrame, weights: list[float], share: float, cap: fl
                       .alias("target"))
 
 
-def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _direction(q: np.ndarray, x: np.ndarray, words_only: bool) -> np.ndarray:
+    """A null vector of the constraints that moves the first (largest) unit and spreads the balance over all others.
+
+    The others share the opposite move in proportion to their distance from a
+    decision, so the large unit is usually decided first and the small ones stay
+    open to balance what follows.
+    """
+    u = np.zeros(len(q))
+    u[0] = 1.0
+    w, rest = np.minimum(q[1:], 1 - q[1:]), x[1:]
+    n, wx, wxx = w.sum(), (w * rest).sum(), (w * rest * rest).sum()
+    if words_only:
+        u[1:] = -w * rest * (x[0] / wxx) if wxx > 0 else 0.0
+    elif rest.min() == rest.max():
+        # Units of one size exchange among themselves; a larger first unit stays as it is.
+        u[0] = float(x[0] == rest[0])
+        u[1:] = -w / n if u[0] else np.concatenate([[1.0], -w[1:] / w[1:].sum()])
+    else:
+        det = n * wxx - wx * wx
+        u[1:] = w * ((-wxx + x[0] * wx) / det + rest * ((wx - x[0] * n) / det))
+    return u
+
+
+def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, words_only: bool = False) -> np.ndarray:
     """Move probabilities, keeping ``sum(p)`` and ``sum(p * x)``, until at most two are undecided.
 
-    Three open units have a null vector of the constraint matrix with rows ``1``
-    and ``x``; a step along it, up or down with the odds that keep the expected
-    value, decides one of them at least.  Two units of one size go on alike.
+    With ``words_only`` just ``sum(p * x)`` is kept, and one stays undecided.
+    Every step goes up or down a null vector with the odds that keep the expected
+    value, as far as the first unit that reaches 0 or 1.
     """
-    p = p.copy()
-    open_: list[int] = []
-    for k in itertools.chain(np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist(), [-1]):
-        if k >= 0:
-            open_.append(k)
-            if len(open_) < 3:
-                continue
-        while len(open_) == 3 or (k < 0 and len(open_) == 2 and x[open_[0]] == x[open_[1]]):
-            if len(open_) == 3:
-                a, b, c = x[open_]
-                u = np.array([c - b, a - c, b - a]) if not a == b == c else np.array([1.0, -1.0, 0.0])
-                u = u / np.abs(u).max()
-            else:
-                u = np.array([1.0, -1.0])
-            q = p[open_]
-            moves = np.abs(u) > 1e-12
-            up = min((1 - v) / s if s > 0 else -v / s for v, s in zip(q[moves], u[moves]))
-            down = min(v / s if s > 0 else (v - 1) / s for v, s in zip(q[moves], u[moves]))
-            q = q + up * u if rng.random() * (up + down) < down else q - down * u
-            q = np.where(q < EPS, 0.0, np.where(q > 1 - EPS, 1.0, q))
-            p[open_] = q
-            open_ = [i for i, v in zip(open_, q) if 0 < v < 1]
+    p = np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
+    order = np.argsort(-x, kind="stable")
+    index = order[(p[order] > 0) & (p[order] < 1)]
+    q, y = p[index], x[index]
+    while len(q) > (1 if words_only else 2) or (len(q) == 2 and y[0] == y[1]):
+        u = _direction(q, y, words_only)
+        moves = np.abs(u) > 1e-15
+        v, s = q[moves], u[moves]
+        up = np.min(np.where(s > 0, 1 - v, v) / np.abs(s))
+        down = np.min(np.where(s > 0, v, 1 - v) / np.abs(s))
+        q = q + up * u if rng.random() * (up + down) < down else q - down * u
+        done = (q < EPS) | (q > 1 - EPS)
+        p[index[done]] = np.round(q[done])
+        index, q, y = index[~done], q[~done], y[~done]
+    p[index] = q
     return p
 
 
@@ -121,11 +138,13 @@ def _round(parts: DataFrame, last: bool) -> DataFrame:
     schema = parts.schema
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("size", "descending"), ("h", "ascending")])  # small documents are decided last
+        group = group.sort_by([("h", "ascending"), ("size", "ascending")])
         p, x = group.column("p").to_numpy(), group.column("size").to_numpy().astype(float)
         seed = [int(group.column("source_no")[0].as_py()), int(group.column("block")[0].as_py()), len(p)]
-        moved = flight(np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p)), x, np.random.default_rng(seed))
+        rng = np.random.default_rng(seed)
+        moved = flight(p, x, rng)
         if last:
+            moved = flight(moved, x, rng, words_only=True)
             still = (moved > 0) & (moved < 1)
             moved = land(moved, x, float(np.dot(p, x) - np.dot(np.where(still, 0.0, moved), x)))
         return group.set_column(group.column_names.index("p"), "p", pa.array(moved))
@@ -138,7 +157,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, cap: float =
     """``(id, source, size, source_size, target, copies, taken, h)``, one row per input row.
 
     ``taken`` is ``copies * size``.  The words taken of a source differ from its
-    target by half of one of its documents at most; no document is taken more
+    target by half of one small document; no document is taken more
     than ``cap`` times (``cap`` a whole number).  Reruns agree: all choices
     follow from hashes of id and text.  A null text has size 0, a null source is
     the last one, a source without words has target 0; repeated rows are drawn

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import mixing, sharding, simhash, url_filter
+from caseweave.llm import decontamination, mixing, sharding, simhash, substring_dedup, url_filter
 from caseweave.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -36,11 +36,22 @@ def op8_cube_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS).drop("h")
 
 
+def op9_anchor_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf, "documents"), keep_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
+
+
+def op10_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_shards": op2_ring_shards,
     "op5_url_digests": op5_url_digests,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_cube_mix": op8_cube_mix,
+    "op9_anchor_repeats": op9_anchor_repeats,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLE: dict[str, str] = {
