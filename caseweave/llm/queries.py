@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import decontamination, mixing, sharding, simhash, substring_dedup, url_filter
+from caseweave.llm import (decontamination, line_dedup, mixing, quality, sharding, simhash, substring_dedup,
+                            url_filter)
 from caseweave.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -22,11 +23,21 @@ def op2_ring_shards(spark: SparkSession, sf: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), keep=["doc_id"])
+
+
 def op5_url_digests(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf, "pages"), rules)
 
 
+def op6_host_lines(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.drop_boilerplate(line_dedup.page_lines(table(spark, sf, "pages")))
+    return out.select(F.col("id").alias("page_id"), "host", "n_lines", "n_dropped",
+                      F.array_join("kept", "\n").alias("kept_text"))
+
+
 def op7_golay_simhash(spark: SparkSession, sf: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,7 +58,9 @@ def op10_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_shards": op2_ring_shards,
+    "op4_rule_quality": op4_rule_quality,
     "op5_url_digests": op5_url_digests,
+    "op6_host_lines": op6_host_lines,
     "op7_golay_simhash": op7_golay_simhash,
     "op8_cube_mix": op8_cube_mix,
     "op9_anchor_repeats": op9_anchor_repeats,
@@ -70,5 +83,30 @@ m AS (
   FROM h JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT h.page_id, host, path, rule, coalesce(said, 'allow') AS verdict
 FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
+""",
+    "op6_host_lines": rf"""
+WITH t AS (
+  SELECT page_id, url,
+         regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.DROPPED}', '', 'g'),
+                                       '{line_dedup.BREAK}', chr(10), 'g'), '{line_dedup.TAG}', '', 'g') AS text
+  FROM pages),
+l AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '^([^/?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         list_filter(list_transform(string_split(text, chr(10)),
+                                    lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))),
+                     lambda x: x <> '') AS lines
+  FROM t),
+e AS (SELECT DISTINCT page_id, host, unnest(lines) AS line FROM l),
+c AS (SELECT host, line, count(*) AS n FROM e GROUP BY ALL),
+b AS (
+  SELECT c.host, list(line) AS bad FROM c JOIN (SELECT host, count(*) AS pages FROM l GROUP BY host) h USING (host)
+  WHERE n >= 3 AND n > pages * 0.5 GROUP BY c.host),
+k AS (
+  SELECT page_id, l.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []), x)) AS kept
+  FROM l LEFT JOIN b USING (host))
+SELECT page_id, host, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(kept) AS INT) AS n_dropped,
+       array_to_string(kept, chr(10)) AS kept_text FROM k
 """,
 }
