@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import (decontamination, line_dedup, mixing, quality, sharding, simhash, substring_dedup,
+from caseweave.llm import (decontamination, fingerprint, line_dedup, mixing, quality, sharding, simhash, substring_dedup,
                             url_filter)
 from caseweave.llm.common import table
 
@@ -23,6 +23,10 @@ def op2_ring_shards(spark: SparkSession, sf: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_entropy_digests(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.edit_probe(table(spark, sf, "documents"))
+
+
 def op4_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), keep=["doc_id"])
 
@@ -58,6 +62,7 @@ def op10_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ring_shards": op2_ring_shards,
+    "op3_entropy_digests": op3_entropy_digests,
     "op4_rule_quality": op4_rule_quality,
     "op5_url_digests": op5_url_digests,
     "op6_host_lines": op6_host_lines,
