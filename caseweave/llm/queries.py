@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import (decontamination, fingerprint, line_dedup, mixing, quality, sharding, simhash, substring_dedup,
+from caseweave.llm import (decontamination, fingerprint, line_dedup, lm_scoring, mixing, quality, sharding, simhash, substring_dedup,
                             url_filter)
 from caseweave.llm.common import table
 
@@ -17,6 +17,11 @@ MIX_WEIGHTS = [5.0, 2.0, 1.0]
 SHARDS = 24
 
 
+def op1_attention_scores(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)) == 0, F.lit(True))
+    return lm_scoring.score_documents(table(spark, sf, "documents"), ~held_out)
+
+
 def op2_ring_shards(spark: SparkSession, sf: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -61,6 +66,7 @@ def op10_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_attention_scores": op1_attention_scores,
     "op2_ring_shards": op2_ring_shards,
     "op3_entropy_digests": op3_entropy_digests,
     "op4_rule_quality": op4_rule_quality,
