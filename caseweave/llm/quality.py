@@ -16,13 +16,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caseweave.llm.common import SPACES, as_bytes
+from caseweave.runtime import materialize
 
 STATS = ["log_words", "word_bytes", "upper_share", "caps_words", "symbol_share", "symbol_words", "digit_share",
          "other_share", "distinct_words", "top_word", "repeated_lines", "stops_share", "line_words", "stutter"]
@@ -31,7 +32,7 @@ _LETTER = _UPPER + _UPPER.lower() + bytes(range(128, 256))
 _STOP = b".,;:?'\"()-"
 _SYMBOL = bytes(c for c in range(33, 127) if c not in _LETTER + _DIGIT + _STOP)
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in _SYMBOL + SPACES)
-TREES, DEPTH, BINS, PENALTY = 12, 3, 64, 2e-3
+TREES, DEPTH, BINS, PENALTY = 12, 3, 64, 1e-3
 # At most so many labelled rows are fitted, chosen by a hash of the id; all documents are scored.
 MAX_LABELLED = 200_000
 
@@ -96,6 +97,29 @@ def tree_rules(text: str) -> list[str]:
     return rules
 
 
+def lasso(x: np.ndarray, n: np.ndarray, good: np.ndarray, penalty: float, steps: int = 3000) -> tuple[float, np.ndarray]:
+    """Logistic regression with an L1 penalty on standardised columns, by accelerated proximal gradient steps.
+
+    Row i of ``x`` stands for ``n[i]`` rows, ``good[i]`` of them of class 1.
+    """
+    share = n / n.sum()
+    mean = share @ x
+    spread = np.sqrt(np.maximum(share @ (x - mean) ** 2, 1e-12))
+    z = np.hstack([np.ones((len(x), 1)), (x - mean) / spread])
+    step = 4.0 / np.linalg.eigvalsh(z.T @ (z * share[:, None]))[-1]
+    w = ahead = np.zeros(z.shape[1])
+    momentum = 1.0
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ ahead, -50, 50)))
+        moved = ahead - step * (z.T @ (share * p - good / n.sum()))
+        moved[1:] = np.sign(moved[1:]) * np.maximum(np.abs(moved[1:]) - step * penalty, 0)
+        following = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
+        ahead = moved + (momentum - 1) / following * (moved - w)
+        w, momentum = moved, following
+    weights = w[1:] / spread
+    return float(w[0] - weights @ mean), weights
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
         max_labelled: int = MAX_LABELLED, seed: int = 7) -> Model:
     """Rules and weights from ``stats(id_col, __stats)`` and ``labels(id_col, label_col)``.
@@ -118,34 +142,57 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH,
                                     maxBins=BINS, seed=seed, featureSubsetStrategy="onethird").fit(rows)
     rules = sorted({r for tree in forest.trees for r in tree_rules(tree.toDebugString)})
-    fired = F.array(*[F.expr(f"CASE WHEN {r.replace('$', 'stats')} THEN 1D ELSE 0D END") for r in rules])
-    lasso = LogisticRegression(featuresCol="fired", labelCol="label", elasticNetParam=1.0, regParam=PENALTY,
-                               maxIter=60)
-    fitted = lasso.fit(rows.select("label", array_to_vector(fired).alias("fired")))
+    if not rules:
+        rows.unpersist()
+        return Model(float(np.log(good / (n - good))), [])
+    fired = F.concat(*[F.expr(f"CASE WHEN {r.replace('$', 'stats')} THEN '1' ELSE '0' END") for r in rules])
+    # Rows that fire the same rules are one row here; there are at most max_labelled of them.
+    seen = (rows.groupBy(fired.alias("fired")).agg(F.count("*").alias("n"), F.sum("label").alias("good"))
+            .orderBy("fired").collect())
     rows.unpersist()
-    kept = [(r, float(w)) for r, w in zip(rules, fitted.coefficients.toArray()) if abs(w) > 1e-6]
-    return Model(float(fitted.intercept), kept)
+    matrix = np.array([[c == "1" for c in r.fired] for r in seen], float)
+    intercept, weights = lasso(matrix, np.array([r.n for r in seen], float), np.array([r.good for r in seen], float),
+                               PENALTY)
+    return Model(intercept, [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-6])
 
 
 def is_held_out(id_column: Column, parts: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string")), F.lit(parts)) == 0, F.lit(False))
 
 
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "quality", keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """Model from the labelled rows that are not held out, and the statistics of all rows beside columns to keep.
+
+    The statistics are written once; labels meet them, never the texts.
+    """
+    names = list(dict.fromkeys([*(keep or []), id_col]))
+    stats = materialize(with_stats(docs.select(*dict.fromkeys([*names, text_col])), text_col).select(*names, "__stats"))
+    return fit(stats.filter(~is_held_out(F.col(id_col))), labels, id_col, label_col), stats
+
+
+def _judged(stats: DataFrame, model: Model, names: list[str], threshold: float, id_col: str) -> DataFrame:
+    scored = stats.withColumn("__held_out", is_held_out(F.col(id_col))).withColumn("__score", model.score("__stats"))
+    return scored.select(*names, F.col("__held_out").alias("held_out"), F.col("__score").alias("score"),
+                         (F.col("__score") >= threshold).cast("int").alias("predicted"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",
-             text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None) -> DataFrame:
-    """Columns of ``docs`` (or ``keep`` of them) with ``held_out``, ``score`` and ``predicted``.
+             text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``(id, held_out, score, predicted)`` of every row.
 
     Learns from labelled rows that are not held out; scores every whole text.
     Null and empty texts are scored like any text (all statistics are zero);
     repeated rows get equal scores; rows with a null id are scored, never
-    learned from; an empty table gives no rows.  Result names replace columns of
-    the same name; other columns pass through.
+    learned from; an empty table gives no rows.  Other columns are not read.
     """
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("held_out", "score", "predicted")]
-    learn = docs.select(id_col, text_col).filter(~is_held_out(F.col(id_col)))
-    wanted = learn.join(labels.select(F.col(id_col)).distinct(), id_col, "left_semi")
-    model = fit(with_stats(wanted, text_col), labels, id_col, label_col)
-    picked = docs.select(*dict.fromkeys([*names, id_col, text_col]))
-    scored = (with_stats(picked, text_col).withColumn("held_out", is_held_out(F.col(id_col)))
-              .withColumn("score", model.score("__stats")))
-    return scored.select(*names, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model, stats = learn(docs, labels, id_col, text_col, label_col)
+    return _judged(stats, model, [id_col], threshold, id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",
+              text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` does not reject."""
+    model, _ = learn(docs, labels, id_col, text_col, label_col)
+    scored = with_stats(docs, text_col)
+    return scored.filter(model.score("__stats") >= threshold).select(*docs.columns)

@@ -33,7 +33,7 @@ def op3_entropy_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_rule_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), keep=["doc_id"])
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def op5_url_digests(spark: SparkSession, sf: str) -> DataFrame:
