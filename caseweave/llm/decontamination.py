@@ -91,9 +91,10 @@ def _verify(text: np.ndarray, item: np.ndarray, offset: int, ratio: float, least
     a, z = max(0, -offset), min(len(item), len(text) - offset)
     same = text[a + offset: z + offset] == item[a:z]
     lo, hi = longest_match(same, ratio)
-    if hi - lo < min(least, len(item)) or hi == lo:
+    matched = int(same[lo:hi].sum())
+    if not matched or matched < min(hi - lo, len(item)) and len(item) < least or hi - lo < min(least, len(item)):
         return None
-    return int(same[lo:hi].sum()), hi - lo, a + lo + offset, a + lo
+    return matched, hi - lo, a + lo + offset, a + lo
 
 
 _FOUND = ["matched", "overlap", "doc_start", "item_start", "item_words"]
@@ -104,9 +105,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
              max_shared_words: int = MAX_SHARED_WORDS) -> DataFrame:
     """``(id, item id, matched, overlap, doc_start, item_start, item_words)``: the longest overlap per pair.
 
-    An overlap is a stretch of ``least`` words (or the whole item, if shorter) of
-    which at least ``ratio`` agree after lower-casing A-Z.  All of a text is
-    searched.  Items of fewer than 8 words prove nothing and match nothing, as
+    An overlap is a stretch of ``least`` words or more of which at least ``ratio``
+    agree after lower-casing A-Z; of an item shorter than that, all words must
+    stand in the text in a row.  All of a text is searched.  Items of fewer than 8 words prove nothing and match nothing, as
     do null and empty texts; repeated rows give repeated rows; null ids stay
     null; empty tables give no rows.  Other columns are not read.
     """
