@@ -144,7 +144,7 @@ def filters(values: np.ndarray) -> np.ndarray:
     bits = np.zeros(chain * FILTER_BITS, bool)
     cell = (values[:, None] >> _SHIFTS) & np.uint64(FILTER_BITS - 1)
     bits[(cell.astype(np.int64) + (np.arange(len(values)) // PER_FILTER * FILTER_BITS)[:, None]).ravel()] = True
-    return np.packbits(bits).reshape(chain, -1)
+    return np.packbits(bits).reshape(chain, FILTER_BITS // 8)
 
 
 def encode(n: int, chain: np.ndarray) -> str:
