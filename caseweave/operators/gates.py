@@ -37,6 +37,9 @@ READINESS_DAYS = {"enterprise_controls": 30, "platform_assurance": 1, "environme
                   "service_slo": 7, "production_scale_benchmark": 90}
 
 
+EVERY = "*"  # stands for every case or principal
+
+
 def quality_score(quality: Column) -> Column:
     mapping = F.create_map(*[F.lit(x) for kv in QUALITY.items() for x in kv])
     return F.coalesce(mapping[quality], F.lit(-1))
@@ -49,6 +52,7 @@ def evaluate_rules(rules: DataFrame, signals: DataFrame) -> DataFrame:
     any_event_types (arrays).  ``signals``: case_id, kind (signal or
     event_type), name.  The containment test is an equi join on the name and a
     count, so cases with very many signals are never gathered into one array.
+    Rules without conditions come once, with case_id ``*``.
     """
     def wanted(col, kind, mode):
         return rules.select("rule_id", F.explode(F.array_distinct(col)).alias("name"),
@@ -68,10 +72,10 @@ def evaluate_rules(rules: DataFrame, signals: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("kind") == "event_type", F.col("name"))).alias("matched_event_types")))
     ok = hits.join(needs, "rule_id").filter(
         "hs = rs AND he = re AND (as = 0 OR ha > 0) AND (ae = 0 OR hx > 0)")
-    # A rule without any condition holds for every case.
-    free = needs.filter("rs = 0 AND as = 0 AND re = 0 AND ae = 0").agg(F.collect_list("rule_id").alias("ids"))
-    always = seen.select("case_id").distinct().select("case_id", F.explode(free.scalar()).alias("rule_id")).withColumns(
-        {"matched_signals": F.lit(0).cast("bigint"), "matched_event_types": F.lit(0).cast("bigint")})
+    # A rule without any condition holds for every case: one row, not one per case.
+    always = needs.filter("rs = 0 AND as = 0 AND re = 0 AND ae = 0").select(
+        F.lit(EVERY).alias("case_id"), "rule_id", F.lit(0).cast("bigint").alias("matched_signals"),
+        F.lit(0).cast("bigint").alias("matched_event_types"))
     cols = ["case_id", "rule_id", "matched_signals", "matched_event_types"]
     return ok.select(*cols).unionByName(always.select(*cols))
 

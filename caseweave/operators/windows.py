@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import present, truthy
 from ..schema import ensure
 from .detectors import MCP_COLUMNS, first_present, mcp_method
+from ..runtime import materialize
 from .ordered import nth_of_key, prior, time_chunk
 
 ORDER = ["ts", "ord"]
@@ -171,18 +172,35 @@ def duplicate_ids(events: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
 def heartbeat_continuity(beats: DataFrame) -> DataFrame:
     """Verdict per heartbeat against the last accepted one of its node.
 
-    A rejected heartbeat leaves the node state untouched, so acceptance is a
-    recurrence; with strictly rising sequence numbers it equals comparing with
-    the running maximum.  Rows: node_id, ts, ord, seq, payload_sha256, prev_hash.
+    A rejected heartbeat leaves the node's state untouched, so acceptance is a
+    chain: from an accepted beat it goes to the first later one that names its
+    payload and has a larger sequence number.  Successors come from one equi
+    join on node and hash; pointer doubling then marks the chain from the start
+    state in a logarithmic number of rounds.  Rows: node_id, ts, ord, seq,
+    payload_sha256, prev_hash.
     """
-    zero = "0" * 64
-    b = prior(beats, ["node_id"], ORDER, {"max_seq": ("max", "seq"), "last": ("last", F.struct("payload_sha256"))},
-              time_chunk("ts"))
-    expected = F.coalesce(F.col("last.payload_sha256"), F.lit(zero))
-    got = F.coalesce(F.when(F.col("prev_hash") != "", F.col("prev_hash")), F.lit(zero))
-    return b.withColumn("verdict", F.when(F.col("seq") <= F.coalesce("max_seq", F.lit(0)), "replay")
-                        .when(got != expected, "chain_mismatch").otherwise("accepted")).select(
-        "node_id", "seq", "verdict")
+    zero = F.lit("0" * 64)
+    b = materialize(beats.select("node_id", F.struct(*ORDER).alias("pos"), *ORDER, "seq", "payload_sha256",
+                                 F.coalesce(F.when(F.col("prev_hash") != "", F.col("prev_hash")), zero).alias("prev")))
+    key = ["node_id", "pos"]
+    after = b.select("node_id", F.col("prev").alias("payload_sha256"), F.col("pos").alias("next"), F.col("seq").alias("next_seq"))
+    jump = materialize(b.join(after, ["node_id", "payload_sha256"]).filter((F.col("next") > F.col("pos")) & (F.col("next_seq") > F.col("seq")))
+                       .groupBy(*key).agg(F.min("next").alias("next")))
+    reached = materialize(b.filter((F.col("prev") == zero) & (F.col("seq") > 0)).groupBy("node_id").agg(F.min("pos").alias("pos")))
+    known = reached.count()
+    while True:
+        step = reached.join(jump, key).select("node_id", F.col("next").alias("pos"))
+        reached = materialize(reached.unionByName(step).distinct())
+        now = reached.count()
+        if now == known:
+            break
+        known = now
+        far = jump.select("node_id", F.col("pos").alias("next"), F.col("next").alias("far"))
+        jump = materialize(jump.join(far, ["node_id", "next"]).select("node_id", "pos", F.col("far").alias("next")))
+    marked = b.join(reached.withColumn("accepted", F.lit(True)), key, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    state = prior(marked, ["node_id"], ORDER, {"state_seq": ("max", F.when(F.col("accepted"), F.col("seq")))}, time_chunk("ts"))
+    return state.withColumn("verdict", F.when(F.col("accepted"), "accepted").when(F.col("seq") <= F.coalesce("state_seq", F.lit(0)), "replay")
+                            .otherwise("chain_mismatch")).select("node_id", "seq", "verdict")
 
 
 def latest_state(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -375,7 +375,7 @@ def fleet_tables(spark, sf):
         "active_adapters": F.array("adapter"),
         "hook_fingerprints": F.array_compact(F.array("hook"))})
     node = F.col("s_suppkey")
-    policy = table(spark, sf, "supplier").filter("s_suppkey < 25").select(
+    policy = table(spark, sf, "supplier").select(
         F.concat(F.lit("node-"), node).alias("node_id"),
         F.create_map(F.lit("model_manifest_sha256"), F.lit("v1"), F.lit("runtime_inventory_sha256"), F.lit("r1")).alias("approved"),
         F.array(F.lit("base")).alias("allowed_adapters"), F.array().cast("array<string>").alias("approved_hook_fingerprints"),
@@ -394,7 +394,7 @@ FLEET_RULES = [
     ("MODEL_TREE_METADATA_CHANGED", "medium", "metadata_tree_changed"),
 ]
 FLEET_CTE = f"""WITH h AS ({duck(heartbeats)}),
-t AS (SELECT h.*, s_suppkey FROM h JOIN supplier ON node_id = 'node-' || s_suppkey WHERE s_suppkey < 25)"""
+t AS (SELECT h.*, s_suppkey FROM h JOIN supplier ON node_id = 'node-' || s_suppkey)"""
 
 
 @query("f12_fleet_policy", finding_sql(FLEET_CTE, FLEET_RULES, src="t", subject="node_id", event_id="seq"))

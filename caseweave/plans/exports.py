@@ -66,10 +66,10 @@ def k5(spark, sf):
     return K.otel_fleet(v, F.lit(1), "fleet").select("metric.attributes.node_id", "metric.attributes.state")
 
 
-@query("k6_case_graph", """SELECT type, count(*) AS n FROM (SELECT unnest(['uco-observable:ObservableObject', 'uco-observable:ContentDataFacet', 'uco-types:Hash']) AS type FROM part UNION ALL SELECT 'uco-core:Relationship' FROM lineitem WHERE l_linenumber = 1) GROUP BY 1""")
+@query("k6_case_graph", """SELECT type, count(*) AS n FROM (SELECT unnest(['uco-observable:ObservableObject', 'uco-observable:ContentDataFacet', 'uco-types:Hash']) AS type FROM part UNION ALL SELECT 'uco-core:Relationship' FROM lineitem) GROUP BY 1""")
 def k6(spark, sf):
     a = table(spark, sf, "part").select(F.lit("c1").alias("case_id"), F.col("p_partkey").cast("string").alias("artifact_id"), F.sha2("p_name", 256).alias("sha256"), F.col("p_size").alias("size"), F.col("p_name").alias("path"))
-    r = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.lit("c1").alias("case_id"), F.col("l_partkey").cast("string").alias("parent_artifact_id"), F.col("l_suppkey").cast("string").alias("child_artifact_id"))
+    r = table(spark, sf, "lineitem").select(F.lit("c1").alias("case_id"), F.col("l_partkey").cast("string").alias("parent_artifact_id"), F.col("l_suppkey").cast("string").alias("child_artifact_id"))
     return K.case_graph(a, r).groupBy("type").agg(F.count("*").alias("n"))
 
 

@@ -501,11 +501,11 @@ def s29(spark, sf):
 def _bom(spark, sf):
     p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
     comp = p.filter("p_partkey % 9 <> 0").select(F.lit("sys").alias("system_id"), F.concat(F.lit("c"), F.when(F.col("p_partkey") % 50 == 1, F.col("p_partkey") + 1).otherwise(F.col("p_partkey"))).alias("component_id"), F.col("p_name").alias("name"))
-    deps = li.filter("l_linenumber = 1").select(F.lit("sys").alias("system_id"), F.concat(F.lit("c"), "l_partkey").alias("source"), F.concat(F.lit("c"), "l_suppkey").alias("target"))
+    deps = li.select(F.lit("sys").alias("system_id"), F.concat(F.lit("c"), "l_partkey").alias("source"), F.concat(F.lit("c"), "l_suppkey").alias("target"))
     return AG.bom(comp, deps)
 
 
-BOM_SQL = """WITH c AS (SELECT 'c' || CASE WHEN p_partkey % 50 = 1 THEN p_partkey + 1 ELSE p_partkey END AS id FROM part WHERE p_partkey % 9 <> 0), d AS (SELECT DISTINCT 'c' || l_partkey AS source, 'c' || l_suppkey AS target FROM lineitem WHERE l_linenumber = 1)"""
+BOM_SQL = """WITH c AS (SELECT 'c' || CASE WHEN p_partkey % 50 = 1 THEN p_partkey + 1 ELSE p_partkey END AS id FROM part WHERE p_partkey % 9 <> 0), d AS (SELECT DISTINCT 'c' || l_partkey AS source, 'c' || l_suppkey AS target FROM lineitem)"""
 
 
 @query("s30_bom_dependencies", BOM_SQL + " SELECT source, target FROM d WHERE source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)")

@@ -19,21 +19,22 @@ from .registry import domain, duck, query, table
 def rules(d):
     s = lambda x: f"'sig' || CAST({x} AS STRING)"
     return f"""SELECT 'rule-' || CAST(p_partkey AS STRING) AS rule_id,
-      CASE WHEN p_partkey % 17 = 0 THEN {d.arr()} ELSE {d.arr(s('p_partkey % 12'), s('p_size % 12'))} END AS requires_signals,
-      CASE WHEN p_partkey % 3 = 0 THEN {d.arr(s('p_partkey % 25'), s('(p_partkey + 1) % 25'))} ELSE {d.arr()} END AS any_signals,
+      CASE WHEN p_partkey % 17 = 0 THEN {d.arr()} ELSE {d.arr(s('p_partkey * 11 % 3000'), s('(p_size * 17 + p_partkey) % 3000'))} END AS requires_signals,
+      CASE WHEN p_partkey % 3 = 0 THEN {d.arr(s('p_partkey % 3000'), s('(p_partkey + 1) % 3000'))} ELSE {d.arr()} END AS any_signals,
       CASE WHEN p_partkey % 4 = 0 THEN {d.arr("'et' || CAST(p_size % 6 AS STRING)")} ELSE {d.arr()} END AS requires_event_types,
-      CASE WHEN p_partkey % 5 = 0 THEN {d.arr("'et1'", "'et2'")} ELSE {d.arr()} END AS any_event_types FROM {{part}} WHERE p_partkey < 200"""
+      CASE WHEN p_partkey % 5 = 0 THEN {d.arr("'et1'", "'et2'")} ELSE {d.arr()} END AS any_event_types FROM {{part}}"""
 
 
 def case_signals(d):
     return """SELECT 'case-' || CAST(l_suppkey AS STRING) AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'signal' ELSE 'event_type' END AS kind,
-      CASE WHEN l_linenumber % 2 = 0 THEN 'sig' || CAST(l_partkey % 30 AS STRING) ELSE 'et' || CAST(l_partkey % 8 AS STRING) END AS name FROM {lineitem} WHERE l_quantity > 44"""
+      CASE WHEN l_linenumber % 2 = 0 THEN 'sig' || CAST((l_partkey * 7 + l_suppkey * 13) % 3000 AS STRING) ELSE 'et' || CAST(l_partkey * 3 % 80 AS STRING) END AS name FROM {lineitem}"""
 
 
 @query("j16_rule_evaluation", f"""WITH r AS ({duck(rules)}), s AS (SELECT DISTINCT * FROM ({duck(case_signals)})),
 c AS (SELECT case_id, coalesce(list(name) FILTER (kind = 'signal'), []) AS sg, coalesce(list(name) FILTER (kind = 'event_type'), []) AS et FROM s GROUP BY 1)
 SELECT case_id, rule_id, len(list_intersect(sg, list_distinct(list_concat(requires_signals, any_signals)))) AS matched_signals, len(list_intersect(et, list_distinct(list_concat(requires_event_types, any_event_types)))) AS matched_event_types
-FROM c, r WHERE list_has_all(sg, requires_signals) AND (len(any_signals) = 0 OR list_has_any(sg, any_signals)) AND list_has_all(et, requires_event_types) AND (len(any_event_types) = 0 OR list_has_any(et, any_event_types))""")
+FROM c, r WHERE len(list_concat(requires_signals, any_signals, requires_event_types, any_event_types)) > 0 AND list_has_all(sg, requires_signals) AND (len(any_signals) = 0 OR list_has_any(sg, any_signals)) AND list_has_all(et, requires_event_types) AND (len(any_event_types) = 0 OR list_has_any(et, any_event_types))
+UNION ALL SELECT '*', rule_id, 0, 0 FROM r WHERE len(list_concat(requires_signals, any_signals, requires_event_types, any_event_types)) = 0""")
 def j16(spark, sf):
     return G.evaluate_rules(domain(spark, sf, rules), domain(spark, sf, case_signals))
 
@@ -71,14 +72,14 @@ def j18(spark, sf):
 
 # G18, G19, V4 --------------------------------------------------------------
 def artifacts(d):
-    return """SELECT 'case-' || CAST(s_suppkey AS STRING) AS case_id, 'pack-' || CAST(s_suppkey % 3 AS STRING) AS pack_id, 'art-' || CAST(n_nationkey AS STRING) AS artifact_id,
+    return """SELECT 'case-' || CAST(s_suppkey AS STRING) AS case_id, 'pack-' || CAST(s_suppkey % 300 AS STRING) AS pack_id, 'art-' || CAST(n_nationkey AS STRING) AS artifact_id,
       CASE n_nationkey % 3 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'conditional' ELSE 'optional' END AS priority FROM {supplier} JOIN {nation} ON s_suppkey % 5 = n_regionkey"""
 
 
 def matches(d):
-    return """SELECT 'case-' || CAST(l_suppkey AS STRING) AS case_id, 'pack-' || CAST(l_suppkey % 3 AS STRING) AS pack_id, 'art-' || CAST(l_partkey % 25 AS STRING) AS artifact_id,
+    return """SELECT 'case-' || CAST(l_suppkey AS STRING) AS case_id, 'pack-' || CAST(l_suppkey % 300 AS STRING) AS pack_id, 'art-' || CAST(l_partkey % 500 AS STRING) AS artifact_id,
       l_orderkey * 10000 + l_partkey AS ord, (l_quantity > 20) AS validated, (l_discount > 0.08) AS authoritative, (l_discount < 0.02) AS corroborated, (l_tax > 0.02) AS trusted,
-      (l_tax > 0.077) AS conflicting, (l_quantity = 3) AS stale, (l_quantity = 4) AS incomplete FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 7 = 0"""
+      (l_tax > 0.077) AS conflicting, (l_quantity = 3) AS stale, (l_quantity = 4) AS incomplete FROM {lineitem}"""
 
 
 QUALITY_SQL = f"""WITH a AS ({duck(artifacts)}), m AS (SELECT *, CASE WHEN conflicting THEN 'CONFLICTING' WHEN stale THEN 'STALE' WHEN incomplete THEN 'INCOMPLETE' WHEN validated AND trusted AND authoritative THEN 'AUTHORITATIVE'
@@ -105,14 +106,14 @@ def g19_mandatory(spark, sf):
 
 
 def gate_defs(d):
-    return """SELECT 'pack-' || CAST(p_partkey % 3 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, CASE WHEN p_partkey % 2 = 0 THEN 'any' ELSE 'all' END AS logic FROM {part} WHERE p_partkey < 30"""
+    return """SELECT 'pack-' || CAST(p_partkey % 300 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, CASE WHEN p_partkey % 2 = 0 THEN 'any' ELSE 'all' END AS logic FROM {part}"""
 
 
 def gate_reqs(d):
     # Two candidates per requirement: the artifact itself and one alias.
-    one = lambda alias: f"""SELECT 'pack-' || CAST(p_partkey % 3 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, 'art-' || CAST(n_nationkey AS STRING) AS requirement,
+    one = lambda alias: f"""SELECT 'pack-' || CAST(p_partkey % 300 AS STRING) AS pack_id, 'gate-' || CAST(p_partkey AS STRING) AS gate_id, 'art-' || CAST(n_nationkey AS STRING) AS requirement,
       'art-' || CAST((n_nationkey + {alias}) % 25 AS STRING) AS candidate, CASE WHEN p_partkey % 5 = 0 THEN 'CORRELATED' WHEN p_partkey % 5 = 1 THEN 'PRESENT_UNVALIDATED' ELSE 'VALIDATED' END AS required_quality
-      FROM {{part}} JOIN {{nation}} ON n_nationkey % 10 = p_partkey % 10 WHERE p_partkey < 27 AND p_partkey % 9 <> 4"""
+      FROM {{part}} JOIN {{nation}} ON n_nationkey % 10 = p_partkey % 10 WHERE p_partkey % 9 <> 4"""
     return f"{one(0)} UNION ALL {one(1)}"
 
 
@@ -252,7 +253,7 @@ def g27_chaos(spark, sf):
 def upgrades(d):
     names = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(G.UPGRADE_STEPS))
     return f"""SELECT 'sys-' || CAST(l_suppkey AS STRING) AS system, CASE l_linenumber {names} ELSE 'extra' END AS control, bool_and(l_quantity > 1) AS passed,
-      CAST(max(l_shipdate) AS TIMESTAMP) AS validated FROM {{lineitem}} WHERE l_orderkey % 9 = 0 GROUP BY 1, 2"""
+      CAST(max(l_shipdate) AS TIMESTAMP) AS validated FROM {{lineitem}} GROUP BY 1, 2"""
 
 
 @query("g27_upgrade_gate", f"""WITH e AS ({duck(upgrades)}), n AS (SELECT system, control FROM (SELECT DISTINCT system FROM e) s, (SELECT unnest([{", ".join(repr(t) for t in G.UPGRADE_STEPS)}]) AS control) x)
@@ -350,12 +351,12 @@ def t5(spark, sf):
     return finding_table(spark, sf).orderBy(F.desc("severity_score"), "type", "event_id").limit(500).select("type", "event_id", "severity_score")
 
 
-@query("g29_content_verdicts", """WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS item_id, CASE WHEN l_quantity = 50 THEN 'CRITICAL' WHEN l_quantity > 45 THEN 'high' ELSE 'low' END AS severity FROM lineitem WHERE l_quantity > 40)
+@query("g29_content_verdicts", """WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS item_id, CASE WHEN l_quantity = 50 THEN 'CRITICAL' WHEN l_quantity > 45 THEN 'high' ELSE 'low' END AS severity FROM lineitem)
 SELECT CAST(o_orderkey AS VARCHAR) AS item_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'QUARANTINE' WHEN bool_or(severity = 'high') THEN 'REVIEW' ELSE 'PASS' END AS verdict, count(severity) AS findings
 FROM orders LEFT JOIN f ON CAST(o_orderkey AS VARCHAR) = item_id GROUP BY 1""")
 def g29(spark, sf):
     q = F.col("l_quantity")
-    f = table(spark, sf, "lineitem").filter(q > 40).select(F.col("l_orderkey").cast("string").alias("item_id"), F.when(q == 50, "CRITICAL").when(q > 45, "high").otherwise("low").alias("severity"))
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("item_id"), F.when(q == 50, "CRITICAL").when(q > 45, "high").otherwise("low").alias("severity"))
     return J.content_verdicts(f, table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("item_id")))
 
 

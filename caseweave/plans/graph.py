@@ -196,7 +196,7 @@ def g13(spark, sf):
 
 
 @query("r11_lineage_cycles", """WITH RECURSIVE
-edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_linenumber = 1
+edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem
           UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity < 3
           UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity > 48 AND l_discount = 0.0),
 down(a, b) AS (SELECT src, dst FROM edges WHERE src LIKE 'p%' OR src LIKE 's%'
@@ -206,7 +206,7 @@ SELECT a AS node FROM cyc UNION SELECT b FROM down WHERE a IN (SELECT a FROM cyc
 def r11(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     o, p, s = (F.concat(F.lit(c), F.col(f"l_{n}key")) for c, n in (("o", "order"), ("p", "part"), ("s", "supp")))
-    edges = (li.filter("l_linenumber = 1").select(o.alias("src"), p.alias("dst"))
+    edges = (li.select(o.alias("src"), p.alias("dst"))
              .union(li.filter("l_quantity < 3").select(p, s))
              .union(li.filter("l_quantity > 48 AND l_discount = 0.0").select(s, p)))
     return G.below_cycle(edges)

@@ -156,7 +156,7 @@ diff_query("j1_runtime_adapters", adapters(0), adapters(1), S.runtime_adapters,
 
 def hooks(shift):
     return lambda d: f"""SELECT 'n' || CAST(l_suppkey % 10 AS STRING) AS node_id, 'm' || CAST(l_partkey % 30 AS STRING) AS module_name, l_returnflag AS hook_kind,
-      'h' || CAST(l_linenumber AS STRING) AS source_sha256, l_linestatus AS qualname FROM {{lineitem}} WHERE l_orderkey % 70 = {shift}"""
+      'h' || CAST(l_linenumber AS STRING) AS source_sha256, l_linestatus AS qualname FROM {{lineitem}} WHERE l_orderkey % 70 <> {shift}"""
 
 
 @query("j1_runtime_hooks", f"""WITH a AS (SELECT DISTINCT * FROM ({duck(hooks(0))})), s AS (SELECT DISTINCT * FROM ({duck(hooks(1))}))
@@ -200,7 +200,7 @@ def j1_deps(spark, sf):
 
 def members(shift):
     return lambda d: f"""SELECT 'h-' || CAST(l_suppkey AS STRING) AS harness_id, CASE l_returnflag WHEN 'A' THEN 'plugin' WHEN 'N' THEN 'skill' ELSE 'dynamic_import' END AS kind,
-      'v' || CAST(l_partkey % 60 AS STRING) AS value FROM {{lineitem}} WHERE l_linenumber = {shift}"""
+      'v' || CAST(l_partkey % 60 AS STRING) AS value FROM {{lineitem}} WHERE l_linenumber <> {shift}"""
 
 
 @query("j1_harness_members", f"""SELECT harness_id, 'unexpected_harness_' || kind AS type, 'critical' AS severity, value FROM (
@@ -286,26 +286,29 @@ def denies(d):
            {d.arr("'scope-' || CAST(c_custkey % 6 AS STRING)")} AS scopes, CASE WHEN c_custkey % 50 = 0 THEN 'T' || CAST(c_custkey % 4 AS STRING) END AS tenant,
            CASE WHEN c_custkey % 3 = 0 THEN 'res-1' END AS resource, {d.arr()} AS purposes,
            CAST(TIMESTAMP '1996-01-01 00:00:00' AS TIMESTAMP) AS not_before, CAST(TIMESTAMP '1999-01-01 00:00:00' AS TIMESTAMP) AS expires,
-           CAST(NULL AS TIMESTAMP) AS revoked, false AS disabled FROM {{customer}} WHERE c_custkey % 10 = 0"""
+           CAST(NULL AS TIMESTAMP) AS revoked, false AS disabled FROM {{customer}}"""
 
 
 def actions(d):
     return f"""SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS action_id, 'cust-' || CAST(o_custkey AS STRING) AS principal,
            CAST(l_shipdate AS TIMESTAMP) AS ts, 'T' || CAST(o_custkey % 4 AS STRING) AS tenant, 'res-' || CAST(l_partkey % 3 AS STRING) AS resource,
            CASE l_returnflag WHEN 'A' THEN 'audit' WHEN 'N' THEN 'fix' END AS purpose, {d.arr("'read'", "'scope-' || CAST(l_orderkey % 6 AS STRING)")} AS required
-    FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_linenumber <= 2"""
+    FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey"""
 
 
 _ok = "(x.not_before IS NULL OR ts >= x.not_before) AND (x.expires IS NULL OR ts < x.expires) AND (x.revoked IS NULL OR ts < x.revoked) AND NOT x.disabled AND (x.tenant IS NULL OR x.tenant = a.tenant) AND (x.resource IS NULL OR x.resource = '*' OR x.resource = a.resource) AND (len(x.purposes) = 0 OR list_contains(x.purposes, a.purpose))"
 
 
-@query("j3_temporal_authority", f"""WITH g AS ({duck(grants)}), d AS ({duck(denies)}), a AS ({duck(actions)}),
+_AUTHORITY = f"""WITH g AS ({duck(grants)}), d AS ({duck(denies)}), a AS ({duck(actions)}),
 al AS (SELECT DISTINCT action_id, unnest(x.scopes) AS scope FROM a JOIN g x USING (principal) WHERE {_ok}),
 de AS (SELECT DISTINCT action_id, unnest(x.scopes) AS scope FROM a JOIN d x ON x.principal IN (a.principal, '*') WHERE {_ok}),
 sc AS (SELECT * FROM al EXCEPT SELECT * FROM de),
 rq AS (SELECT DISTINCT action_id, unnest(required) AS scope FROM a),
 mi AS (SELECT action_id, count(*) AS missing_scopes, min(scope) AS first_missing FROM (SELECT * FROM rq EXCEPT SELECT * FROM sc) GROUP BY action_id),
-he AS (SELECT action_id, count(*) AS scopes FROM sc GROUP BY action_id)
+he AS (SELECT action_id, count(*) AS scopes FROM sc GROUP BY action_id)"""
+
+
+@query("j3_temporal_authority", _AUTHORITY + """
 SELECT action_id, principal, coalesce(scopes, 0) AS scopes, coalesce(missing_scopes, 0) AS missing_scopes, first_missing, first_missing IS NULL AS authorized
 FROM a LEFT JOIN mi USING (action_id) LEFT JOIN he USING (action_id)""")
 def j3(spark, sf):
@@ -313,14 +316,15 @@ def j3(spark, sf):
     return t.select("action_id", "principal", "scopes", "missing_scopes", "first_missing", "authorized")
 
 
-@query("j3_action_findings", f"""WITH a AS ({duck(actions)}) SELECT 'temporal_authority_missing_required_approval' AS type, 'critical' AS severity, principal AS subject_id, action_id AS event_id FROM a WHERE purpose = 'audit' AND resource = 'res-0'
+@query("j3_action_findings", _AUTHORITY + """ SELECT 'action_exceeded_temporal_authority' AS type, 'critical' AS severity, principal AS subject_id, action_id AS event_id FROM a JOIN mi USING (action_id)
+UNION ALL SELECT 'temporal_authority_missing_required_approval' AS type, 'critical' AS severity, principal AS subject_id, action_id AS event_id FROM a WHERE purpose = 'audit' AND resource = 'res-0'
 UNION ALL SELECT 'authority_backed_by_expired_credential', 'critical', principal, action_id FROM a WHERE ts >= TIMESTAMP '1999-06-01'""")
 def j3_findings(spark, sf):
     a = domain(spark, sf, actions).withColumns({
         "approval_required": F.col("purpose") == "audit", "approval_event_id": F.when(F.col("resource") != "res-0", "ok"),
         "credential_expires": F.lit("1999-06-01").cast("timestamp")})
     t = A.temporal_authority(a, domain(spark, sf, grants), domain(spark, sf, denies))
-    return A.action_findings(a, t).filter("type <> 'action_exceeded_temporal_authority'").select("type", "severity", "subject_id", "event_id")
+    return A.action_findings(a, t).select("type", "severity", "subject_id", "event_id")
 
 
 def principals(extra):
@@ -334,13 +338,13 @@ def roles(d):
 
 def delegations(extra):
     return lambda d: f"""SELECT 'cust-' || CAST(o_custkey AS STRING) AS from_principal, 'cust-' || CAST(o_custkey + 1 AS STRING) AS to_principal,
-      {d.arr("'scope-' || CAST(o_orderkey % 8 AS STRING)")} AS scopes FROM {{orders}} WHERE o_orderkey % 40 = {extra} AND o_custkey < 140"""
+      {d.arr("'scope-' || CAST(o_orderkey % 400 AS STRING)")} AS scopes FROM {{orders}} WHERE o_orderkey % 40 <> {extra}"""
 
 
 def tool_catalog(d):
     return f"""SELECT 'tool-' || CAST(p_partkey AS STRING) AS tool_id, (p_size % 2 = 0) AS mutating,
-      CASE WHEN p_partkey % 15 = 0 THEN {d.arr()} WHEN p_partkey % 2 = 0 THEN {d.arr("'scope-1'", "'scope-' || CAST(p_partkey % 8 AS STRING)")}
-           ELSE {d.arr("'scope-' || CAST(p_partkey % 8 AS STRING)", "'scope-' || CAST(p_partkey % 5 AS STRING)")} END AS requires_scopes FROM {{part}} WHERE p_partkey < 60"""
+      CASE WHEN p_partkey % 15 = 0 THEN {d.arr()} WHEN p_partkey % 2 = 0 THEN {d.arr("'scope-1'", "'scope-' || CAST(p_partkey % 400 AS STRING)")}
+           ELSE {d.arr("'scope-' || CAST(p_partkey % 400 AS STRING)", "'scope-' || CAST(p_partkey % 7 AS STRING)")} END AS requires_scopes FROM {{part}}"""
 
 
 def _eff_sql(name, extra):
@@ -351,8 +355,9 @@ def _eff_sql(name, extra):
 
 
 def _reach_sql(out, eff):
-    return f"""{out} AS (SELECT principal, tool_id FROM (SELECT DISTINCT principal FROM {eff}) p, t
-  WHERE list_has_all((SELECT list(DISTINCT scope) FROM {eff} e WHERE e.principal = p.principal), requires_scopes))"""
+    return f"""{out} AS (SELECT principal, tool_id FROM (SELECT DISTINCT principal, scope FROM {eff}) p
+  JOIN (SELECT tool_id, unnest(list_distinct(requires_scopes)) AS scope, len(list_distinct(requires_scopes)) AS needed FROM t) n USING (scope)
+  GROUP BY principal, tool_id HAVING count(*) = any_value(needed) UNION ALL SELECT '*', tool_id FROM t WHERE len(requires_scopes) = 0)"""
 
 
 def _eff(spark, sf, extra):
@@ -370,7 +375,7 @@ _REACH_CTE = f"WITH t AS ({duck(tool_catalog)}), r AS ({duck(roles)}), {_eff_sql
 @query("j4_reachable_tools", _REACH_CTE + " SELECT * FROM ra")
 def j4(spark, sf):
     e = _eff(spark, sf, 0)
-    return A.reachable_tools(e, domain(spark, sf, tool_catalog), e.select("principal").distinct())
+    return A.reachable_tools(e, domain(spark, sf, tool_catalog))
 
 
 @query("j6_authority_diff", _REACH_CTE + """
@@ -381,7 +386,7 @@ UNION ALL SELECT 'new_tool_reachability', CASE WHEN mutating THEN 'critical' ELS
 def j6(spark, sf):
     tools_ = domain(spark, sf, tool_catalog)
     e, f = _eff(spark, sf, 0), _eff(spark, sf, 1)
-    reach = lambda x: A.reachable_tools(x, tools_, x.select("principal").distinct())
+    reach = lambda x: A.reachable_tools(x, tools_)
     return A.authority_diff(e, f, tools_, reach(e), reach(f))
 
 
@@ -550,18 +555,18 @@ def ai_records(d):
       o_orderstatus AS policy_config_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS output_sha256 FROM {orders}"""
 
 
-@query("j23_recorded_comparisons", f"""WITH r AS ({duck(ai_records)}), pr AS (SELECT CAST(o_orderkey AS VARCHAR) AS pair_id, CAST(o_orderkey AS VARCHAR) AS original, CAST(o_orderkey + 3 AS VARCHAR) AS comparison FROM orders WHERE o_orderkey % 2 = 0),
-i AS (SELECT CAST(l_orderkey AS VARCHAR) AS record_id, list(l_partkey % 2 ORDER BY l_linenumber, l_partkey, l_suppkey) AS xs FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("j23_recorded_comparisons", f"""WITH r AS ({duck(ai_records)}), pr AS (SELECT CAST(o_orderkey AS VARCHAR) AS pair_id, CAST(o_orderkey AS VARCHAR) AS original, CAST(o_orderkey + 3 AS VARCHAR) AS comparison FROM orders ),
+i AS (SELECT CAST(l_orderkey AS VARCHAR) AS record_id, list(l_partkey % 2 ORDER BY l_linenumber, l_partkey, l_suppkey) AS xs FROM lineitem GROUP BY 1)
 SELECT pair_id, (a.provider = b.provider AND a.model = b.model AND a.model_version IS NOT DISTINCT FROM b.model_version AND a.policy_config_id = b.policy_config_id) AS same_configuration,
   coalesce(ia.xs, []) IS NOT DISTINCT FROM coalesce(ib.xs, []) AS same_inputs, a.output_sha256 = b.output_sha256 AS same_output
 FROM pr JOIN r a ON a.record_id = original JOIN r b ON b.record_id = comparison LEFT JOIN i ia ON ia.record_id = original LEFT JOIN i ib ON ib.record_id = comparison""")
 def j23(spark, sf):
     from pyspark.sql import Window
-    o = table(spark, sf, "orders").filter("o_orderkey % 2 = 0")
+    o = table(spark, sf, "orders")
     pairs = o.select(F.col("o_orderkey").cast("string").alias("pair_id"), F.col("o_orderkey").cast("string").alias("original"),
                      (F.col("o_orderkey") + 3).cast("string").alias("comparison"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    refs = table(spark, sf, "lineitem").filter("l_linenumber = 1").select(
+    refs = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("record_id"), F.lit("evidence").alias("kind"),
         F.row_number().over(w).alias("ordinal"), (F.col("l_partkey") % 2).cast("string").alias("sha256"))
     return J.recorded_comparisons(pairs, domain(spark, sf, ai_records), refs)
@@ -617,7 +622,7 @@ def j25_gaps(spark, sf):
 @query("j26_provenance_integrity", """WITH a AS (SELECT 'p' || p_partkey AS artifact_id, 'case-1' AS case_id, 'x/' || p_name || '/' || (p_partkey % 400) AS path FROM part WHERE p_partkey % 10 <> 0),
 r AS (SELECT CASE WHEN o_orderkey % 500 = 0 THEN 'p' || (o_orderkey / 500 + 1)::INT ELSE 'r' || o_orderkey END AS record_id, CASE WHEN o_orderkey % 700 = 0 THEN 'case-2' ELSE 'case-1' END AS case_id FROM orders),
 f AS (SELECT 'r' || l_orderkey AS record_id, 'p' || l_partkey AS artifact_id FROM lineitem),
-l AS (SELECT 'p' || l_partkey AS parent_artifact_id, 'p' || CASE WHEN l_linenumber = 7 THEN l_partkey ELSE l_suppkey END AS child_artifact_id FROM lineitem WHERE l_linenumber > 5),
+l AS (SELECT 'p' || l_partkey AS parent_artifact_id, 'p' || CASE WHEN l_linenumber = 7 THEN l_partkey ELSE l_suppkey END AS child_artifact_id FROM lineitem),
 ids AS (SELECT artifact_id AS id FROM a UNION ALL SELECT record_id FROM r)
 SELECT 'dangling_evidence_reference' AS type, record_id AS id FROM f WHERE artifact_id NOT IN (SELECT artifact_id FROM a)
 UNION ALL SELECT 'dangling_lineage_reference', x FROM (SELECT parent_artifact_id AS x FROM l UNION ALL SELECT child_artifact_id FROM l) WHERE x NOT IN (SELECT artifact_id FROM a)
@@ -633,7 +638,7 @@ def j26(spark, sf):
                    .otherwise(F.concat(F.lit("r"), "o_orderkey")).alias("record_id"),
                    F.when(F.col("o_orderkey") % 700 == 0, "case-2").otherwise("case-1").alias("case_id"))
     refs = li.select(F.concat(F.lit("r"), "l_orderkey").alias("record_id"), F.concat(F.lit("p"), "l_partkey").alias("artifact_id"))
-    rel = li.filter("l_linenumber > 5").select(
+    rel = li.select(
         F.concat(F.lit("p"), "l_partkey").alias("parent_artifact_id"),
         F.concat(F.lit("p"), F.when(F.col("l_linenumber") == 7, F.col("l_partkey")).otherwise(F.col("l_suppkey"))).alias("child_artifact_id"))
     return J.provenance_integrity(art, rec, refs, rel)

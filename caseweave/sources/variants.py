@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 
 def parse(text) -> Column:
     return F.try_parse_json(F.col(text) if isinstance(text, str) else text)
@@ -67,14 +69,15 @@ def tri_state(members: Column, name: str) -> Column:
                     F.when(has, digest(x)).alias("sha256"))
 
 
-MAX_DEPTH = 32  # nesting beyond this is outside the document profiles
+LEVELS = 8  # levels that one projection unfolds
 
 
-def walk(df, keep: list[str], doc: Column, indexed: bool, max_depth: int = MAX_DEPTH):
-    """Every node of a document in one pass: ``keep``, path, v.
+def walk(df, keep: list[str], doc: Column, indexed: bool):
+    """Every node of a document, however deep: ``keep``, path, v.
 
-    Each level is one projection over the level above, held as an array inside
-    the record's own row, so nothing is shuffled or parsed twice.  Array
+    A projection unfolds several levels as arrays inside the record's own row,
+    so nothing is shuffled or parsed twice.  Records that go deeper are written
+    with their open nodes and unfolded further until none is left.  Array
     positions are part of the path only when ``indexed``.
     """
     def children(node):
@@ -85,8 +88,18 @@ def walk(df, keep: list[str], doc: Column, indexed: bool, max_depth: int = MAX_D
         elements = F.transform(items(node["v"]), lambda x, i: F.named_struct(F.lit("path"), spot(i), F.lit("v"), x))
         return F.coalesce(members, elements)
 
-    level = df.withColumn("__l0", F.array(F.named_struct(F.lit("path"), F.lit("$"), F.lit("v"), doc))).filter(doc.isNotNull())
-    for d in range(max_depth):
-        level = level.withColumn(f"__l{d + 1}", F.flatten(F.transform(f"__l{d}", children)))
-    nodes = F.concat(*[F.col(f"__l{d}") for d in range(max_depth + 1)])
-    return level.select(*keep, F.explode(nodes).alias("__n")).select(*keep, "__n.path", "__n.v")
+    root = F.array(F.named_struct(F.lit("path"), F.lit("$"), F.lit("v"), doc))
+    level, done = df.filter(doc.isNotNull()).select(*keep, root.alias("__l0")), []
+    while True:
+        for d in range(LEVELS):
+            level = level.withColumn(f"__l{d + 1}", F.flatten(F.transform(f"__l{d}", children)))
+        nodes = F.concat(*[F.col(f"__l{d}") for d in range(LEVELS)])
+        done.append(level.select(*keep, F.explode(nodes).alias("__n")).select(*keep, "__n.path", "__n.v"))
+        deeper = level.filter(F.size(f"__l{LEVELS}") > 0).select(*keep, F.col(f"__l{LEVELS}").alias("__l0"))
+        if deeper.isEmpty():
+            break
+        level = materialize(deeper)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
