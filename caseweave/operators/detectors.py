@@ -510,7 +510,7 @@ def unicode_normalization(docs: DataFrame) -> DataFrame:
     return detect(odd, "unicode", [
         Rule("unicode_nfkc_normalization_delta", "medium", F.col("_nfkc") != F.col("text"), detail=F.sha2("_nfkc", 256)),
         Rule("mixed_script_tokens", "high", F.size("_mixed") > 0,
-             detail=F.array_join(F.slice("_mixed", 1, 20), ",")),
+             detail=F.concat(F.size("_mixed").cast("string"), F.lit(": "), F.array_join(F.slice("_mixed", 1, 20), ","))),
     ], kind="document", subject="doc_id")
 
 

@@ -99,9 +99,9 @@ def coverage(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFram
         F.array_join(F.array_sort(F.collect_set(F.when(~have, F.col("item")))), ",").alias("missing"))
 
 
-def finding_cube(findings: DataFrame) -> DataFrame:
-    """Finding counts over analyzer x severity x tenant with all subtotals."""
-    return findings.cube("analyzer", "severity", "tenant_id").agg(
+def finding_cube(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Finding counts over analyzer x severity x tenant (or other columns) with all subtotals."""
+    return findings.cube(*(by or ["analyzer", "severity", "tenant_id"])).agg(
         F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import present, truthy
 from ..schema import ensure
 from .detectors import MCP_COLUMNS, first_present, mcp_method
+from ..schema import union_all
 from ..runtime import materialize
 from .ordered import nth_of_key, prior, time_chunk
 
@@ -59,6 +60,22 @@ def ordering_ambiguity(timeline: DataFrame, keys: list[str], chunk_seconds: int
     }).drop("_us", "_nus", "_nord", "_prev_end", "_next_start")
 
 
+def merged_timeline(*sources: DataFrame) -> DataFrame:
+    """One timeline from adjusted logs and kernel traces: ``source, key, event_id, ord`` and the adjusted interval.
+
+    Ordering ambiguity then holds across sources, as rows of all of them stand in one order.
+    """
+    cols = ["source", "key", "event_id", "ord", "adjusted", "interval_start", "interval_end", "timestamp_quality"]
+    return union_all([s.select(*cols) for s in sources])
+
+
+def activity_union(processes: DataFrame, files: DataFrame, network: DataFrame) -> DataFrame:
+    """Process, file and network observations of a host in one shape: ``kind, host_id, ts, subject, detail``."""
+    cols = ["host_id", "ts", "subject", "detail"]
+    return union_all([df.select(F.lit(kind).alias("kind"), *cols)
+                      for kind, df in (("process", processes), ("file", files), ("network", network))])
+
+
 def first_change_event(timeline: DataFrame, keys: list[str]) -> DataFrame:
     """Earliest event per case whose summary names a model-changing term."""
     hit = F.lower("summary").rlike("|".join(CHANGE_TERMS))

@@ -500,15 +500,10 @@ def f15(spark, sf):
     return D.markup(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
-@query("f15_entity_decoding")
-def f15_entities(spark, sf):
-    return D.entity_decoding(table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
-
-
 def smuggled_docs(d):
     return """
     SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN text || '‮⁦' WHEN 1 THEN '​' || text || '⁠'
-             WHEN 2 THEN text || '\U000e0041\U000e0042\U000e007f' WHEN 3 THEN text || '️\U000e0101' WHEN 4 THEN '' || text
+             WHEN 2 THEN '\U000e0041\U000e0042\U000e007f' || text || '\U000e0043\U000e007f' WHEN 3 THEN text || '️\U000e0101' WHEN 4 THEN '' || text
              WHEN 5 THEN text || 'ае Α' WHEN 6 THEN text || '⁫' WHEN 7 THEN text || ' ﬁle pаypal' ELSE text END AS text
     FROM {documents}"""
 
@@ -520,16 +515,19 @@ def f16(spark, sf):
     return D.unicode_smuggling(domain(spark, sf, smuggled_docs))
 
 
-@query("f16_unicode_normalization")
-def f16_norm(spark, sf):
-    return D.unicode_normalization(domain(spark, sf, smuggled_docs))
+@query("f16_mixed_scripts", f"""WITH t AS ({duck(smuggled_docs)}), m AS (SELECT doc_id, list_filter(regexp_extract_all(text, '([\\p{{L}}\\p{{M}}\\p{{N}}_]+)', 1), lambda x: regexp_matches(x, '[^\\x00-\\x7F]')
+  AND len(list_filter([{", ".join("regexp_matches(x, '" + chr(92) + "p{" + s + "}')" for s in X.SCRIPTS)}], lambda y: y)) > 1) AS words FROM t)
+SELECT doc_id, len(words) AS words, array_to_string(words[1:20], ',') AS examples FROM m WHERE len(words) > 0""")
+def f16_scripts(spark, sf):
+    t = domain(spark, sf, smuggled_docs).select("doc_id", X.mixed_script_tokens("text").alias("w")).filter("size(w) > 0")
+    return t.select("doc_id", F.size("w").alias("words"), F.array_join(F.slice("w", 1, 20), ",").alias("examples"))
 
 
 @query("f16_tag_payload", f"""WITH t AS ({duck(smuggled_docs)})
-SELECT doc_id, 'AB' AS payload FROM t WHERE doc_id % 9 = 2""")
+SELECT doc_id, 1 AS run, 'AB' AS payload FROM t WHERE doc_id % 9 = 2 UNION ALL SELECT doc_id, 2, 'C' FROM t WHERE doc_id % 9 = 2""")
 def f16_payload(spark, sf):
     t = domain(spark, sf, smuggled_docs)
-    return t.select("doc_id", X.tag_payload("text").alias("payload")).filter("payload IS NOT NULL")
+    return t.select("doc_id", F.posexplode(X.tag_payload("text")).alias("run", "payload")).withColumn("run", F.col("run") + 1)
 
 
 def terminal_docs(d):

@@ -12,7 +12,8 @@ from ..operators import joins as J
 from ..operators import rollups as R
 from .detectors import CARD, ROUTER_POLICY, a2a_log, router_events
 from .domains import base_events
-from .registry import domain, duck, query, table
+from ..schema import union_all
+from .registry import FINDING_QUERIES, ORACLE, QUERIES, domain, duck, query, table
 
 
 # J16, J17 -----------------------------------------------------------------
@@ -331,24 +332,51 @@ FINDINGS_SQL = f"WITH ro AS ({duck(router_events)}), ab AS ({duck(a2a_log)}), f
     + [f"SELECT 'a2a_binding', '{t}', '{s}', event_id, tenant FROM ab WHERE {c}" for t, s, c in _BIND]) + ")"
 
 
+# Every registered detector whose rows have the four finding columns.
+ANALYZERS = ["f1_", "f2_", "f3_", "f5_", "f6_mcp", "f7_", "f8_", "f9_", "f10_", "f11_", "f12_", "f13_", "f14_render_requests",
+             "f18_", "f19_", "f20_", "f21_", "f24_"]
+_COLUMNS = ["type", "severity", "subject_id", "event_id"]
+
+
+def _analyzers():
+    """Registered queries with SQL of the families above, in name order."""
+    return [n for n in sorted(QUERIES) if n in ORACLE and any(n.startswith(p) for p in ANALYZERS) and n in FINDING_QUERIES]
+
+
+def all_findings(spark, sf):
+    """One table of all detectors' findings; each detector keeps its own scan."""
+    return union_all([QUERIES[n](spark, sf).select(F.lit(n).alias("analyzer"), *_COLUMNS) for n in _analyzers()])
+
+
+ALL_SQL = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS analyzer, {', '.join(_COLUMNS)} FROM ({ORACLE[n]}) x" for n in _analyzers()) + ")"
+
+
 @query("g36_finding_cube", FINDINGS_SQL + " SELECT analyzer, severity, tenant_id, count(*) AS n, CAST(grouping(analyzer, severity, tenant_id) AS BIGINT) AS level FROM f GROUP BY CUBE (analyzer, severity, tenant_id)")
 def g36(spark, sf):
     return R.finding_cube(finding_table(spark, sf)).withColumn("level", F.col("level").cast("bigint"))
 
 
-@query("g28_severity_counts", FINDINGS_SQL + " SELECT severity, count(*) AS n FROM f GROUP BY 1")
+@query("g36_analyzer_cube", ALL_SQL + " SELECT analyzer, severity, type, count(*) AS n, CAST(grouping(analyzer, severity, type) AS BIGINT) AS level FROM f GROUP BY CUBE (analyzer, severity, type)")
+def g36_all(spark, sf):
+    return R.finding_cube(all_findings(spark, sf), ["analyzer", "severity", "type"]).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query("g28_severity_counts", ALL_SQL + " SELECT severity, count(*) AS n FROM f GROUP BY 1")
 def g28(spark, sf):
-    return R.severity_counts(finding_table(spark, sf))
+    return R.severity_counts(all_findings(spark, sf))
 
 
-@query("u3_signal_union", FINDINGS_SQL + " SELECT DISTINCT type FROM f")
+@query("u3_signal_union", ALL_SQL + " SELECT analyzer, type, severity, subject_id, event_id FROM f")
 def u3(spark, sf):
-    return finding_table(spark, sf).select("type").distinct()
+    return all_findings(spark, sf)
 
 
-@query("t5_worst_findings", FINDINGS_SQL + """ SELECT type, event_id, CASE severity WHEN 'critical' THEN 50 ELSE 40 END AS severity_score FROM f ORDER BY severity_score DESC, type, event_id LIMIT 500""")
+@query("t5_worst_findings", ALL_SQL + """ SELECT type, analyzer, event_id, CASE severity WHEN 'critical' THEN 50 WHEN 'high' THEN 40 WHEN 'medium' THEN 30 WHEN 'low' THEN 20 ELSE 10 END AS severity_score FROM f
+ORDER BY severity_score DESC, type, analyzer, event_id LIMIT 500""")
 def t5(spark, sf):
-    return finding_table(spark, sf).orderBy(F.desc("severity_score"), "type", "event_id").limit(500).select("type", "event_id", "severity_score")
+    score = F.coalesce(*[F.when(F.col("severity") == s, n) for s, n in (("critical", 50), ("high", 40), ("medium", 30), ("low", 20))], F.lit(10))
+    return (all_findings(spark, sf).withColumn("severity_score", score).orderBy(F.desc("severity_score"), "type", "analyzer", "event_id").limit(500)
+            .select("type", "analyzer", "event_id", "severity_score"))
 
 
 @query("g29_content_verdicts", """WITH f AS (SELECT CAST(l_orderkey AS VARCHAR) AS item_id, CASE WHEN l_quantity = 50 THEN 'CRITICAL' WHEN l_quantity > 45 THEN 'high' ELSE 'low' END AS severity FROM lineitem)

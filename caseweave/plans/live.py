@@ -30,7 +30,7 @@ def beats(df):
 
 @query("st1_fleet_states")
 def st1(spark, sf):
-    return J.run_available(J.fleet_states(beats(stream(spark, sf)).withWatermark("ts", "1 hour"))).filter("verdict <> 'stale'").drop("ts")
+    return J.run_available(J.fleet_states(beats(stream(spark, sf)).withWatermark("ts", "1 hour"))).drop("ts")
 
 
 @query("st4_alerts", """SELECT DISTINCT 'node-' || user_id % 25 AS node_id, event_id // 4 AS seq, 'code-' || event_id % 2 AS code FROM events WHERE event_type IN ('error', 'signup')""")
@@ -56,17 +56,17 @@ def st6(spark, sf):
     return J.run_available(late.select("event_id", "verdict"))
 
 
-@query("st7_windowed_counts", """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, user_id % 4 AS service, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, max(value) AS max_lag_seconds FROM events GROUP BY 1, 2""")
+@query("st7_windowed_counts", """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, user_id % 4 AS service, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, max(value) AS max_lag_seconds FROM events GROUP BY 1, 2 HAVING start_us + 3600000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""")
 def st7(spark, sf):
     e = stream(spark, sf).withColumns({"service": F.col("user_id") % 4, "lag_seconds": F.col("value")})
-    t = J.run_available(J.windowed_counts(e, ["service"], "1 hour"), "complete")
+    t = J.run_available(J.windowed_counts(e, ["service"], "1 hour"))
     return t.select(F.unix_micros("w.start").alias("start_us"), "service", "events", "errors", "max_lag_seconds")
 
 
 @query("st8_session_activity", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, s""")
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, s HAVING epoch_us(max(ts)) + 7200000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""")
 def st8(spark, sf):
-    t = J.run_available(J.session_activity(stream(spark, sf), "user_id", "2 hours"), "complete")
+    t = J.run_available(J.session_activity(stream(spark, sf), "user_id", "2 hours"))
     return t.select("user_id", F.unix_micros("w.start").alias("start_us"), "events")
 
 
@@ -79,9 +79,10 @@ def st9(spark, sf):
     return J.run_available(brief(D.browser_activity(e, ["https://s0.example"])))
 
 
-@query("st10_bundle_gaps", """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, 'src-' || user_id % 10 AS source_id, count(*) AS seen, count(*) / 40.0 < 0.95 AS incomplete FROM events WHERE user_id % 10 < 8 GROUP BY 1, 2""")
+@query("st10_bundle_gaps", """WITH d AS (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, user_id % 10 AS n FROM events), w AS (SELECT DISTINCT start_us FROM d WHERE start_us + 86400000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events))
+SELECT w.start_us, 'src-' || s AS source_id, count(n) AS seen, count(n) / 40.0 < 0.95 AS incomplete FROM w CROSS JOIN (SELECT unnest(range(0, 14)) AS s) x LEFT JOIN d ON d.start_us = w.start_us AND n = s GROUP BY 1, 2""")
 def st10(spark, sf):
     e = stream(spark, sf).withColumn("source_id", F.concat(F.lit("src-"), F.col("user_id") % 10))
-    exp = table(spark, sf, "supplier").filter("s_suppkey < 8").select(F.concat(F.lit("src-"), "s_suppkey").alias("source_id"), F.lit(40).alias("expected_events"), F.lit(None).cast("double").alias("min_event_ratio"))
-    t = J.run_available(J.bundle_gaps(e, exp, "1 day"), "complete")
+    exp = table(spark, sf, "supplier").filter("s_suppkey < 14").select(F.concat(F.lit("src-"), "s_suppkey").alias("source_id"), F.lit(40).alias("expected_events"), F.lit(None).cast("double").alias("min_event_ratio"))
+    t = J.run_available(J.bundle_gaps(e, exp, "1 day"))
     return t.select(F.unix_micros("w.start").alias("start_us"), "source_id", "seen", "incomplete")

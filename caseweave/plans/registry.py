@@ -15,6 +15,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# Names of queries that return the four finding columns.
+FINDING_QUERIES: set[str] = set()
 
 
 class Spark:
@@ -87,10 +89,18 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
+            if getattr(sql, "is_findings", False):
+                FINDING_QUERIES.add(name)
         return fn
     return register
 
 
+class FindingSql(str):
+    """SQL of a detector."""
+
+    is_findings = True
+
+
 def finding_sql(cte: str, rules: list[tuple[str, str, str]], *, src: str, event_id: str = "event_id",
                 subject: str = "subject_id", columns: str = "") -> str:
     """Oracle text of a row-local detector: one UNION ALL branch per finding type."""
@@ -99,7 +109,7 @@ def finding_sql(cte: str, rules: list[tuple[str, str, str]], *, src: str, event_
         f"CAST({event_id} AS VARCHAR) AS event_id FROM {src} WHERE {cond}"
         for t, sev, cond in rules
     ]
-    return f"{cte} " + " UNION ALL ".join(branches)
+    return FindingSql(f"{cte} " + " UNION ALL ".join(branches))
 
 
 def brief(findings: DataFrame) -> DataFrame:

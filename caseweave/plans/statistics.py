@@ -173,8 +173,7 @@ def g33(spark, sf):
     return _r(t, ["delta_fro", "reference_fro", "relative_fro_delta", "mean_abs_delta", "max_abs_delta", "changed_fraction"], 6)
 
 
-@query("p1_low_rank_screen")
-def p1(spark, sf):
+def low_rank_screen(spark, sf):
     both = _chunks(spark, sf).withColumnRenamed("values", "r").join(_chunks(spark, sf, True).withColumnRenamed("values", "s"), ["tensor", "chunk_id"])
     cells = both.select("tensor", F.col("chunk_id").alias("row"), F.posexplode(F.zip_with("s", "r", lambda a, b: a - b)).alias("col", "delta"))
     return _r(S.low_rank_screen(S.sample_positions(cells)), ["sample_fro", "top1_energy_ratio", "top5_energy_ratio", "effective_rank"], 4)

@@ -41,6 +41,45 @@ def w1(spark, sf):
     return W.ordering_ambiguity(t, ["tenant_id"]).select("event_id", "ambiguous_with_previous", "ambiguous_with_next")
 
 
+def order_rows(d):
+    return f"""SELECT 'order-' || CAST(o_orderkey AS STRING) AS event_id, 'T' || CAST(o_custkey % 4 AS STRING) AS tenant_id, o_orderkey AS ord,
+      CAST({d.ts_add("TIMESTAMP '2024-01-01 00:00:00'", 'o_orderkey * 40', 'SECOND')} AS TIMESTAMP) AS ts, CAST(o_custkey % 7 AS DOUBLE) * 1000.0 AS clock_offset_ms,
+      CASE WHEN o_custkey % 3 = 0 THEN 5000.0 ELSE 0.0 END AS clock_uncertainty_ms FROM {{orders}}"""
+
+
+def kernel_rows(d):
+    return f"""SELECT 'krn-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS event_id, l_suppkey % 4 AS collector_id,
+      CAST(l_orderkey * 100000 + l_partkey AS BIGINT) * 1000000 AS ts_ns, ((CAST(l_orderkey AS BIGINT) * 8 + l_linenumber) * 1000 + l_partkey % 1000) * 1000 + l_suppkey % 1000 AS ord FROM {{lineitem}}"""
+
+
+@query("u1_merged_timeline", f"""WITH e AS (SELECT 'events' AS source, tenant_id AS key, event_id, ord * 4 AS ord, epoch_us(ts) + CAST(clock_offset_ms * 1000 AS BIGINT) AS adj, CAST(clock_uncertainty_ms * 1000 AS BIGINT) AS half FROM ({duck(timeline_rows)})
+ UNION ALL SELECT 'orders', tenant_id, event_id, ord * 4 + 1, epoch_us(ts) + CAST(clock_offset_ms * 1000 AS BIGINT), CAST(clock_uncertainty_ms * 1000 AS BIGINT) FROM ({duck(order_rows)})
+ UNION ALL SELECT 'kernel', 'T' || collector_id, event_id, ord * 4 + 2, epoch_us(TIMESTAMP '2024-01-01') + (ts_ns - min(ts_ns) OVER (PARTITION BY collector_id)) // 1000, 1000000 FROM ({duck(kernel_rows)}))
+SELECT source, event_id, adj AS adjusted_us, coalesce(adj - half <= lag(adj + half) OVER w, false) AS ambiguous_with_previous, coalesce(lead(adj - half) OVER w <= adj + half, false) AS ambiguous_with_next
+FROM e WINDOW w AS (PARTITION BY key ORDER BY adj, ord)""")
+def u1(spark, sf):
+    from ..sources.traces import kernel_timeline
+    adjusted = lambda n, name, rows: W.adjusted_timeline(rows).withColumns({"source": F.lit(name), "key": F.col("tenant_id"), "ord": F.col("ord").cast("bigint") * 4 + n})
+    k = domain(spark, sf, kernel_rows)
+    c = k.select("collector_id").distinct().withColumn("start", F.lit("2024-01-01").cast("timestamp"))
+    kernel = kernel_timeline(k, c).withColumns({"source": F.lit("kernel"), "key": F.concat(F.lit("T"), "collector_id"), "ord": F.col("ord") * 4 + 2})
+    t = W.merged_timeline(adjusted(0, "events", domain(spark, sf, timeline_rows)), adjusted(1, "orders", domain(spark, sf, order_rows)), kernel)
+    return W.ordering_ambiguity(t, ["key"]).select("source", "event_id", F.unix_micros("adjusted").alias("adjusted_us"), "ambiguous_with_previous", "ambiguous_with_next")
+
+
+@query("u5_activity_union", """SELECT 'process' AS kind, 'host-' || s_nationkey AS host_id, epoch_us(TIMESTAMP '2024-01-01') + s_suppkey * 1000000 AS us, s_name AS subject, CAST(s_suppkey AS VARCHAR) AS detail FROM supplier
+UNION ALL SELECT 'file', 'host-' || p_size, epoch_us(TIMESTAMP '2024-01-01') + p_partkey * 1000000, p_name, p_brand FROM part
+UNION ALL SELECT 'network', 'host-' || user_id, epoch_us(ts), 'https://s' || (user_id % 9), event_type FROM events""")
+def u5(spark, sf):
+    second = lambda n: F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + n)
+    text = lambda c: F.col(c).cast("string")
+    host = lambda c: F.concat(F.lit("host-"), c)
+    p = table(spark, sf, "supplier").select(host("s_nationkey").alias("host_id"), second(F.col("s_suppkey")).alias("ts"), F.col("s_name").alias("subject"), text("s_suppkey").alias("detail"))
+    f = table(spark, sf, "part").select(host("p_size").alias("host_id"), second(F.col("p_partkey")).alias("ts"), F.col("p_name").alias("subject"), F.col("p_brand").alias("detail"))
+    n = table(spark, sf, "events").select(host("user_id").alias("host_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("https://s"), F.col("user_id") % 9).alias("subject"), F.col("event_type").alias("detail"))
+    return W.activity_union(p, f, n).select("kind", "host_id", F.unix_micros("ts").alias("us"), "subject", "detail")
+
+
 @query("w3_first_change_event", TL_SQL + """
 SELECT tenant_id, event_id, event_type, summary FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY adj, ord) AS rn
   FROM t WHERE regexp_matches(lower(summary), 'adapter|lora')) WHERE rn = 1""")

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_WRITTEN: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``.  A local-mode session
-    (tests) without that setting gets a temporary folder; a cluster without it
-    is an error, because an executor-local folder would not survive a lost node.
+    The cluster names it in ``spark.checkpoint.dir``.  Where it is unset, as in
+    tests, it is a folder of the warehouse, which all executors share as well.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    current = getattr(sc, "_caseweave_dir", None)
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc._caseweave_dir = tempfile.mkdtemp(prefix="caseweave-")
-    return sc._caseweave_dir
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/caseweave-stages").rstrip("/")
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the intermediates this session wrote; call it when all results that read them are written."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -36,6 +36,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -112,10 +112,18 @@ def session_activity(events: DataFrame, key: str, gap: str, delay: str = "10 min
 
 
 def bundle_gaps(events: DataFrame, expectations: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Seen against expected events per source and window (stream-static join)."""
-    seen = events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w"), "source_id").agg(F.count("*").alias("seen"))
-    return seen.join(expectations, "source_id").select(
-        "w", "source_id", "seen", (F.col("seen") / F.col("expected_events") < F.coalesce("min_event_ratio", F.lit(0.95))).alias("incomplete"))
+    """Seen against expected events per expected source and closed window; a silent source has 0.
+
+    ``expectations`` (source_id, expected_events, min_event_ratio) is bounded
+    configuration: it becomes one counter per source, so windows times sources
+    come out of one aggregation.
+    """
+    listed = expectations.select("source_id", "expected_events", F.coalesce("min_event_ratio", F.lit(0.95)).alias("ratio")).collect()
+    seen = [F.count_if(F.col("source_id") == r.source_id).alias(f"n{i}") for i, r in enumerate(listed)]
+    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w")).agg(*seen)
+    rows = [F.struct(F.lit(r.source_id).alias("source_id"), F.col(f"n{i}").alias("seen"),
+                     (F.col(f"n{i}") / r.expected_events < r.ratio).alias("incomplete")) for i, r in enumerate(listed)]
+    return counts.select("w", F.explode(F.array(*rows)).alias("r")).select("w", "r.*")
 
 
 def read_table(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:

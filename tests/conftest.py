@@ -6,6 +6,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+from caseweave.runtime import clear_stages  # noqa: E402
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
@@ -14,6 +17,7 @@ def spark():
          .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    clear_stages(s)
     s.stop()
 
 

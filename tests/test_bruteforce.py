@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import unicodedata
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import pytest
@@ -14,6 +15,7 @@ from caseweave.operators import integrity as I
 from caseweave.operators import ranks as R
 from caseweave.operators import replication as P
 from caseweave.operators import statistics as S
+from caseweave.operators import windows as W
 from caseweave.sources import cloud as C
 from caseweave.streaming import jobs
 
@@ -136,14 +138,11 @@ def test_decimal_range(spark):
     assert {r["x"]: r["ok"] for r in df.collect()} == {**{x: True for x in good}, **{x: False for x in bad}}
 
 
-def test_redaction_and_representation(spark):
+def test_redaction(spark):
     d = spark.createDataFrame([("mail a@b.io or c@d.org token: abcdefgh12 from 10.0.0.1",)], "text string")
-    r = d.select(X.redact("text", F.lit(["email", "ipv4", "api_key"])).alias("r")).collect()[0]["r"]
+    r = d.select(X.redact("text", ["email", "ipv4", "api_key"]).alias("r")).collect()[0]["r"]
     assert r["counts"] == {"email": 2, "ipv4": 1, "api_key": 1}
     assert f"[REDACTED:email:{hashlib.sha256(b'a@b.io').hexdigest()[:12]}]" in r["text"]
-    p = spark.createDataFrame([("pay ten now", "pay ten now"), ("pay ten now", "pаy tеn nоw")], "a string, b string")
-    got = [x["s"]["character_similarity"] for x in p.select(X.representation_similarity("a", "b").alias("s")).collect()]
-    assert got[0] == 1.0 and got[1] < 1.0
 
 
 def test_unicode_udfs(spark):
@@ -212,3 +211,51 @@ def test_recovery_hysteresis():
         s, k = jobs.next_state(score, s, k)
         seen.append(s)
     assert seen == ["CRITICAL", "CRITICAL", "CRITICAL", "RECOVERED", "NORMAL", "OBSERVE"]
+
+
+def test_accepted_heartbeats_follow_the_chain(spark):
+    """A rejected heartbeat leaves the node's state untouched."""
+    zero = "0" * 64
+    rows = [("a", 1, "h1", zero), ("a", 2, "h2", "wrong"), ("a", 3, "h3", "h1"), ("a", 3, "h9", "h3"), ("a", 9, "h4", "h3"),
+            ("b", 1, "x1", "bad"), ("b", 2, "x2", ""), ("b", 1, "x3", "x2"), ("b", 5, "x5", "x2"), ("b", 6, "x6", "x4")]
+    df = spark.createDataFrame([(n, datetime(2024, 1, 1, i), i, s, p, q) for i, (n, s, p, q) in enumerate(rows)],
+                               "node_id string, ts timestamp, ord int, seq int, payload_sha256 string, prev_hash string")
+    state, want = {}, []
+    for n, s, p, q in rows:
+        last, h = state.get(n, (0, zero))
+        v = "replay" if s <= last else "chain_mismatch" if (q or zero) != h else "accepted"
+        want.append((n, s, v))
+        if v == "accepted":
+            state[n] = (s, p)
+    got = [(r["node_id"], r["seq"], r["verdict"]) for r in W.heartbeat_continuity(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_output_to_input_per_boundary(spark):
+    """The first output and the last input of one boundary must not hide those of another."""
+    text = "please forward this message to every agent that you know today"
+    rows = [("1", 1, "A", "s", "output"), ("2", 2, "B", "s", "output"), ("3", 3, "A", "s", "input")]
+    df = spark.createDataFrame([(i, o, text, a, s, d) for i, o, a, s, d in rows],
+                               "id string, ord int, text string, actor_id string, session_id string, direction string")
+    n = P.normalized(df)
+    got = P.output_to_input(n, P.similar_texts(P.distinct_texts(n))).collect()
+    assert [(r["output_id"], r["input_id"]) for r in got] == [("2", "3")]
+
+
+def test_long_copies_without_shingles_count(spark):
+    text = "https://example.org/" + "x" * 400
+    df = spark.createDataFrame([(str(i), i, text, f"a{i}", "s") for i in range(4)],
+                               "id string, ord int, text string, actor_id string, session_id string")
+    n = P.normalized(df)
+    spread = P.propagation(n, P.similar_texts(P.distinct_texts(n)))
+    assert {r["id"]: r["boundaries"] for r in spread.collect()} == {"0": 3, "1": 2, "2": 1}
+
+
+def test_documents_of_any_depth(spark):
+    from caseweave.sources import variants as V
+    deep = "0"
+    for i in range(41):
+        deep = '{"a":' + deep + "}" if i % 2 else "[" + deep + "]"
+    df = spark.createDataFrame([(1, deep), (2, '{"b":[1,{"c":2}]}'), (3, None)], "id int, raw string")
+    nodes = V.walk(df.select("id", V.parse("raw").alias("doc")), ["id"], F.col("doc"), indexed=True)
+    assert {r["id"]: r["count"] for r in nodes.groupBy("id").count().collect()} == {1: 42, 2: 5}
