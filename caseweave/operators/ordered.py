@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK = "__chunk"
+_KEY, _CHUNK = "__key", "__chunk"
 
 
 def time_chunk(ts: Column | str, seconds: int = 3600) -> Column:
@@ -36,16 +36,17 @@ def prior(df: DataFrame, keys: list[str], order: list[str], specs: dict, chunk:
     (rows where the column is true).  ``chunk`` must never decrease along
     ``order``.  Sums and counts are 0 when nothing precedes.
     """
-    tagged = df.withColumn(_CHUNK, chunk)
     exprs = {}
     for name, (kind, column) in specs.items():
         column = F.col(column) if isinstance(column, str) else column
         exprs[name] = (kind, column if kind != "count" else F.when(column, F.lit(1)).otherwise(F.lit(0)))
-    tagged = tagged.withColumns({f"__v_{n}": c for n, (_, c) in exprs.items()})
+    # One struct stands for the key: it is never null, so the join needs no null-safe comparison and reuses the
+    # partitioning and the order of the window.  The rows move once; summaries are aggregated before they move.
+    tagged = df.withColumns({_KEY: F.struct(*keys), _CHUNK: chunk, **{f"__v_{n}": c for n, (_, c) in exprs.items()}})
 
-    inside = (Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    inside = (Window.partitionBy(_KEY, _CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    carried = (Window.partitionBy(*keys).orderBy(_CHUNK)
+    carried = (Window.partitionBy(_KEY).orderBy(_CHUNK)
                .rowsBetween(Window.unboundedPreceding, -1))
     position = F.struct(*order)
     per_chunk, carry, local = [], [], {}
@@ -61,14 +62,9 @@ def prior(df: DataFrame, keys: list[str], order: list[str], specs: dict, chunk:
             carry.append(agg(s).over(carried).alias(f"__c_{name}"))
             local[name] = agg(v).over(inside)
 
-    summary = tagged.groupBy(*keys, _CHUNK).agg(*per_chunk).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(_CHUNK).alias("__kc"), *carry)
+    summary = tagged.groupBy(_KEY, _CHUNK).agg(*per_chunk).select(_KEY, _CHUNK, *carry)
     rows = tagged.withColumns({f"__l_{n}": c for n, c in local.items()})
-    match = F.col(_CHUNK) == F.col("__kc")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = rows.join(summary, match, "left")
+    joined = rows.join(summary, [_KEY, _CHUNK], "left")
 
     out = [F.col(c) for c in df.columns]
     for name, (kind, _) in exprs.items():
