@@ -6,11 +6,15 @@ empty requirement list follows the pack's own logic.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import union_all
 
+ANCHORS = (8, 4, 2, 1)  # lengths of the beginnings by which contained terms are looked up
 # Evidence quality scale and the states that never satisfy a gate.
 QUALITY = {"MISSING": 0, "PRESENT_UNVALIDATED": 1, "VALIDATED": 2, "CORRELATED": 3, "AUTHORITATIVE": 4,
            "CONFLICTING": -1, "STALE": -1, "INCOMPLETE": -1}
@@ -87,30 +91,68 @@ def attach_packs(rule_signals: DataFrame, signals: DataFrame) -> DataFrame:
             .select("case_id", "pack_id").distinct())
 
 
+def _grams(text: Column) -> Column:
+    """All distinct pieces of a text of the lengths that ``_anchor`` uses."""
+    def cut(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(cut, ANCHORS)))
+
+
+def _anchor(term: Column) -> Column:
+    """The longest beginning of a term that has one of the anchor lengths."""
+    return F.coalesce(*[F.when(F.length(term) >= n, F.substring(term, 1, n)) for n in ANCHORS], F.lit(""))
+
+
+def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(text, term)`` where the text contains the term: an equi join on the term's anchor, then verified."""
+    pieces = texts.select("text").distinct().withColumn("gram", F.explode(_grams(F.col("text"))))
+    anchors = terms.select("term").distinct().withColumn("gram", _anchor(F.col("term")))
+    return pieces.join(anchors, "gram").filter(F.contains("text", "term")).select("text", "term")
+
+
 def resolve_packs(alerts: DataFrame, packs: DataFrame) -> DataFrame:
     """Weighted pack matches per alert, ranked.
 
     ``alerts``: alert_key, alert_id, alert_title, platform, incident_type,
     agent.  ``packs``: pack_id, alert_ids, alert_titles, platforms,
-    incident_types, agents, detection_families (arrays).  The pack catalog is a
-    bounded configuration table, attached to every alert as one array.
+    incident_types, agents, detection_families (arrays).  Equal terms meet in
+    one join on kind and term, contained ones through ``contained`` on distinct
+    titles; only pairs that match somewhere are formed.  ``alert_key`` and
+    ``pack_id`` name one alert and one pack; several rows of one name count as one.
     """
     norm = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
-    catalog = packs.agg(F.collect_list(F.struct(*packs.columns)).alias("catalog"))
-    a = alerts.withColumns({"t": norm(F.col("alert_title")), "pl": norm(F.col("platform")),
-                            "it": norm(F.col("incident_type")), "ag": norm(F.col("agent"))})
-    m = a.select("alert_key", "alert_id", "t", "pl", "it", "ag", F.explode(catalog.scalar()).alias("p"))
-    given = lambda c: F.col(c) != ""
-    exact = F.exists("p.alert_titles", lambda x: norm(x) == F.col("t"))
-    partial = F.exists("p.alert_titles", lambda x: F.contains(F.col("t"), norm(x)) | F.contains(norm(x), F.col("t")))
-    one_of = lambda arr, c: given(c) & F.exists(arr, lambda x: norm(x) == F.col(c))
-    weight = lambda cond, w: F.when(cond, w).otherwise(0)
-    score = (weight(F.coalesce(F.array_contains("p.alert_ids", F.col("alert_id")), F.lit(False)), 100)
-             + F.when(given("t") & exact, 80).when(given("t") & partial, 50).otherwise(0)
-             + weight(one_of("p.platforms", "pl"), 30) + weight(one_of("p.incident_types", "it"), 35)
-             + weight(one_of("p.agents", "ag"), 25)
-             + weight(given("t") & F.exists("p.detection_families", lambda x: F.contains(F.col("t"), norm(x))), 20))
-    s = m.select("alert_key", F.col("p.pack_id").alias("pack_id"), score.alias("score")).filter("score > 0")
+    # kind of term, alert column, pack column, weight of an equal term
+    kinds = [("id", F.col("alert_id"), F.col("alert_ids"), 100),
+             ("title", norm(F.col("alert_title")), F.transform("alert_titles", norm), 80),
+             ("platform", norm(F.col("platform")), F.transform("platforms", norm), 30),
+             ("incident", norm(F.col("incident_type")), F.transform("incident_types", norm), 35),
+             ("agent", norm(F.col("agent")), F.transform("agents", norm), 25)]
+    said = alerts.select("alert_key", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("kind"), own.alias("term"), F.lit(w).alias("weight")) for k, own, _, w in kinds])).alias("s"))
+    said = said.select("alert_key", "s.*").filter("kind = 'id' OR term <> ''")
+    empty = F.array().cast("array<string>")
+    named = lambda k, terms: F.transform(F.coalesce(terms, empty), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("term")))
+    wanted = packs.select("pack_id", F.explode(F.concat(*[named(k, terms) for k, _, terms, _ in kinds])).alias("p"))
+    wanted = wanted.select("pack_id", "p.*").distinct()
+    equal = said.join(wanted, ["kind", "term"]).select("alert_key", "pack_id", "kind", "weight")
+
+    titled = said.filter("kind = 'title'").select("alert_key", F.col("term").alias("text"))
+    titles = wanted.filter("kind = 'title'").select("pack_id", "term")
+    families = packs.select("pack_id", F.explode(F.transform("detection_families", norm)).alias("term"))
+    longer = contained(titles.select(F.col("term").alias("text")), titled.select(F.col("text").alias("term")))
+    found = union_all([
+        contained(titled, titles).join(titles, "term").select("text", "pack_id", F.lit("title").alias("kind"), F.lit(50).alias("weight")),
+        longer.select(F.col("text").alias("term"), F.col("term").alias("text")).join(titles, "term")
+        .select("text", "pack_id", F.lit("title").alias("kind"), F.lit(50).alias("weight")),
+        contained(titled, families).join(families, "term")
+        .select("text", "pack_id", F.lit("family").alias("kind"), F.lit(20).alias("weight"))]).distinct()
+    partly = titled.join(found, "text").select("alert_key", "pack_id", "kind", "weight")
+
+    best = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("weight"))), F.lit(0)) for k in
+            ("id", "title", "platform", "incident", "agent", "family")]
+    s = equal.unionByName(partly).groupBy("alert_key", "pack_id").agg(reduce(add, best).alias("score"))
     w = Window.partitionBy("alert_key").orderBy(F.desc("score"), F.desc("pack_id"))
     return s.withColumn("rank", F.row_number().over(w))
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseweave.functions import text as X
+from caseweave.operators import gates as G
 from caseweave.operators import integrity as I
 from caseweave.operators import ranks as R
 from caseweave.operators import replication as P
@@ -259,3 +260,32 @@ def test_documents_of_any_depth(spark):
     df = spark.createDataFrame([(1, deep), (2, '{"b":[1,{"c":2}]}'), (3, None)], "id int, raw string")
     nodes = V.walk(df.select("id", V.parse("raw").alias("doc")), ["id"], F.col("doc"), indexed=True)
     assert {r["id"]: r["count"] for r in nodes.groupBy("id").count().collect()} == {1: 42, 2: 5}
+
+
+def test_pack_resolution_with_contained_and_odd_terms(spark):
+    """Every weight against a plain loop over alerts and packs: contained both ways, empty and null terms."""
+    norm = lambda x: (x or "").strip().lower()
+    alerts = [("k1", "a1", " Suspicious Login from new host", "AWS", None, "bot"), ("k2", None, "login", None, "theft", None),
+              ("k3", "a3", None, "", "", ""), ("k4", "a1", "ab", "azure", "theft", "bot"), ("k5", "zz", "Data", "aws", None, "x")]
+    packs = [("p1", ["a1", None], ["suspicious login", None], ["aws"], ["theft"], ["bot"], ["login", "host"]),
+             ("p2", None, ["Login"], None, None, None, None), ("p3", ["a3"], ["long Data exfiltration"], [""], [], ["x"], ["b"]),
+             ("p4", [], [], [], [], [], ["nothing"])]
+    cols = "pack_id string, " + ", ".join(f"{c} array<string>" for c in
+                                          ("alert_ids", "alert_titles", "platforms", "incident_types", "agents", "detection_families"))
+    want = {}
+    for key, id_, title, platform, incident, agent in alerts:
+        t = norm(title)
+        for pack, ids, titles, platforms, incidents, agents, families in packs:
+            score = 100 * (id_ is not None and id_ in (ids or []))
+            names = [norm(x) for x in titles or []]
+            score += 80 if t and t in names else 50 if t and any(x in t or t in x for x in names) else 0
+            for value, known, weight in ((platform, platforms, 30), (incident, incidents, 35), (agent, agents, 25)):
+                score += weight * (norm(value) != "" and norm(value) in [norm(x) for x in known or []])
+            score += 20 * (t != "" and any(norm(x) in t for x in families or []))
+            if score:
+                want[key, pack] = score
+    got = G.resolve_packs(
+        spark.createDataFrame(alerts, "alert_key string, alert_id string, alert_title string, platform string, "
+                                      "incident_type string, agent string"), spark.createDataFrame(packs, cols)).collect()
+    assert {(r.alert_key, r.pack_id): r.score for r in got} == want
+    assert len(got) == len(want)
