@@ -71,14 +71,15 @@ def _indexed(leaves: DataFrame, keys: list[str], order: list[str], chunk: Column
     return materialize(placed.join(counts, k).select(*k, F.col("pos").cast("bigint").alias("pos"), F.col("leaf").alias("h"), "total"))
 
 
-def merkle_roots(leaves: DataFrame, keys: list[str]) -> DataFrame:
+def merkle_roots(leaves: DataFrame, keys: list[str], prefix_digits: int = 4) -> DataFrame:
     """Root over the sorted leaf hashes of each key; an odd node is paired with itself.
 
-    ``leaves``: keys, leaf (hex SHA-256).  Positions come from counts per
-    two-digit hash prefix, which are evenly sized.
+    ``leaves``: keys, leaf (hex SHA-256).  Positions come from counts per hash
+    prefix, which are evenly sized: a key of n leaves is ranked in pieces of
+    n / 16 ** ``prefix_digits``.
     """
     tagged = leaves.withColumn("__u", F.monotonically_increasing_id())
-    i = _indexed(tagged, keys, ["leaf", "__u"], F.conv(F.substring("leaf", 1, 2), 16, 10).cast("int"))
+    i = _indexed(tagged, keys, ["leaf", "__u"], F.conv(F.substring("leaf", 1, prefix_digits), 16, 10).cast("int"))
     return _drop_all(_reduce(i, keys or ["__all"], True, None))
 
 
