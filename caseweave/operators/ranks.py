@@ -13,23 +13,23 @@ from pyspark.sql import functions as F
 
 from .ordered import prior
 
-CHUNKS = 64
+CHUNKS = 64  # default number of value chunks a group is ranked in; raise it with the number of distinct values
 
 
-def ranked_values(rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
-    """Per (keys, distinct value): each measure, and its total over smaller values (``before_<name>``)."""
+def ranked_values(rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column],
+                  chunks: int = CHUNKS) -> DataFrame:
+    """Per (keys, distinct value): each measure, its total over smaller values (``before_<name>``), the key's ``__rows``."""
     per_value = rows.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
-    steps = [i / CHUNKS for i in range(1, CHUNKS)]
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, F.lit(steps), F.lit(1000)).alias("__bounds"))
-    v = per_value
+    steps = [i / chunks for i in range(1, chunks)]
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, F.lit(steps), F.lit(max(1000, 8 * chunks))).alias("__bounds"),
+                                     F.count(F.lit(1)).alias("__rows"))
     if keys:
-        v = _join(v, bounds, keys)
-        chunk = F.size(F.filter("__bounds", lambda b: b < F.col(value)))
+        v, limits = _join(per_value, bounds, keys), F.col("__bounds")
     else:
-        limits = bounds.scalar()
-        chunk = F.size(F.filter(limits, lambda b: b < F.col(value)))
-    v = prior(v, keys or ["__all"], [value], {f"before_{n}": ("sum", n) for n in measures}, chunk) if keys else \
-        prior(v.withColumn("__all", F.lit(1)), ["__all"], [value], {f"before_{n}": ("sum", n) for n in measures}, chunk)
+        v = per_value.withColumns({"__all": F.lit(1), "__rows": bounds.select("__rows").scalar()})
+        limits = bounds.select("__bounds").scalar()
+    chunk = F.size(F.filter(limits, lambda b: b < F.col(value)))
+    v = prior(v, keys or ["__all"], [value], {f"before_{n}": ("sum", n) for n in measures}, chunk)
     return v.drop("__bounds", "__all")
 
 
@@ -43,12 +43,11 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(r, cond).drop(*[f"__j{i}" for i in range(len(keys))])
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+                      chunks: int = CHUNKS) -> DataFrame:
     """Linearly interpolated percentiles per key, as ``percentile`` would return them."""
     rows = rows.filter(F.col(value).isNotNull())
-    ranked = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))})
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    r = _join(ranked, totals, keys)
+    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunks)
     first, last = F.col("before_n"), F.col("before_n") + F.col("n")
 
     def at(position: Column) -> Column:
@@ -56,7 +55,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: d
 
     aggs = []
     for name, q in quantiles.items():
-        pos = (F.col("total") - 1) * F.lit(float(q))
+        pos = (F.col("__rows") - 1) * F.lit(float(q))
         aggs += [at(F.floor(pos)).alias(f"__lo_{name}"), at(F.ceil(pos)).alias(f"__hi_{name}"),
                  F.max(pos - F.floor(pos)).alias(f"__f_{name}")]
     g = r.groupBy(*keys).agg(*aggs)
@@ -65,16 +64,16 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: d
     return g.select(*keys, *out)
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+def average_ranks(rows: DataFrame, keys: list[str], value: str, chunks: int = CHUNKS) -> DataFrame:
     """Tie-averaged 1-based rank of every distinct value."""
-    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))})
+    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunks)
     return r.select(*keys, value, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
+def auc(rows: DataFrame, keys: list[str], score: str, positive: str, chunks: int = CHUNKS) -> DataFrame:
     """Area under the ROC curve per key by rank sums; ties count one half."""
     is_pos = F.col(positive).cast("int")
-    r = ranked_values(rows, keys, score, {"pos": F.sum(is_pos), "neg": F.sum(1 - is_pos)})
+    r = ranked_values(rows, keys, score, {"pos": F.sum(is_pos), "neg": F.sum(1 - is_pos)}, chunks)
     return r.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("__wins"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")).select(
