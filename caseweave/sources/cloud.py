@@ -351,9 +351,12 @@ def bind_contexts(responses: DataFrame, contexts: DataFrame) -> DataFrame:
 
     ``responses``: response_id, raw.  ``contexts``: context_id, method, url,
     body, status, body_sha256, body_size_bytes, form_encoded.  GET parameters
-    come from the URL; ``+`` is a space only for form-encoded URLs.
+    come from the URL; ``+`` is a space only for form-encoded URLs.  Responses
+    with one body, such as empty results, are one body: a context gets a single
+    row with the smallest ``response_id`` and the number of such ``responses``.
     """
-    r = responses.select("response_id", F.sha2("raw", 256).alias("body_sha256"), F.octet_length("raw").alias("size"))
+    r = responses.groupBy(F.sha2("raw", 256).alias("body_sha256"), F.octet_length("raw").alias("size")).agg(
+        F.min("response_id").alias("response_id"), F.count("*").alias("responses"))
     c = contexts.join(r, "body_sha256", "left")
     query = F.when(F.contains("url", F.lit("?")), F.substring_index("url", "?", -1))
     plain = F.when(F.coalesce("form_encoded", F.lit(False)), query).otherwise(F.replace(query, F.lit("+"), F.lit("%2B")))
@@ -370,6 +373,7 @@ def bind_contexts(responses: DataFrame, contexts: DataFrame) -> DataFrame:
         (F.col("size") != F.col("body_size_bytes"), "size_mismatch"), ((F.col("method") == "GET") & twice, "duplicate_parameter"),
         (text.isNull() | (text == ""), "query_missing"),
         (F.exists(spaces, lambda w: ~w.rlike(GUID)), "invalid_workspace_list"))
-    return c.select("context_id", "response_id", F.sha2(F.substring_index("url", "?", 1), 256).alias("endpoint_sha256"),
+    return c.select("context_id", "response_id", F.coalesce("responses", F.lit(0)).alias("responses"),
+                    F.sha2(F.substring_index("url", "?", 1), 256).alias("endpoint_sha256"),
                     F.sha2(text, 256).alias("query_sha256"), F.octet_length(text).alias("query_size_bytes"), params["timespan"].alias("timespan"),
                     F.coalesce(F.size(spaces), F.lit(0)).alias("workspaces"), reject.isNull().alias("bound"), reject.alias("reject"))

@@ -289,3 +289,14 @@ def test_pack_resolution_with_contained_and_odd_terms(spark):
                                       "incident_type string, agent string"), spark.createDataFrame(packs, cols)).collect()
     assert {(r.alert_key, r.pack_id): r.score for r in got} == want
     assert len(got) == len(want)
+
+
+def test_contexts_of_equal_bodies_bind_once(spark):
+    responses = spark.createDataFrame([(f"r{k}", "empty") for k in range(5)] + [("x", "full")], "response_id string, raw string")
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    contexts = spark.createDataFrame(
+        [(f"c{k}", "GET", "https://a.example/q?query=T", None, 200, digest(body), len(body), True)
+         for k, body in enumerate(["empty"] * 4 + ["full", "gone"])],
+        "context_id string, method string, url string, body string, status int, body_sha256 string, body_size_bytes int, form_encoded boolean")
+    got = {r.context_id: (r.response_id, r.responses, r.bound) for r in C.bind_contexts(responses, contexts).collect()}
+    assert got == {**{f"c{k}": ("r0", 5, True) for k in range(4)}, "c4": ("x", 1, True), "c5": (None, 0, False)}
