@@ -83,3 +83,43 @@ def test_repeated_rows_in_the_mix(spark, corpus):
     out = pipeline.mixed(spark, docs, folder).collect()
     words = sum(len(r.text.split()) for r in out)
     assert abs(words - 1.5 * sum(len(t.split()) for _, t, _ in rows)) <= 10
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for k, at in enumerate(sorted(rng.sample(range(len(words)), n))):
+        words[at] = f"edit{k}"
+    return " ".join(words)
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if (w := (t or "").lower().split()) else set()
+            for t in (a, b))
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def brute_groups(texts, similarity=0.8):
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= similarity:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def test_edited_copies_go(spark, corpus, odd_rows):
+    """Copies with edits of a similarity around 0.8, and a cloud of more near-copies than a key pairs."""
+    folder, _ = corpus
+    rng = random.Random(12)
+    good = [(k, prose(rng, rng.choice((60, 120, 240))), "s0") for k in range(40)]
+    copies = [(1000 + 10 * k + n, edited(rng, t, n), "s1") for k, t, _ in good for n in (1, 2, 4)]
+    cloud = [(5000, prose(rng, 300), "s2")]
+    cloud += [(5001 + k, edited(rng, cloud[0][1], 1 + k % 6), "s2") for k in range(90)]
+    rows = good + copies + cloud + [(9000 + n, t, s) for n, (_, t, s) in enumerate(odd_rows)]
+    docs = spark.createDataFrame(make(rows), SCHEMA).repartition(3)
+    label, least = brute_groups([t for _, t, _ in rows]), {}
+    for (i, _, _), c in zip(rows, label):
+        least[c] = min(i, least.get(c, i))
+    got = pipeline.one_per_group(spark, docs, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
+    assert 40 < len(got) < len(rows) - 150
