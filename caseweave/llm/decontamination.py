@@ -1,8 +1,10 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed mask covers eight words and ignores two of them, so a hash of the other
-six survives substitutions at the ignored places.  The two masks together hit
-every 13 aligned words with at most two substitutions.  Seeds of training texts
+A seed mask reads six words and ignores those between, so a hash of the six
+survives substitutions at the ignored places.  The masks together hit every
+stretch of 13 to 25 aligned words of which 80 % agree, wherever the others are.
+A longer stretch splits into pieces of such lengths, of which one has 80 % too.
+Seeds of training texts
 are joined with seeds of test items; every hit is verified by aligning both
 texts at its offset and taking the longest stretch in which at least ``ratio``
 of the words agree.
@@ -21,35 +23,34 @@ from pyspark.sql.pandas.types import to_arrow_type
 from caseweave.llm.common import as_bytes, mix, pieces, split_words, word_hashes
 from caseweave.runtime import materialize
 
-MASKS = ("11101011", "11001111")
-SPAN = 8
+# The first two have a span of eight words, so they hit items of eight words that stand in a text whole.
+MASKS = ("11101011", "11001111", "1111011", "1100100001011")
 # Test items are sent to every executor up to so many words in all; more are joined.
 MAX_SHARED_WORDS = 1 << 20
 FILTER_BITS = 22
 
 
-def seeds(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hashes by mask (one row each) at all places where the span fits into the document."""
-    at = np.arange(len(hashes))
-    at = at[at + SPAN <= first[doc + 1]]
-    rows = []
+def seeds(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Seed hashes and places by mask, at all places where the mask fits into the document."""
+    found = []
     for number, mask in enumerate(MASKS):
+        at = np.arange(len(hashes))
+        at = at[at + len(mask) <= first[doc + 1]]
         total = np.full(len(at), number + 1, np.uint64)
         for j in (j for j, bit in enumerate(mask) if bit == "1"):
             total = mix(total ^ hashes[at + j]) if len(at) else total
-        rows.append(total)
-    return np.stack(rows), at
+        found.append((total, at))
+    return found
 
 
 def longest_match(same: np.ndarray, ratio: float) -> tuple[int, int]:
     """The longest stretch ``[a, z)`` with at least ``ratio`` true values, starting and ending on a true one."""
     score = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - ratio, -ratio))])
-    low = np.minimum.accumulate(score)
+    low = np.minimum.accumulate(np.where(np.append(same, False), score, np.inf))
     begin = np.searchsorted(-low, -(score + 1e-9), side="left")
-    z = int(np.argmax(np.arange(len(score)) - begin))
-    a = int(begin[z])
-    true = np.flatnonzero(same[a:z])
-    return (a + int(true[0]), a + int(true[-1]) + 1) if len(true) else (0, 0)
+    length = np.where(np.append(False, same), np.arange(len(score)) - begin, 0)
+    z = int(np.argmax(length))
+    return (int(begin[z]), z) if length[z] > 0 else (0, 0)
 
 
 class Items:
@@ -60,9 +61,8 @@ class Items:
         hashes = word_hashes(words) if len(words.start) else np.empty(0, np.uint64)
         self.ids = ids
         self.hashes = [hashes[a:b] for a, b in zip(words.first, words.first[1:])]
-        found, at = seeds(hashes, words.doc, words.first)
-        key = found.ravel()
-        place = np.tile(at, len(MASKS))
+        found = seeds(hashes, words.doc, words.first)
+        key, place = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(key, kind="stable")
         self.key, place = key[order], place[order]
         self.item = words.doc[place] if len(place) else place
@@ -72,9 +72,8 @@ class Items:
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct ``(document, item, offset)`` of equal seeds."""
-        found, at = seeds(hashes, doc, first)
         out = []
-        for row in found:
+        for row, at in seeds(hashes, doc, first):
             may = np.flatnonzero(self.filter[row & np.uint64((1 << FILTER_BITS) - 1)])
             key, place = row[may], at[may]
             lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
@@ -167,8 +166,7 @@ def _seed_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
                 words = split_words(coded[lo:hi])
                 if not len(words.start):
                     continue
-                found, at = seeds(word_hashes(words), words.doc, words.first)
-                for row in found:
+                for row, at in seeds(word_hashes(words), words.doc, words.first):
                     keys = b.column("key").take(pa.array(lo + words.doc[at]))
                     yield pa.RecordBatch.from_arrays(
                         [keys, pa.array(row.view(np.int64)), pa.array(at - words.first[words.doc[at]])],

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -168,3 +169,42 @@ def test_masks_hit_two_substitutions_in_thirteen():
         for b in range(a):
             assert any(all(m == "0" or at + j not in (a, b) for j, m in enumerate(mask))
                        for mask in decontamination.MASKS for at in range(13 - len(mask) + 1))
+
+
+def test_masks_hit_every_stretch_of_eighty_percent():
+    """Lengths of 26 and more split into these; fewer substitutions are hit where more are."""
+    for n in range(13, 26):
+        gone = np.array([sum(1 << p for p in places) for places in combinations(range(n), n // 5)])
+        hit = np.zeros(len(gone), bool)
+        for mask in decontamination.MASKS:
+            bits = sum(1 << j for j, bit in enumerate(mask) if bit == "1")
+            for at in range(n - len(mask) + 1):
+                hit |= gone & bits << at == 0
+        assert hit.all()
+
+
+def test_longest_match_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        same = np.array([rng.random() < 0.75 for _ in range(rng.choice((8, 15, 30, 60)))])
+        want = max((z - a for a in range(len(same)) for z in range(a + 1, len(same) + 1)
+                    if same[a] and same[z - 1] and same[a:z].sum() >= 0.8 * (z - a) - 1e-9), default=0)
+        a, z = decontamination.longest_match(same, 0.8)
+        assert z - a == want and (z == a or same[a] and same[z - 1])
+
+
+def test_altered_passages_of_more_than_two_substitutions(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items, docs = [], []
+    for k, (n, places) in enumerate([(15, (2, 5, 7)), (20, (1, 8, 10, 12)), (18, (2, 5, 7)), (20, (3, 7, 11, 15))]):
+        item = [word() for _ in range(n)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([word() for _ in range(9)] + ["zz" if j in places else w for j, w in enumerate(item)]
+                                 + [word() for _ in range(9)])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, i, brute_overlap(t, items[i][1])) for i, t in docs)
+    assert len(want) == 4 and all(n for *_, n in want)
+    for limit in (1 << 20, 0):
+        rows = decontamination.overlaps(df, bench, max_shared_words=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.overlap) for r in rows) == want
