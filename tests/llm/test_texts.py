@@ -243,3 +243,28 @@ def test_boilerplate_lines(spark):
 def test_html_lines():
     html = "<html><head><title>T &amp; x</title><style>p{}</style><SCRIPT a='1'>if (a<b) c</SCRIPT></head><p>a <b>b</b>\n c<br/> d <!-- <p>no --></p>"
     assert line_dedup.html_lines(html) == ["T &amp; x", "a b", "c", "d"]
+
+
+def test_transitions_of_all_training_texts_count(spark):
+    """Without any sampled segment the tables still learn, from all blocks."""
+    words = ["river", "stone", "light", "garden", "winter", "copper", "silver", "table"]
+    rows = [(i, " ".join(words[(i + j) % 8] for j in range(120))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lm_scoring.score_documents(docs, F.col("doc_id") % 5 != 0, segment_factor=0.0)
+    total = out.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert total[0] > 0.6 * total[1]
+
+
+def test_every_token_is_one_transition():
+    rng = np.random.default_rng(3)
+    code = attention.coding(np.round(1e5 / (1 + np.arange(2000)) ** 1.1))
+    weights, table = attention.initial(code, np.full((code.rows, attention.CLASSES), 1 / attention.CLASSES))
+    count = np.array([1, 40, 0, 16, 17, 100])
+    tokens = rng.integers(0, 2000, count.sum())
+    total = np.zeros((code.rows * attention.CLASSES, attention.EXPERTS))
+    attention.Scorer(weights, table, code, end=7, windows=2).transitions(tokens, count, total)
+    start = (np.cumsum(count) - count)[count > 0]
+    inputs = np.concatenate([[0], tokens[:-1]])
+    inputs[start] = 7
+    want = np.bincount(code.row[inputs].astype(np.int64) * attention.CLASSES + code.cls[tokens], minlength=len(total))
+    assert np.abs(total.sum(axis=1) - want).max() < 1e-4
