@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseweave.llm import (decontamination, fingerprint, line_dedup, lm_scoring, mixing, quality, sharding, simhash, substring_dedup,
-                            url_filter)
+from caseweave.llm import (decontamination, fingerprint, lexical_search, line_dedup, lm_scoring, mixing, quality, sharding, simhash,
+                            spelling, substring_dedup, url_filter)
 from caseweave.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -65,6 +65,14 @@ def op10_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op11_reversed_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_q_chunk_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_scores": op1_attention_scores,
     "op2_ring_shards": op2_ring_shards,
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cube_mix": op8_cube_mix,
     "op9_anchor_repeats": op9_anchor_repeats,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_reversed_search": op11_reversed_search,
+    "op12_q_chunk_variants": op12_q_chunk_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -119,5 +129,28 @@ k AS (
   FROM l LEFT JOIN b USING (host))
 SELECT page_id, host, CAST(len(lines) AS INT) AS n_lines, CAST(len(lines) - len(kept) AS INT) AS n_dropped,
        array_to_string(kept, chr(10)) AS kept_text FROM k
+""",
+    "op11_reversed_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT count(*) AS all_n, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM d WHERE len(terms) > 0),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf
+       FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, text AS item_text,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(all_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf, s GROUP BY term),
+sc AS (
+  SELECT item_id, item_text, r, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * all_n) // all_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), s GROUP BY ALL),
+k AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id, item_text ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
 """,
 }
