@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseweave.llm import (decontamination, fingerprint, lexical_search, line_dedup, lm_scoring, mixing, quality, sharding, simhash,
-                            spelling, substring_dedup, url_filter)
+                            spelling, substring_dedup, suffix_dedup, url_filter)
 from caseweave.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -73,6 +73,10 @@ def op12_q_chunk_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(table(spark, sf, "documents"))
 
 
+def op13_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"), keep_bytes=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_scores": op1_attention_scores,
     "op2_ring_shards": op2_ring_shards,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_spaced_seeds": op10_spaced_seeds,
     "op11_reversed_search": op11_reversed_search,
     "op12_q_chunk_variants": op12_q_chunk_variants,
+    "op13_suffix_repeats": op13_suffix_repeats,
 }
 
 ORACLE: dict[str, str] = {
@@ -152,5 +157,23 @@ k AS (
          row_number() OVER (PARTITION BY item_id, item_text ORDER BY score DESC, doc_id NULLS LAST) AS rank
   FROM sc WHERE score > 0)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
+""",
+    "op13_suffix_repeats": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h
+  FROM documents),
+w AS (SELECT r, k, a, substr(h, 2 * a + 1, 100) AS s
+      FROM (SELECT r, k, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS a FROM d)),
+c AS (SELECT r, a FROM w JOIN (SELECT s, min(k) AS first FROM w GROUP BY s) USING (s) WHERE first < k),
+i AS (SELECT r, a, sum(fresh) OVER (PARTITION BY r ORDER BY a) AS island
+      FROM (SELECT r, a, CASE WHEN a <= lag(a) OVER (PARTITION BY r ORDER BY a) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
+p AS (SELECT r, min(a) AS lo, max(a) + 50 AS hi FROM i GROUP BY r, island),
+g AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM p),
+k AS (SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS tail,
+             string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head
+      FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
 """,
 }
