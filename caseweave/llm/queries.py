@@ -162,8 +162,10 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h
   FROM documents),
-w AS (SELECT r, k, a, substr(h, 2 * a + 1, 100) AS s
-      FROM (SELECT r, k, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS a FROM d)),
+pages AS (SELECT r, k, p, substr(h, 2 * p + 1, 1098) AS piece
+          FROM (SELECT r, k, h, unnest(range(0, len(h) // 2 - 49, 500)) AS p FROM d)),
+w AS (SELECT r, k, p + b AS a, substr(piece, 2 * b + 1, 100) AS s
+      FROM (SELECT r, k, p, piece, unnest(range(least(500, len(piece) // 2 - 49))) AS b FROM pages)),
 c AS (SELECT r, a FROM w JOIN (SELECT s, min(k) AS first FROM w GROUP BY s) USING (s) WHERE first < k),
 i AS (SELECT r, a, sum(fresh) OVER (PARTITION BY r ORDER BY a) AS island
       FROM (SELECT r, a, CASE WHEN a <= lag(a) OVER (PARTITION BY r ORDER BY a) + 50 THEN 0 ELSE 1 END AS fresh FROM c)),
