@@ -8,10 +8,12 @@ shared folder, which keeps plans short and survives a lost executor.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, materialize_counted
 from ..schema import union_all
 
 # Typed-edge vocabulary, its causal part, and the metadata reference fields.
@@ -124,16 +126,119 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None, hop
     return union_all(found)
 
 
+class ReachSets(NamedTuple):
+    """Which seeds reach which node, 64 seeds to a row.
+
+    ``classes (node, class, own)``: all nodes reached from the same seeds share a
+    class; ``own`` tells that they count the seeds that start at the class's node.
+    ``sets (class, own, word, bits)``: the seeds of a class.  ``numbers (seed, word,
+    bit)``: where a seed's bit is.  Nodes that no seed reaches are not listed.
+    """
+
+    classes: DataFrame
+    sets: DataFrame
+    numbers: DataFrame
+
+
+_BITS = "explode(filter(sequence(0, 63), i -> getbit(bits, i) = 1)) AS bit"
+
+
+def reach_sets(edges: DataFrame, seeds: DataFrame, include_starts: bool = False) -> ReachSets:
+    """The seeds with a directed path of at least one edge to a node, as bit sets of contracted nodes.
+
+    Chains of single parents contract to the seed or junction where they begin, so
+    rounds and rows follow the junctions between the seeds and not the nodes.  With
+    ``include_starts`` a seed also reaches the node it starts at.  ``seeds``: see
+    ``reach``.
+    """
+    edges = materialize(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    marks = seeds.select("seed", "node").distinct()
+    # Seeds that start near each other get neighbouring bits; each range of them starts a new word.
+    numbers = materialize(marks.groupBy("seed").agg(F.min("node").alias("at")).repartitionByRange("at", "seed")
+                          .sortWithinPartitions("at", "seed").select("seed", F.monotonically_increasing_id().alias("n"))
+                          .select("seed", F.expr("shiftright(n, 6)").alias("word"), F.expr("CAST(n & 63 AS INT)").alias("bit")))
+    starts = materialize(marks.join(numbers, "seed").groupBy("node", "word").agg(
+        F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+    begun = starts.select("node").distinct()
+    single = (edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("parent"))
+              .filter("n = 1").join(begun, "node", "left_anti"))
+    chains = chain_roots(single)
+    # A circle of single parents has no way in, so no seed reaches it.
+    core = materialize(contract(edges, chains.select("node", "root")))
+    ahead = lambda rows: (rows.join(core, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word")
+                          .agg(F.bit_or("bits").alias("bits")))
+    none, reached, frontier, more = F.lit(0).cast("long"), None, starts, 1
+    while more:
+        # Two hops a round.  ``near`` are bits whose next edges have been followed, ``old`` those known before.
+        near = ahead(frontier)
+        step = [near.select("node", "word", "bits", F.col("bits").alias("near"), none.alias("old")),
+                ahead(near).select("node", "word", "bits", none.alias("near"), none.alias("old"))]
+        if reached is not None:
+            step.append(reached.select("node", "word", "bits", F.col("bits").alias("near"), F.col("bits").alias("old")))
+        step, more = materialize_counted(union_all(step).groupBy("node", "word").agg(
+            *[F.bit_or(c).alias(c) for c in ("bits", "near", "old")]), F.col("bits") != F.col("near"))
+        reached = step.select("node", "word", "bits")
+        frontier = step.filter("bits <> near").select("node", "word", F.expr("bits & ~near").alias("bits"))
+    own = materialize(reached.unionByName(starts).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
+    sets = own.select(F.col("node").alias("class"), F.lit(True).alias("own"), "word", "bits")
+    known = own.select("node").distinct()
+    root = chains.filter("NOT endless").select("node", F.col("root").alias("class")).join(
+        known.select(F.col("node").alias("class")), "class", "left_semi").select("node", "class", F.lit(True).alias("own"))
+    if include_starts:
+        return ReachSets(root.unionByName(known.select("node", F.col("node").alias("class"), F.lit(True).alias("own"))), sets, numbers)
+    # A seed's own node counts only what comes back to it.
+    back = reached.join(begun, "node", "left_semi")
+    other = reached.join(begun, "node", "left_anti").select("node").distinct()
+    classes = union_all([root, other.select("node", F.col("node").alias("class"), F.lit(True).alias("own")),
+                         back.select("node").distinct().select("node", F.col("node").alias("class"), F.lit(False).alias("own"))])
+    sets = sets.unionByName(back.select(F.col("node").alias("class"), F.lit(False).alias("own"), "word", "bits"))
+    return ReachSets(classes, sets, numbers)
+
+
+def seeds_per_node(sets: ReachSets) -> DataFrame:
+    """``(node, seeds)``: by how many seeds a node is reached."""
+    size = sets.sets.groupBy("class", "own").agg(F.sum(F.bit_count("bits")).alias("seeds"))
+    return sets.classes.join(size, ["class", "own"]).select("node", "seeds")
+
+
+def _per_seed(rows: DataFrame, sets: ReachSets, totals: list[str]) -> DataFrame:
+    """Sums of ``totals`` over the rows (word, bits, ...) whose bits include a seed."""
+    return (rows.select("word", *totals, F.expr(_BITS)).groupBy("word", "bit").agg(*[F.sum(c).alias(c) for c in totals])
+            .join(sets.numbers, ["word", "bit"]).select("seed", *totals))
+
+
+def distinct_per_seed(members: DataFrame, sets: ReachSets, column: str, name: str) -> DataFrame:
+    """``(seed, name)``: how many distinct values of ``column`` the nodes have that a seed reaches.
+
+    ``members``: class, own and the column.  Sets are united per value, so values
+    and not nodes meet the seeds.
+    """
+    united = (members.filter(F.col(column).isNotNull()).select("class", "own", column).distinct()
+              .join(sets.sets, ["class", "own"]).groupBy(column, "word").agg(F.bit_or("bits").alias("bits")))
+    return _per_seed(united.withColumn(name, F.lit(1).cast("long")), sets, [name])
+
+
+def totals_per_seed(members: DataFrame, sets: ReachSets, totals: dict[str, Column]) -> DataFrame:
+    """``(seed, totals)``: sums over all nodes a seed reaches, summed by class first."""
+    summed = members.groupBy("class", "own").agg(*[F.sum(c).alias(k) for k, c in totals.items()])
+    return _per_seed(summed.join(sets.sets, ["class", "own"]), sets, list(totals))
+
+
 def blast_radius(events: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Affected agents, tools and consequences per seed."""
-    nodes = events.select(F.col("event_id").alias("node"), "event_type", "actor_id", "target_id")
-    return (reach(edges, seeds).join(nodes, "node")
-            .groupBy("seed").agg(
-                F.count("*").alias("descendants"),
-                F.count_distinct("actor_id").alias("affected_agents"),
-                F.count_distinct(F.when(F.col("event_type") == "tool_call", F.col("target_id"))).alias("tools"),
-                F.count_if(F.col("event_type") == "consequence").alias("consequences"),
-                F.max("depth").cast("bigint").alias("max_depth")))
+    """``(seed, descendants, affected_agents, tools, consequences)`` of all seeds that reach an event."""
+    sets = reach_sets(edges, seeds)
+    nodes = events.select(F.col("event_id").alias("node"), "event_type", "actor_id",
+                          F.when(F.col("event_type") == "tool_call", F.col("target_id")).alias("tool"))
+    members = materialize(nodes.join(sets.classes, "node").drop("node"))
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    sums = totals_per_seed(members, sets, {"descendants": F.lit(1).cast("long"),
+                                           "consequences": one(F.coalesce(F.col("event_type") == "consequence", F.lit(False)))})
+    agents = distinct_per_seed(members, sets, "actor_id", "affected_agents")
+    tools = distinct_per_seed(members, sets, "tool", "tools")
+    none = F.lit(0).cast("long")
+    return (sums.join(agents, "seed", "left").join(tools, "seed", "left")
+            .select("seed", "descendants", F.coalesce("affected_agents", none).alias("affected_agents"),
+                    F.coalesce("tools", none).alias("tools"), "consequences"))
 
 
 def shortest_paths(edges: DataFrame, order: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
@@ -207,28 +312,51 @@ def taint_id(event_id: Column, content_sha256: Column, given: Column | None = No
     return F.coalesce(given, made) if given is not None else made
 
 
-def taint_labels(events: DataFrame, edges: DataFrame, seeded: Column) -> DataFrame:
-    """Every ``(event_id, taint_id)`` a tainted source reaches, sources included."""
+class Taint(NamedTuple):
+    """Events with the class of their taints, and the sets of these classes."""
+
+    events: DataFrame
+    sets: ReachSets
+
+
+def taint(events: DataFrame, edges: DataFrame, seeded: Column) -> Taint:
+    """The taints that reach each event, a tainted source's own included."""
     sources = events.filter(seeded).select(
         taint_id(F.col("event_id"), F.col("content_sha256")).alias("seed"), F.col("event_id").alias("node"))
-    reached = reach(edges, sources).select("seed", "node")
-    labels = sources.select("seed", "node").unionByName(reached).distinct()
-    return labels.select(F.col("node").alias("event_id"), F.col("seed").alias("taint_id"))
+    sets = reach_sets(edges, sources, include_starts=True)
+    tainted = events.join(sets.classes.withColumnRenamed("node", "event_id"), "event_id").select(
+        "event_id", "event_type", "actor_id", "session_id", "class", "own")
+    return Taint(materialize(tainted), sets)
+
 
+def taint_labels(spread: Taint) -> DataFrame:
+    """Every ``(event_id, taint_id)``: the one result that lists all pairs."""
+    bits = spread.sets.sets.select("class", "own", "word", F.expr(_BITS)).join(spread.sets.numbers, ["word", "bit"])
+    return spread.events.join(bits, ["class", "own"]).select("event_id", F.col("seed").alias("taint_id"))
 
-def taint_lineage(events: DataFrame, labels: DataFrame) -> DataFrame:
-    per_event = labels.groupBy("event_id").agg(F.count("*").alias("taints"))
-    return events.join(per_event, "event_id").select(
+
+def taint_lineage(spread: Taint) -> DataFrame:
+    """Tainted events with the number of their taints."""
+    size = spread.sets.sets.groupBy("class", "own").agg(F.sum(F.bit_count("bits")).alias("taints"))
+    return spread.events.join(size, ["class", "own"]).select(
         "event_id", "event_type", "actor_id", "session_id", "taints",
-        F.col("event_type").isin(SINK_TYPES).alias("is_sink"))
+        F.coalesce(F.col("event_type").isin(SINK_TYPES), F.lit(False)).alias("is_sink"))
+
+
+def taint_sinks(spread: Taint) -> DataFrame:
+    """``(event_type, taint_id, n)``: sinks a taint reaches, by their type."""
+    per_class = (spread.events.filter(F.col("event_type").isin(SINK_TYPES))
+                 .groupBy("class", "own", "event_type").agg(F.count("*").alias("n")))
+    return (per_class.join(spread.sets.sets, ["class", "own"]).select("event_type", "n", "word", F.expr(_BITS))
+            .groupBy("event_type", "word", "bit").agg(F.sum("n").alias("n"))
+            .join(spread.sets.numbers, ["word", "bit"]).select("event_type", F.col("seed").alias("taint_id"), "n"))
 
 
-def taint_spread(events: DataFrame, labels: DataFrame) -> DataFrame:
+def taint_spread(spread: Taint) -> DataFrame:
     """Taints seen in more than one session."""
-    return (labels.join(events.select("event_id", "session_id").filter("session_id <> ''"), "event_id")
-            .select("taint_id", "session_id").distinct()
-            .groupBy("taint_id").agg(F.count("*").alias("session_count"))
-            .filter("session_count > 1"))
+    named = spread.events.filter("session_id <> ''")
+    return distinct_per_seed(named, spread.sets, "session_id", "session_count").filter("session_count > 1").select(
+        F.col("seed").alias("taint_id"), "session_count")
 
 
 def cascade(radius: DataFrame) -> DataFrame:
@@ -240,17 +368,59 @@ def cascade(radius: DataFrame) -> DataFrame:
 def below_cycle(edges: DataFrame) -> DataFrame:
     """Nodes that topological peeling cannot remove: on a cycle or below one.
 
-    Each round drops every edge whose source has no incoming edge left.
+    A node with one incoming edge shares the fate of where its chain of single
+    parents begins, so whole chains contract at once; then sources go with their
+    edges.  A chain of n nodes takes log2(n) rounds instead of n.  Without a
+    source left, every node has an endless way back and stays.
     """
-    live = materialize(edges.select("src", "dst").distinct())
-    left = live.count()
+    live, left = materialize_counted(
+        edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct(), F.lit(True))
+    contracted = []
     while left:
-        kept = materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        remaining = kept.count()
-        if remaining == left:
+        kept, remaining = materialize_counted(
+            live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), F.lit(True))
+        if remaining in (0, left):
+            live = kept
             break
-        live, left = kept, remaining
-    return live.select(F.col("dst").alias("node")).distinct()
+        single = kept.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("parent"))
+        chains = chain_roots(single.filter("n = 1")).filter("NOT endless").select("node", "root")
+        live, left = materialize_counted(contract(kept, chains), F.lit(True))
+        contracted.append(chains)
+    nodes = live.select(F.col("dst").alias("node")).distinct()
+    for chains in reversed(contracted):
+        below = chains.join(nodes.select(F.col("node").alias("root")), "root", "left_semi").select("node")
+        nodes = materialize(nodes.unionByName(below))
+    return nodes
+
+
+def chain_roots(single: DataFrame) -> DataFrame:
+    """``(node, root, endless)``: where the chain of single parents of each node begins, by pointer doubling.
+
+    ``single`` has ``node, parent``, one row a node.  The root is the first node up
+    the chain without a row of its own.  A chain that runs into a circle has none
+    and is endless.
+    """
+    def jump(rows: DataFrame) -> DataFrame:
+        on = rows.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        return rows.join(on, "root", "left").select(
+            "node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+
+    pointers = materialize(single.select("node", F.col("parent").alias("root")))
+    moving = None
+    while True:
+        # Two jumps a round: four times as far.
+        pointers, still = materialize_counted(jump(jump(pointers).drop("moved")), F.col("moved"))
+        # A finite chain has nodes at every distance, so each round some of them arrive.
+        if still in (0, moving):
+            return pointers.select("node", "root", F.col("moved").alias("endless"))
+        moving, pointers = still, pointers.drop("moved")
+
+
+def contract(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """Edges after each node of ``chains(node, root)`` is merged into its root."""
+    root = chains.select(F.col("node").alias("src"), "root")
+    return (edges.join(chains.select(F.col("node").alias("dst")), "dst", "left_anti").join(root, "src", "left")
+            .select(F.coalesce("root", "src").alias("src"), "dst").distinct())
 
 
 def parent_cycles(parents: DataFrame) -> DataFrame:

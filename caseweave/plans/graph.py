@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import authority as A
 from ..operators import graph as G
 from .domains import AGENTIC_SQL, agentic_events
-from .registry import query
+from .registry import query, table
 
 REACH_SQL = f"""WITH RECURSIVE {AGENTIC_SQL},
 reach(seed, node) AS (
@@ -41,8 +41,8 @@ FROM ae JOIN reach ON node = ae.event_id WHERE {OPEN_WHERE}
 GROUP BY ALL""")
 def open_reachable_consequences(spark, sf):
     e = agentic_events(spark, sf)
-    reached = G.reach(G.causal_edges(e), seeds(e)).groupBy(F.col("node").alias("event_id")).agg(
-        F.count("*").alias("untrusted_sources"))
+    reached = G.seeds_per_node(G.reach_sets(G.causal_edges(e), seeds(e))).select(
+        F.col("node").alias("event_id"), F.col("seeds").alias("untrusted_sources"))
     return A.open_consequences(with_closures(e)).join(reached, "event_id").select(
         "event_id", "actor_id", "tenant_id", "session_id", "untrusted_sources")
 
@@ -114,7 +114,7 @@ def _radius(spark, sf):
 
 @query("r3_blast_radius", RADIUS_SQL + " SELECT * FROM radius")
 def r3(spark, sf):
-    return _radius(spark, sf).drop("max_depth")
+    return _radius(spark, sf)
 
 
 @query("r7_cascade", RADIUS_SQL + """
@@ -165,8 +165,14 @@ tainted AS (SELECT event_id, taint_id FROM labels
             UNION SELECT node, taint_id FROM reach JOIN labels ON labels.event_id = seed)"""
 
 
-def _labels(e):
-    return G.taint_labels(e, G.causal_edges(e), F.col("untrusted"))
+def _taint(spark, sf):
+    e = agentic_events(spark, sf)
+    return G.taint(e, G.causal_edges(e), F.col("untrusted"))
+
+
+@query("r6_taint_labels", TAINT_SQL + " SELECT event_id, taint_id FROM tainted")
+def r6_labels(spark, sf):
+    return G.taint_labels(_taint(spark, sf))
 
 
 @query("r6_taint_lineage", TAINT_SQL + f"""
@@ -174,42 +180,38 @@ SELECT ae.event_id, event_type, actor_id, session_id, count(*) AS taints,
        event_type IN ({", ".join(repr(x) for x in G.SINK_TYPES)}) AS is_sink
 FROM tainted JOIN ae USING (event_id) GROUP BY ALL""")
 def r6(spark, sf):
-    e = agentic_events(spark, sf)
-    return G.taint_lineage(e, _labels(e))
+    return G.taint_lineage(_taint(spark, sf))
 
 
 @query("r6_taint_sinks", TAINT_SQL + f"""
 SELECT event_type, taint_id, count(*) AS n FROM tainted JOIN ae USING (event_id)
 WHERE event_type IN ({", ".join(repr(x) for x in G.SINK_TYPES)}) GROUP BY ALL""")
 def r6_sinks(spark, sf):
-    e = agentic_events(spark, sf)
-    return (_labels(e).join(e.filter(F.col("event_type").isin(G.SINK_TYPES)).select("event_id", "event_type"), "event_id")
-            .groupBy("event_type", "taint_id").agg(F.count("*").alias("n")))
+    return G.taint_sinks(_taint(spark, sf))
 
 
 @query("g13_taint_session_spread", TAINT_SQL + """
 SELECT taint_id, count(DISTINCT session_id) AS session_count FROM tainted JOIN ae USING (event_id)
 GROUP BY taint_id HAVING count(DISTINCT session_id) > 1""")
 def g13(spark, sf):
-    e = agentic_events(spark, sf)
-    return G.taint_spread(e, _labels(e))
+    return G.taint_spread(_taint(spark, sf))
 
 
+# Returned parts flow from the part to its supplier, all others from the supplier to the part.
 @query("r11_lineage_cycles", """WITH RECURSIVE
-edges AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem
-          UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_quantity < 3
-          UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_quantity > 48 AND l_discount = 0.0),
-down(a, b) AS (SELECT src, dst FROM edges WHERE src LIKE 'p%' OR src LIKE 's%'
-          UNION SELECT a, dst FROM down JOIN edges ON src = b),
-cyc AS (SELECT DISTINCT a FROM down WHERE a = b)
-SELECT a AS node FROM cyc UNION SELECT b FROM down WHERE a IN (SELECT a FROM cyc)""")
+ps AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'),
+sp AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag <> 'R'),
+ss AS (SELECT DISTINCT sp.s AS a, ps.s AS b FROM sp JOIN ps USING (p)),
+down(a, b) AS (SELECT a, b FROM ss UNION SELECT down.a, ss.b FROM down JOIN ss ON ss.a = down.b),
+stay AS (SELECT DISTINCT b AS s FROM down WHERE a IN (SELECT a FROM down WHERE a = b))
+SELECT 's' || s AS node FROM stay UNION SELECT 'p' || p FROM sp WHERE s IN (SELECT s FROM stay)""")
 def r11(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    li = table(spark, sf, "lineitem")
     o, p, s = (F.concat(F.lit(c), F.col(f"l_{n}key")) for c, n in (("o", "order"), ("p", "part"), ("s", "supp")))
-    edges = (li.select(o.alias("src"), p.alias("dst"))
-             .union(li.filter("l_quantity < 3").select(p, s))
-             .union(li.filter("l_quantity > 48 AND l_discount = 0.0").select(s, p)))
-    return G.below_cycle(edges)
+    back = F.col("l_returnflag") == "R"
+    pair = F.struct(F.when(back, p).otherwise(s).alias("src"), F.when(back, s).otherwise(p).alias("dst"))
+    order = F.struct(o.alias("src"), p.alias("dst"))
+    return G.below_cycle(li.select(F.explode(F.array(order, pair)).alias("e")).select("e.*"))
 
 
 AUTH_GRAPH_SQL = f"WITH {AGENTIC_SQL}, t AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'grant-' || (k % 12) END AS authority_id FROM ae)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,13 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, rows: Column) -> tuple[DataFrame, int]:
+    """``materialize``, and how many of the written rows satisfy ``rows``, counted by the same job."""
+    seen = Observation()
+    written = materialize(df.observe(seen, F.count_if(rows).alias("n")))
+    return written, seen.get["n"]
+
+
 # A policy or lookup table is broadcast only below this row count.
 BROADCAST_ROWS = 100_000
 
