@@ -12,7 +12,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from ..schema import union_all
+from .containment import contains_all
 
 ANCHORS = (8, 4, 2, 1)  # lengths of the beginnings by which contained terms are looked up
 # Evidence quality scale and the states that never satisfy a gate.
@@ -54,34 +56,51 @@ def evaluate_rules(rules: DataFrame, signals: DataFrame) -> DataFrame:
 
     ``rules``: rule_id, requires_signals, any_signals, requires_event_types,
     any_event_types (arrays).  ``signals``: case_id, kind (signal or
-    event_type), name.  The containment test is an equi join on the name and a
-    count, so cases with very many signals are never gathered into one array.
-    Rules without conditions come once, with case_id ``*``.
+    event_type), name.  A rule meets the cases of its rarest required term, or, with
+    alternatives only, those of its rarer group of alternatives; the other terms
+    are checked on the pairs that are left.  Cases with very many signals are never
+    gathered into one array.  Rules without conditions come once, with case_id ``*``.
     """
-    def wanted(col, kind, mode):
-        return rules.select("rule_id", F.explode(F.array_distinct(col)).alias("name"),
-                            F.lit(kind).alias("kind"), F.lit(mode).alias("mode"))
-
-    terms = union_all([wanted("requires_signals", "signal", "all"), wanted("any_signals", "signal", "any"),
-                       wanted("requires_event_types", "event_type", "all"), wanted("any_event_types", "event_type", "any")])
-    n = lambda c: F.coalesce(F.size(F.array_distinct(c)), F.lit(0))
-    needs = rules.select("rule_id", n("requires_signals").alias("rs"), n("any_signals").alias("as"),
-                         n("requires_event_types").alias("re"), n("any_event_types").alias("ae"))
-    seen = signals.select("case_id", "kind", "name").distinct()
-    is_ = lambda kind, mode: (F.col("kind") == kind) & (F.col("mode") == mode)
-    hits = (seen.join(terms, ["kind", "name"]).groupBy("case_id", "rule_id").agg(
-        F.count_if(is_("signal", "all")).alias("hs"), F.count_if(is_("signal", "any")).alias("ha"),
-        F.count_if(is_("event_type", "all")).alias("he"), F.count_if(is_("event_type", "any")).alias("hx"),
-        F.count_distinct(F.when(F.col("kind") == "signal", F.col("name"))).alias("matched_signals"),
-        F.count_distinct(F.when(F.col("kind") == "event_type", F.col("name"))).alias("matched_event_types")))
-    ok = hits.join(needs, "rule_id").filter(
-        "hs = rs AND he = re AND (as = 0 OR ha > 0) AND (ae = 0 OR hx > 0)")
+    item = ["kind", "name"]
+
+    def named(required, kind):
+        terms = F.coalesce(F.array_distinct(required), F.array().cast("array<string>"))
+        return F.transform(terms, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    both = lambda prefix: F.concat(named(f"{prefix}_signals", "signal"), named(f"{prefix}_event_types", "event_type"))
+    known = materialize(rules.select(F.col("rule_id").alias("id"), both("requires").alias("needed"), both("any").alias("choices")))
+    held = materialize(signals.select(F.col("case_id").alias("owner"), "kind", "name").distinct())
+    needed = known.select("id", F.explode("needed").alias("e")).select("id", "e.*")
+    pairs = contains_all(held, needed, item)
+
+    # Rules with alternatives only: each pair shares a term of the group that fewer cases have.
+    choices = known.select("id", F.explode("choices").alias("e"), F.array_contains("needed", F.col("e")).alias("also"),
+                           (F.size("needed") == 0).alias("free")).select("id", "e.*", "also", "free")
+    owners = held.groupBy(*item).agg(F.count("*").alias("owners"))
+    group = (choices.filter("free").join(owners, item, "left").groupBy("id", "kind")
+             .agg(F.coalesce(F.sum("owners"), F.lit(0)).alias("owners")))
+    rarer = group.groupBy("id").agg(F.min_by("kind", F.struct("owners", "kind")).alias("kind"))
+    loose = held.join(choices.filter("free").join(rarer, ["id", "kind"]), item).select("owner", "id").distinct()
+
+    size = lambda column, kind: F.size(F.filter(column, lambda x: x["kind"] == kind)).cast("long")
+    counts = known.select("id", *[size(c, k).alias(f"{c}_{k}") for c in ("needed", "choices") for k in ("signal", "event_type")])
+    sized = pairs.unionByName(loose).join(counts, "id")
+    plain = sized.filter("choices_signal + choices_event_type = 0").select(
+        "owner", "id", F.col("needed_signal").alias("matched_signals"), F.col("needed_event_type").alias("matched_event_types"))
+    # What a pair's alternatives hit; those that are required as well are counted there.
+    hit = lambda kind: F.count_if(F.col("kind") == kind)
+    extra = lambda kind: F.count_if((F.col("kind") == kind) & ~F.col("also"))
+    chosen = (sized.filter("choices_signal + choices_event_type > 0").join(choices, "id").join(held, ["owner", *item])
+              .groupBy("owner", "id", *[c for c in counts.columns if c != "id"])
+              .agg(hit("signal").alias("hs"), hit("event_type").alias("he"), extra("signal").alias("xs"), extra("event_type").alias("xe"))
+              .filter("(choices_signal = 0 OR hs > 0) AND (choices_event_type = 0 OR he > 0)")
+              .select("owner", "id", (F.col("needed_signal") + F.col("xs")).alias("matched_signals"),
+                      (F.col("needed_event_type") + F.col("xe")).alias("matched_event_types")))
     # A rule without any condition holds for every case: one row, not one per case.
-    always = needs.filter("rs = 0 AND as = 0 AND re = 0 AND ae = 0").select(
-        F.lit(EVERY).alias("case_id"), "rule_id", F.lit(0).cast("bigint").alias("matched_signals"),
-        F.lit(0).cast("bigint").alias("matched_event_types"))
-    cols = ["case_id", "rule_id", "matched_signals", "matched_event_types"]
-    return ok.select(*cols).unionByName(always.select(*cols))
+    none = F.lit(0).cast("long")
+    always = known.filter(F.size("needed") + F.size("choices") == 0).select(
+        F.lit(EVERY).alias("owner"), "id", none.alias("matched_signals"), none.alias("matched_event_types"))
+    return plain.unionByName(chosen).unionByName(always).withColumnsRenamed({"owner": "case_id", "id": "rule_id"})
 
 
 def attach_packs(rule_signals: DataFrame, signals: DataFrame) -> DataFrame:

@@ -386,8 +386,7 @@ UNION ALL SELECT 'new_tool_reachability', CASE WHEN mutating THEN 'critical' ELS
 def j6(spark, sf):
     tools_ = domain(spark, sf, tool_catalog)
     e, f = _eff(spark, sf, 0), _eff(spark, sf, 1)
-    reach = lambda x: A.reachable_tools(x, tools_)
-    return A.authority_diff(e, f, tools_, reach(e), reach(f))
+    return A.authority_diff(e, f, tools_)
 
 
 # J9 - J11 -----------------------------------------------------------------
