@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as D
 from ..streaming import jobs as J
-from .domains import base_events
-from .registry import brief, duck, query, table
+from .registry import brief, query, table
+from .windows import CHAIN_SQL, chained
 
 
 
@@ -19,18 +19,33 @@ def stream(spark, sf):
     return J.read_table(spark, sf, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "k": _k()})
 
 
-def beats(df):
-    """Heartbeats whose payload hash chains to the previous sequence number of the node."""
-    n = F.col("event_id")
-    h = lambda x: F.sha2(F.concat_ws("|", F.lit("beat"), x), 256)
-    return df.select(F.concat(F.lit("node-"), n % 50).alias("node_id"), (F.floor(n / 50) + 1).alias("seq"), "ts", n.alias("ord"), h(n).alias("payload_sha256"),
-                     F.when(n < 50, F.lit(J.ZERO_HASH)).otherwise(h(n - 50)).alias("prev_hash"),
-                     F.when(_k() > 95, 50).when(_k() > 90, 40).when(_k() > 80, 30).otherwise(0).alias("score"))
-
-
-@query("st1_fleet_states")
+SCORE = "CASE WHEN k > 95 THEN 50 WHEN k > 90 THEN 40 WHEN k > 80 THEN 30 ELSE 0 END"
+# Beats are expected every three hours, so 7.5 hours of silence are stale.
+STALE_US = 27_000_000_000
+
+
+@query("st1_fleet_states", CHAIN_SQL.replace("AS good FROM", f"AS good, {SCORE} AS score FROM").split("s(node_id")[0] + f"""
+s AS (SELECT DISTINCT node_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS us, '' AS verdict, CAST(0 AS BIGINT) AS last_seq,
+   repeat('0', 64) AS last_hash, 'NORMAL' AS state, 0 AS streak, CAST(NULL AS BIGINT) AS last_at, false AS said, false AS late, CAST(NULL AS BIGINT) AS due,
+   CAST(0 AS BIGINT) AS seq_before, 0 AS streak_before FROM b
+ UNION ALL SELECT node_id, rn, seq, us, verdict, CASE WHEN ok THEN seq ELSE last_seq END, CASE WHEN ok THEN payload_sha256 ELSE last_hash END,
+   CASE WHEN NOT ok THEN state WHEN score >= 50 THEN 'CRITICAL' WHEN score >= 40 THEN 'ALERT' WHEN score >= 30 THEN 'OBSERVE'
+        WHEN state NOT IN ('CRITICAL', 'ALERT', 'OBSERVE') THEN 'NORMAL' WHEN streak + 1 >= 3 THEN 'RECOVERED' ELSE state END,
+   CASE WHEN NOT ok THEN streak WHEN score >= 30 OR state NOT IN ('CRITICAL', 'ALERT', 'OBSERVE') THEN 0 ELSE streak + 1 END,
+   CASE WHEN ok THEN us ELSE last_at END, NOT ok AND (said OR late), late, last_at + {STALE_US}, last_seq, streak
+ FROM (SELECT b.node_id, b.rn, b.seq, epoch_us(b.ts) AS us, b.payload_sha256, b.score, s.last_seq, s.last_hash, s.state, s.streak, s.last_at, s.said,
+        coalesce(NOT s.said AND epoch_us(b.ts) > s.last_at + {STALE_US}, false) AS late, b.seq > s.last_seq AND b.prev = s.last_hash AS ok,
+        CASE WHEN b.seq <= s.last_seq THEN 'replay' WHEN b.prev <> s.last_hash THEN 'chain_mismatch' ELSE 'accepted' END AS verdict
+       FROM s JOIN b ON b.node_id = s.node_id AND b.rn = s.rn + 1))
+SELECT node_id, seq, us AS at_us, verdict, state, streak AS recovery_streak FROM s WHERE rn > 0
+UNION ALL SELECT node_id, seq_before, due, 'stale', 'STALE', streak_before FROM s WHERE late
+UNION ALL SELECT node_id, last_seq, last_at + {STALE_US}, 'stale', 'STALE', streak FROM s
+  WHERE rn = (SELECT max(rn) FROM b WHERE b.node_id = s.node_id) AND NOT said AND last_at + {STALE_US} <= (SELECT max(epoch_us(ts)) FROM b) - 3600000000""")
 def st1(spark, sf):
-    return J.run_available(J.fleet_states(beats(stream(spark, sf)).withWatermark("ts", "1 hour"))).drop("ts")
+    table_ = chained(spark, sf).withColumn("score", F.expr(SCORE))
+    stream_ = J.replayed(table_.select("node_id", "ts", "ord", "seq", "payload_sha256", "prev_hash", "score"), "ts", 4)
+    states = J.run_available(J.fleet_states(stream_.withWatermark("ts", "1 hour"), expected_seconds=3 * 3600))
+    return states.withColumn("at_us", F.unix_micros("ts")).drop("ts")
 
 
 @query("st4_alerts", """SELECT DISTINCT 'node-' || user_id % 25 AS node_id, event_id // 4 AS seq, 'code-' || event_id % 2 AS code FROM events WHERE event_type IN ('error', 'signup')""")
@@ -79,10 +94,17 @@ def st9(spark, sf):
     return J.run_available(brief(D.browser_activity(e, ["https://s0.example"])))
 
 
-@query("st10_bundle_gaps", """WITH d AS (SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, user_id % 10 AS n FROM events), w AS (SELECT DISTINCT start_us FROM d WHERE start_us + 86400000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events))
-SELECT w.start_us, 'src-' || s AS source_id, count(n) AS seen, count(n) / 40.0 < 0.95 AS incomplete FROM w CROSS JOIN (SELECT unnest(range(0, 14)) AS s) x LEFT JOIN d ON d.start_us = w.start_us AND n = s GROUP BY 1, 2""")
+@query("st10_bundle_gaps", """WITH d AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, 'src-' || user_id % 150 AS source_id FROM events),
+lim AS (SELECT min(start) AS a, max(start) FILTER (epoch_us(start) + 86400000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)) AS z FROM d),
+w AS (SELECT unnest(generate_series(a, z, INTERVAL 1 DAY)) AS start FROM lim),
+x AS (SELECT 'src-' || s_suppkey AS source_id, 1 + s_nationkey AS expected, CASE WHEN s_suppkey % 4 = 0 THEN 0.5 ELSE 0.95 END AS ratio FROM supplier),
+c AS (SELECT start, source_id, count(*) AS n FROM d GROUP BY ALL)
+SELECT epoch_us(w.start) AS start_us, x.source_id, coalesce(n, 0) AS seen, coalesce(n, 0) / expected < ratio AS incomplete
+FROM w CROSS JOIN x LEFT JOIN c ON c.start = w.start AND c.source_id = x.source_id""")
 def st10(spark, sf):
-    e = stream(spark, sf).withColumn("source_id", F.concat(F.lit("src-"), F.col("user_id") % 10))
-    exp = table(spark, sf, "supplier").filter("s_suppkey < 14").select(F.concat(F.lit("src-"), "s_suppkey").alias("source_id"), F.lit(40).alias("expected_events"), F.lit(None).cast("double").alias("min_event_ratio"))
-    t = J.run_available(J.bundle_gaps(e, exp, "1 day"))
-    return t.select(F.unix_micros("w.start").alias("start_us"), "source_id", "seen", "incomplete")
+    e = stream(spark, sf).withColumn("source_id", F.concat(F.lit("src-"), F.col("user_id") % 150))
+    expected = table(spark, sf, "supplier").select(
+        F.concat(F.lit("src-"), "s_suppkey").alias("source_id"), (F.col("s_nationkey") + 1).alias("expected_events"),
+        F.when(F.col("s_suppkey") % 4 == 0, F.lit(0.5)).alias("min_event_ratio"))
+    t = J.bundle_gaps(J.run_available(J.source_counts(e, "1 day")), expected, "1 day")
+    return t.select(F.unix_micros("start").alias("start_us"), "source_id", "seen", "incomplete")

@@ -208,20 +208,27 @@ def chained_beats(d):
     FROM ({base_events(d)}) e"""
 
 
-@query("w16_heartbeat_continuity", f"""WITH RECURSIVE t AS (SELECT *, k % 40 <> 3 AND k % 30 <> 7 AS good FROM ({duck(chained_beats)})),
+CHAIN_SQL = f"""WITH RECURSIVE t AS (SELECT *, k % 40 <> 3 AND k % 30 <> 7 AS good FROM ({duck(chained_beats)})),
 b AS (SELECT *, row_number() OVER w AS rn, CASE WHEN k % 40 = 3 THEN 'tampered' ELSE coalesce(last_value(CASE WHEN good THEN payload_sha256 END IGNORE NULLS) OVER
    (PARTITION BY node_id ORDER BY ts, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), repeat('0', 64)) END AS prev FROM t WINDOW w AS (PARTITION BY node_id ORDER BY ts, ord)),
 s(node_id, rn, seq, verdict, last_seq, last_hash) AS (SELECT DISTINCT node_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), '', CAST(0 AS BIGINT), repeat('0', 64) FROM b
  UNION ALL SELECT b.node_id, b.rn, b.seq, CASE WHEN b.seq <= last_seq THEN 'replay' WHEN b.prev <> last_hash THEN 'chain_mismatch' ELSE 'accepted' END,
    CASE WHEN b.seq > last_seq AND b.prev = last_hash THEN b.seq ELSE last_seq END, CASE WHEN b.seq > last_seq AND b.prev = last_hash THEN payload_sha256 ELSE last_hash END
-   FROM s JOIN b ON b.node_id = s.node_id AND b.rn = s.rn + 1)
-SELECT node_id, seq, verdict FROM s WHERE rn > 0""")
-def w16(spark, sf):
+   FROM s JOIN b ON b.node_id = s.node_id AND b.rn = s.rn + 1)"""
+
+
+def chained(spark, sf):
+    """Heartbeats with the payload hash of the last good one before, or a tampered one."""
     from ..operators.ordered import prior, time_chunk
     b = domain(spark, sf, chained_beats)
     good = F.when((F.col("k") % 40 != 3) & (F.col("k") % 30 != 7), F.col("payload_sha256"))
     b = prior(b, ["node_id"], ["ts", "ord"], {"h": ("last", good)}, time_chunk("ts"))
-    return W.heartbeat_continuity(b.withColumn("prev_hash", F.when(F.col("k") % 40 == 3, "tampered").otherwise(F.col("h"))))
+    return b.withColumn("prev_hash", F.when(F.col("k") % 40 == 3, "tampered").otherwise(F.col("h")))
+
+
+@query("w16_heartbeat_continuity", CHAIN_SQL + " SELECT node_id, seq, verdict FROM s WHERE rn > 0")
+def w16(spark, sf):
+    return W.heartbeat_continuity(chained(spark, sf))
 
 
 @query("w17_latest_state", f"""SELECT node_id, arg_max(seq, (ts, seq)) AS seq, arg_max(hardware_status, (ts, seq)) AS hardware_status

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..runtime import checkpoint_dir
+from ..runtime import checkpoint_dir, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -21,7 +22,7 @@ EXPECTED_SECONDS, STALE_FACTOR, MAX_SKEW_SECONDS = 300.0, 2.5, 300
 ZERO_HASH = "0" * 64
 
 STATE_ROWS = "node_id string, seq bigint, ts timestamp, verdict string, state string, recovery_streak int"
-STATE_TYPE = "last_seq bigint, last_hash string, state string, streak int"
+NODE_STATE = "last_seq bigint, last_hash string, state string, streak int, last_us bigint, said boolean"
 
 
 def next_state(score: int, previous: str, streak: int, required: int = 3) -> tuple[str, int]:
@@ -33,42 +34,92 @@ def next_state(score: int, previous: str, streak: int, required: int = 3) -> tup
     return "NORMAL", 0
 
 
-def fleet_states(beats: DataFrame, required: int = 3, expected_seconds: float = EXPECTED_SECONDS) -> DataFrame:
-    """Accept or reject heartbeats per node and track its drift state.
+class FleetNode(StatefulProcessor):
+    """State of one node: what it last sent that was accepted, its drift state, and a timer for its silence."""
 
-    ``beats``: node_id, seq, ts (watermarked on a stream), ord, payload_sha256,
-    prev_hash, score.  A rejected heartbeat changes nothing.  A node silent for
-    2.5 expected intervals emits one STALE row from an event-time timer.
-    """
-    stale_ms = int(expected_seconds * STALE_FACTOR * 1000)
-
-    def step(key, batches, state: GroupState):
-        last_seq, last_hash, current, streak = state.get if state.exists else (0, ZERO_HASH, "NORMAL", 0)
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], last_seq, None, "stale", "STALE", streak)],
-                               columns=["node_id", "seq", "ts", "verdict", "state", "recovery_streak"])
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "ord"])
-        out, newest = [], None
-        for seq, ts, payload, prev, score in zip(pdf["seq"], pdf["ts"], pdf["payload_sha256"], pdf["prev_hash"], pdf["score"]):
-            newest = ts if newest is None or ts > newest else newest
+    def __init__(self, required: int, stale_us: int):
+        self.required, self.stale_us = required, stale_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("node", NODE_STATE)
+
+    def _rows(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["node_id", "seq", "ts", "verdict", "state", "recovery_streak"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        last_seq, last_hash, current, streak, last_us, said = self.value.get() or (0, ZERO_HASH, "NORMAL", 0, None, False)
+        before = None if last_us is None or said else last_us + self.stale_us
+        # One node's beats of one micro-batch; the stream's rate limit bounds them.
+        beats = sorted(beat for pdf in rows for beat in zip(
+            pdf["ts"], pdf["ord"], pdf["seq"], pdf["payload_sha256"], pdf["prev_hash"].fillna(""), pdf["score"]))
+        out = []
+        for ts, _, seq, payload, prev, score in beats:
+            us = ts.value // 1000
+            if last_us is not None and not said and us > last_us + self.stale_us:
+                out.append((int(last_seq), pd.Timestamp(last_us + self.stale_us, unit="us"), "stale", "STALE", int(streak)))
+                said = True
             if seq <= last_seq:
                 verdict = "replay"
-            elif (prev if isinstance(prev, str) and prev else ZERO_HASH) != last_hash:
+            elif (prev or ZERO_HASH) != last_hash:
                 verdict = "chain_mismatch"
             else:
                 verdict = "accepted"
-                current, streak = next_state(int(score), current, streak, required)
-                last_seq, last_hash = int(seq), payload
-            out.append((key[0], int(seq), ts, verdict, current, streak))
-        state.update((int(last_seq), last_hash, current, int(streak)))
-        due = int(newest.timestamp() * 1000) + stale_ms
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["node_id", "seq", "ts", "verdict", "state", "recovery_streak"])
+                current, streak = next_state(int(score), current, streak, self.required)
+                last_seq, last_hash, last_us, said = int(seq), payload, us, False
+            out.append((int(seq), ts, verdict, current, int(streak)))
+        self.value.update((int(last_seq), last_hash, current, int(streak), last_us, said))
+        due = None if last_us is None or said else last_us + self.stale_us
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(-(-before // 1000))
+            if due is not None:
+                self.handle.registerTimer(-(-due // 1000))
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last_seq, last_hash, current, streak, last_us, said = self.value.get()
+        if not said:
+            self.value.update((last_seq, last_hash, current, streak, last_us, True))
+            yield self._rows(key, [(last_seq, pd.Timestamp(last_us + self.stale_us, unit="us"), "stale", "STALE", streak)])
+
+    def close(self) -> None:
+        pass
 
-    return beats.groupBy("node_id").applyInPandasWithState(
-        step, STATE_ROWS, STATE_TYPE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def fleet_states(beats: DataFrame, required: int = 3, expected_seconds: float = EXPECTED_SECONDS) -> DataFrame:
+    """Accept or reject heartbeats per node, track its drift state, and report silence.
+
+    ``beats``: node_id, seq, ts (watermarked on a stream), ord, payload_sha256,
+    prev_hash, score.  A rejected heartbeat changes nothing.  A node that has
+    nothing accepted for 2.5 expected intervals has one STALE row for this silence,
+    at the time it was due: from its event-time timer, or from the heartbeat that
+    comes later than that.  Beats are judged in order of time within a
+    micro-batch, and micro-batches as they come.  Run it through ``run_available``
+    or with the state store of ``timed_state``.
+    """
+    stale_us = int(expected_seconds * STALE_FACTOR * 1_000_000)
+    return beats.groupBy("node_id").transformWithStateInPandas(
+        FleetNode(required, stale_us), STATE_ROWS, "append", "eventTime")
+
+
+def side_outputs(states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepted heartbeats, rejected ones, and silences of ``fleet_states``."""
+    verdict = F.col("verdict")
+    return (states.filter(verdict == "accepted"), states.filter(verdict.isin("replay", "chain_mismatch")),
+            states.filter(verdict == "stale"))
+
+
+@contextmanager
+def timed_state(spark: SparkSession):
+    """Streams started within keep their state in RocksDB, which states with timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def on_time(beats: DataFrame, now: Column, max_skew: int = MAX_SKEW_SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -111,19 +162,27 @@ def session_activity(events: DataFrame, key: str, gap: str, delay: str = "10 min
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "approval").alias("approvals"))
 
 
-def bundle_gaps(events: DataFrame, expectations: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+def source_counts(events: DataFrame, length: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Events per closed window and source."""
+    return events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w"), "source_id").agg(F.count("*").alias("seen"))
+
+
+def bundle_gaps(counts: DataFrame, expectations: DataFrame, length: str = "1 hour") -> DataFrame:
     """Seen against expected events per expected source and closed window; a silent source has 0.
 
-    ``expectations`` (source_id, expected_events, min_event_ratio) is bounded
-    configuration: it becomes one counter per source, so windows times sources
-    come out of one aggregation.
+    ``counts``: the closed windows that ``source_counts`` wrote.  ``expectations``:
+    source_id, expected_events, min_event_ratio (0.95).  Every expected source is
+    laid out over the windows from the first to the last closed one, those between
+    in which nothing came at all included, and joined to the counts.
     """
-    listed = expectations.select("source_id", "expected_events", F.coalesce("min_event_ratio", F.lit(0.95)).alias("ratio")).collect()
-    seen = [F.count_if(F.col("source_id") == r.source_id).alias(f"n{i}") for i, r in enumerate(listed)]
-    counts = events.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w")).agg(*seen)
-    rows = [F.struct(F.lit(r.source_id).alias("source_id"), F.col(f"n{i}").alias("seen"),
-                     (F.col(f"n{i}") / r.expected_events < r.ratio).alias("incomplete")) for i, r in enumerate(listed)]
-    return counts.select("w", F.explode(F.array(*rows)).alias("r")).select("w", "r.*")
+    closed = counts.agg(F.min("w.start").alias("first"), F.max("w.start").alias("last"))
+    windows = F.sequence(closed.select("first").scalar(), closed.select("last").scalar(), F.expr(f"INTERVAL {length}"))
+    due = expectations.select("source_id", "expected_events", F.coalesce("min_event_ratio", F.lit(0.95)).alias("ratio"),
+                              F.explode(windows).alias("start"))
+    came = counts.select("source_id", F.col("w.start").alias("start"), "seen")
+    seen = F.coalesce("seen", F.lit(0).cast("long"))
+    return due.join(came, ["source_id", "start"], "left").select(
+        "start", "source_id", seen.alias("seen"), (seen / F.col("expected_events") < F.col("ratio")).alias("incomplete"))
 
 
 def read_table(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
@@ -135,6 +194,23 @@ def read_table(spark: SparkSession, folder: str, name: str, per_trigger: int | N
     return r.parquet(folder)
 
 
+def replayed(table: DataFrame, time: str, slices: int, per_trigger: int = 1) -> DataFrame:
+    """A written table as a stream: ``slices`` ranges of time, of equal rows, come one after the other.
+
+    ``per_trigger`` files make a micro-batch, which bounds what one holds.
+    """
+    spark = table.sparkSession
+    base = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
+    held = materialize(table)
+    cuts = held.select(F.percentile_approx(time, F.array(*[F.lit(i / slices) for i in range(1, slices)]), 10_000)).first()[0] if slices > 1 else []
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):
+        later = F.lit(True) if lo is None else F.col(time) > F.lit(lo)
+        part = held.filter(later if hi is None else later & (F.col(time) <= F.lit(hi)))
+        part.repartition(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", per_trigger).parquet(base)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is there now into a table of the shared folder and read it back.
 
@@ -150,9 +226,10 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
         df.write.mode("overwrite").parquet(f"{base}/out/batch={batch:06d}")
         ids.append(batch)
 
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).foreachBatch(sink).start())
-    q.awaitTermination()
+    with timed_state(spark):
+        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt")
+             .trigger(availableNow=True).foreachBatch(sink).start())
+        q.awaitTermination()
     if not ids:
         return spark.createDataFrame([], schema)
     wanted = [max(ids)] if mode == "complete" else sorted(set(ids))

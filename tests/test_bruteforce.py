@@ -169,10 +169,14 @@ def test_first_divergence_depth(spark):
     assert (r["first_divergence_depth"], r["region_end"], r["region_depths"]) == (32, 48, 3)
 
 
-def replay_nodes(rows):
+def replay_nodes(rows, stale, watermark):
+    """Verdicts, drift states and silences, one heartbeat after the other."""
     state, out = {}, []
     for node, seq, ts, ordinal, payload, prev, score in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
-        last, lh, cur, streak = state.get(node, (0, jobs.ZERO_HASH, "NORMAL", 0))
+        last, lh, cur, streak, at, said = state.get(node, (0, jobs.ZERO_HASH, "NORMAL", 0, None, False))
+        if at and not said and ts > at + stale:
+            out.append((node, last, at + stale, "stale", "STALE", streak))
+            said = True
         if seq <= last:
             verdict = "replay"
         elif (prev or jobs.ZERO_HASH) != lh:
@@ -180,29 +184,37 @@ def replay_nodes(rows):
         else:
             verdict = "accepted"
             cur, streak = jobs.next_state(score, cur, streak)
-            last, lh = seq, payload
-        state[node] = (last, lh, cur, streak)
-        out.append((node, seq, verdict, cur, streak))
+            last, lh, at, said = seq, payload, ts, False
+        state[node] = (last, lh, cur, streak, at, said)
+        out.append((node, seq, ts, verdict, cur, streak))
+    out += [(n, s[0], s[4] + stale, "stale", "STALE", s[3]) for n, s in state.items() if s[4] and not s[5] and s[4] + stale <= watermark]
     return sorted(out)
 
 
-def test_fleet_stream_equals_replay(spark, tmp_path):
+@pytest.mark.parametrize("slices", [1, 4])
+def test_fleet_stream_equals_replay(spark, slices):
     import datetime as dt
     rnd, rows = random.Random(9), []
-    for n in range(4):
-        prev = None
-        for i in range(1, 30):
-            ts = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i)
-            good = rnd.random() > .1
+    for n in range(6):
+        prev, minute = None, 0
+        for i in range(1, 30 if n else 12):
+            minute += rnd.choice((1, 5, 9, 14))
+            ts = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+            good = rnd.random() > .1 and n < 5  # nothing of the last node is ever accepted
             payload = f"{n}-{i}"
             rows.append((f"n{n}", i if rnd.random() > .1 else i - 2, ts, i, payload, prev if good else "x", rnd.choice([0, 0, 0, 30, 40, 50])))
             prev = payload if good else prev
     df = spark.createDataFrame(rows, "node_id string, seq bigint, ts timestamp, ord int, payload_sha256 string, prev_hash string, score int")
-    for part in range(3):  # three files, three micro-batches, in time order
-        df.filter((F.col("ord") - 1) / 10 >= part).filter((F.col("ord") - 1) / 10 < part + 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "1 hour")
-    got = jobs.run_available(jobs.fleet_states(stream)).filter("verdict <> 'stale'").collect()
-    assert sorted((r["node_id"], r["seq"], r["verdict"], r["state"], r["recovery_streak"]) for r in got) == replay_nodes(rows)
+    stream = jobs.replayed(df, "ts", slices).withWatermark("ts", "30 minutes")
+    states = jobs.run_available(jobs.fleet_states(stream))
+    got = sorted((r["node_id"], r["seq"], r["ts"], r["verdict"], r["state"], r["recovery_streak"]) for r in states.collect())
+    watermark = max(r[2] for r in rows) - dt.timedelta(minutes=30)
+    want = replay_nodes(rows, dt.timedelta(seconds=750), watermark)
+    assert got == want
+    kinds = [{r[3] for r in want if r[3] == v} for v in ("accepted", "stale")]
+    assert all(kinds)
+    accepted, rejected, silent = (x.count() for x in jobs.side_outputs(states))
+    assert accepted + rejected + silent == len(want) and silent == sum(r[3] == "stale" for r in want)
 
 
 def test_recovery_hysteresis():
