@@ -33,7 +33,7 @@ from caseweave.runtime import materialize
 
 ANCHOR_WORDS = 5
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
-ROWS = "k long, f long, id long, at long, settled boolean"
+ROWS = "k long, f long, id long, h long, at long, settled boolean"
 
 
 def anchors(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int,
@@ -61,47 +61,61 @@ def anchors(hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int,
     return gram[place], mix(ranges.of(lo, hi + window) ^ mix(shape + np.uint64(1))), lo, hi
 
 
-def _settle(k: np.ndarray, f: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _settle(k: np.ndarray, f: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Reduce a batch: of equal (k, f) the earliest goes on, later ones are repeats for sure.
 
-    Settled rows need no comparison; their key is spread so that they don't meet in one task.
+    Texts that share the smallest id are not earlier than each other, so each of
+    them keeps its earliest row.  Settled rows need no comparison; their key is
+    spread so that they don't meet in one task.
     """
-    order = np.lexsort((at, ids, f, k))
-    k, f, ids, at = k[order], f[order], ids[order], at[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])]) if len(k) else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    order = np.lexsort((at, h, ids, f, k))
+    k, f, ids, h, at = k[order], f[order], ids[order], h[order], at[order]
+    place = np.arange(len(k))
+    context = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])]) if len(k) else np.empty(0, bool)
+    least = ids[np.maximum.accumulate(np.where(context, place, 0))]
+    new = context.copy()
+    new[1:] |= (ids[1:] == least[1:]) & (h[1:] != h[:-1])
+    head = np.maximum.accumulate(np.where(new, place, 0))
     # The same place of the same document (a repeated row) is not earlier than itself.
     settled = ~((ids == ids[head]) & (at >> 24 == at[head] >> 24))
     keep = settled | new
-    spread = mix(ids.view(np.uint64) + at.view(np.uint64)).view(np.int64)
-    cols = [np.where(settled, spread, k), f, ids, at, settled]
-    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["k", "f", "id", "at", "settled"])
+    spread = mix(ids.view(np.uint64) + h.view(np.uint64) + at.view(np.uint64)).view(np.int64)
+    cols = [np.where(settled, spread, k), f, ids, h, at, settled]
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["k", "f", "id", "h", "at", "settled"])
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """``(id, at, repeat)``: rows with an earlier equal (k, f), and the earliest rows of keys with several contexts."""
+    """``(id, h, at, repeat)``: rows with an earlier equal (k, f), and the earliest rows of keys with several contexts.
+
+    Several texts of the smallest id count as several contexts here; the windows
+    they are extended to are compared exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (k, f, id, start) of the current context's earliest row
-        waiting = None  # the first context's earliest row of the current key, until a second context shows
+        last = None  # (k, f, id, start, h) of the current context's last head; all heads of a context have its smallest id
+        waiting = None  # the first head of the current key, until a second one shows
         for b in batches:
-            k, f, ids, at = (b.column(c).to_numpy() for c in ("k", "f", "id", "at"))
+            k, f, ids, h, at = (b.column(c).to_numpy() for c in ("k", "f", "id", "h", "at"))
             settled = b.column("settled").to_numpy(zero_copy_only=False)
-            out_id, out_at, out_repeat = [ids[settled]], [at[settled]], [np.ones(settled.sum(), bool)]
-            k, f, ids, at = (c[~settled] for c in (k, f, ids, at))
+            out = [[ids[settled], h[settled], at[settled], np.ones(settled.sum(), bool)]]
+            k, f, ids, h, at = (c[~settled] for c in (k, f, ids, h, at))
             if len(k):
-                prev_k = np.concatenate([[k[0] if last is None else last[0]], k[:-1]])
-                prev_f = np.concatenate([[f[0] if last is None else last[1]], f[:-1]])
-                new_k = k != prev_k
-                new = new_k | (f != prev_f)
+                first = (k[0], f[0], ids[0], at[0] >> 24, h[0]) if last is None else last
+                new_k = k != np.concatenate([[first[0]], k[:-1]])
+                context = new_k | (f != np.concatenate([[first[1]], f[:-1]]))
                 if last is None:
-                    new_k[0] = new[0] = True
-                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+                    new_k[0] = context[0] = True
+                place = np.arange(len(k))
+                begun = np.maximum.accumulate(np.where(context, place, -1))
+                least = np.where(begun < 0, first[2], ids[begun])
+                other = h != np.concatenate([[first[4]], h[:-1]])
+                new = context | ((ids == least) & other)
+                head = np.maximum.accumulate(np.where(new, place, -1))
                 old = head < 0  # goes on from the batch before
-                head_id = np.where(old, 0 if last is None else last[2], ids[head])
-                head_start = np.where(old, 0 if last is None else last[3], at[head] >> 24)
+                head_id = np.where(old, first[2], ids[head])
+                head_start = np.where(old, first[3], at[head] >> 24)
                 repeat = ~new & ~((ids == head_id) & (at >> 24 == head_start))
-                # Contexts of one key: the earliest rows of all of them, if there are two or more.
+                # All heads of one key, if there are two or more.
                 heads = np.flatnonzero(new)
                 more = np.zeros(len(k), bool)
                 follows = ~new_k[heads]
@@ -109,30 +123,25 @@ def _compare(rows: DataFrame) -> DataFrame:
                 before = np.flatnonzero(follows)
                 more[heads[before[before > 0] - 1]] = True
                 if waiting is not None and len(heads) and follows[0]:
-                    out_id.append(np.array([waiting[0]]))
-                    out_at.append(np.array([waiting[1]]))
-                    out_repeat.append(np.zeros(1, bool))
+                    out.append([np.array([x]) for x in (*waiting, False)])
                     waiting = None
                 if len(heads):
                     j = heads[-1]
-                    last = (k[j], f[j], ids[j], at[j] >> 24)
-                    waiting = None if more[j] else (ids[j], at[j])
+                    last = (k[j], f[j], ids[j], at[j] >> 24, h[j])
+                    waiting = None if more[j] else (ids[j], h[j], at[j])
                 for flag, said in ((repeat, True), (more, False)):
-                    out_id.append(ids[flag])
-                    out_at.append(at[flag])
-                    out_repeat.append(np.full(flag.sum(), said))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_id, out_at, out_repeat)],
-                                             names=["id", "at", "repeat"])
+                    out.append([ids[flag], h[flag], at[flag], np.full(flag.sum(), said)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "h", "at", "repeat"])
 
-    dealt = rows.repartition("k").sortWithinPartitions("k", "f", "id", "at")
-    return dealt.mapInArrow(run, "id long, at long, repeat boolean")
+    dealt = rows.repartition("k").sortWithinPartitions("k", "f", "id", "h", "at")
+    return dealt.mapInArrow(run, "id long, h long, at long, repeat boolean")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text, and 16 bits of the text's hash, which tell texts apart that share an id."""
+    """Id, text, and the text's hash, which tells texts apart that share an id or have none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"),
-                       F.pmod(F.xxhash64(text), F.lit(1 << 16)).alias("check"))
+                       F.xxhash64(text).alias("h"))
 
 
 def _scan(docs: DataFrame, emit: Callable) -> DataFrame:
@@ -152,12 +161,12 @@ def _scan(docs: DataFrame, emit: Callable) -> DataFrame:
     return docs.mapInArrow(run, ROWS)
 
 
-def _pack(start: np.ndarray, span: np.ndarray, check: np.ndarray) -> np.ndarray:
-    return (start << 24) | (span << 16) | check
+def _pack(start: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (start << 24) | (span << 16)
 
 
 def repeat_marks(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, check, lo, hi)``: words lo..hi-1 lie in windows that also start earlier (one or several windows a row)."""
+    """``(id, h, lo, hi)``: words lo..hi-1 lie in windows that also start earlier (one or several windows a row)."""
     if not ANCHOR_WORDS < window <= 256:
         raise ValueError(f"window must lie between {ANCHOR_WORDS + 1} and 256 words")
     texts = _texts(docs, id_col, text_col)
@@ -165,14 +174,13 @@ def repeat_marks(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
     def seeds(words, hashes, rows):
         anchor, context, lo, hi = anchors(hashes, words.doc, words.first, window)
         d = words.doc[lo]
-        ids, check = rows.column("id").to_numpy()[d], rows.column("check").to_numpy()[d]
-        return anchor.view(np.int64), context.view(np.int64), ids, _pack(lo - words.first[d], hi - lo, check)
+        ids, h = rows.column("id").to_numpy()[d], rows.column("h").to_numpy()[d]
+        return anchor.view(np.int64), context.view(np.int64), ids, h, _pack(lo - words.first[d], hi - lo)
 
     seen = materialize(_compare(_scan(texts, seeds)))
     places = (seen.filter(~F.col("repeat"))
-              .select("id", F.expr("at & 65535").alias("check"), F.shiftright("at", 24).alias("start"),
-                      F.expr("shiftright(at, 16) & 255").alias("span"))
-              .groupBy("id", "check").agg(F.sort_array(F.collect_list(F.struct("start", "span"))).alias("places")))
+              .select("id", "h", F.shiftright("at", 24).alias("start"), F.expr("shiftright(at, 16) & 255").alias("span"))
+              .groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "span"))).alias("places")))
 
     def extend(words, hashes, rows):
         starts, docs_ = [], []
@@ -186,14 +194,14 @@ def repeat_marks(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
         whole = ranges.of(at, at + window)
         # A second hash of the same words, from a second spread of them, makes 128 bits.
         other = RangeHash(mix(hashes ^ np.uint64(0x5851F42D4C957F2D))).of(at, at + window)
-        ids, check = rows.column("id").to_numpy()[d], rows.column("check").to_numpy()[d]
-        return whole.view(np.int64), other.view(np.int64), ids, _pack(start, np.zeros_like(start), check)
+        ids, h = rows.column("id").to_numpy()[d], rows.column("h").to_numpy()[d]
+        return whole.view(np.int64), other.view(np.int64), ids, h, _pack(start, np.zeros_like(start))
 
-    joined = texts.join(places.hint("shuffle_hash"), ["id", "check"]).select("id", "check", "text", "places")
+    joined = texts.join(places.hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", "places")
     extended = materialize(_compare(_scan(joined, extend)).filter("repeat"))
     start = F.shiftright("at", 24)
-    return (seen.filter("repeat").select("id", "at").unionByName(extended.select("id", "at"))
-            .select("id", F.expr("at & 65535").alias("check"), start.alias("lo"),
+    return (seen.filter("repeat").select("id", "h", "at").unionByName(extended.select("id", "h", "at"))
+            .select("id", "h", start.alias("lo"),
                     (start + F.expr("shiftright(at, 16) & 255") + window).alias("hi")))
 
 
@@ -219,13 +227,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     A null text has no words; texts below ``window`` words keep all.  A null id
     comes after all ids.  Repeated rows (same id and text) are one document, so
-    neither repeats the other; rows that share an id but not the text are told
-    apart and never repeat each other at the same place.  An empty table gives no
-    rows.  Other columns are not read.  Ids are whole numbers.
+    neither repeats the other; rows that share an id, or have none, but differ in
+    text are told apart by their text's hash and never repeat each other.  An empty
+    table gives no rows.  Other columns are not read.  Ids are whole numbers.
     """
     marks = repeat_marks(docs, window, id_col, text_col)
-    per = (marks.groupBy("id", "check").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")))
-    joined = _texts(docs, id_col, text_col).join(per.hint("shuffle_hash"), ["id", "check"], "left")
+    per = (marks.groupBy("id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")))
+    joined = _texts(docs, id_col, text_col).join(per.hint("shuffle_hash"), ["id", "h"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -84,26 +84,41 @@ def test_components_of_a_chain(spark):
 
 
 def brute_repeats(rows, window):
-    """By the definition; repeated rows are one document."""
-    seen, out = {}, []
-    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    firsts = {}
-    for i, t in order:
+    """By the definition; repeated rows are one document, other texts of one id are not earlier than each other."""
+    least, start, out = {}, {}, []
+    for i, t in set(rows):
         words = (t or "").encode().split()
         for s in range(len(words) - window + 1):
             g = tuple(words[s:s + window])
-            firsts[g] = min(firsts.get(g, (True, 1 << 62, 0)), (i is None, i or 0, s))
+            least[g] = min(least.get(g, (True, 1 << 62)), (i is None, i or 0))
+            start[i, t, g] = min(start.get((i, t, g), s), s)
     for i, t in rows:
         words = (t or "").encode().split()
         gone = [False] * len(words)
         for s in range(len(words) - window + 1):
-            if firsts[tuple(words[s:s + window])] < (i is None, i or 0, s):
+            g = tuple(words[s:s + window])
+            if least[g] < (i is None, i or 0) or start[i, t, g] < s:
                 gone[s:s + window] = [True] * window
         kept = b" ".join(w for w, g in zip(words, gone) if not g)
         out.append(str((i, len(words), sum(gone), hashlib.sha256(kept).hexdigest())))
     return sorted(out)
 
 
+def test_repeats_without_ids(spark):
+    """Many texts without an id, and many of one id: clean ones stay whole."""
+    rng = random.Random(21)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passage = text(40)
+    rows = [(None, text(60)) for _ in range(700)] + [(None, text(3) + " " + passage + " " + text(rng.randint(1, 20))) for _ in range(150)]
+    rows += [(7, text(5) + " " + passage[: rng.randint(120, 200)] + " " + text(5)) for _ in range(60)]
+    rows += [(9, passage + " x " + passage), (9, passage + " y"), (None, passage + " z " + passage), (None, passage + " z " + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for part in (df, df.filter("doc_id IS NULL")):
+        mine = [r for r in rows if part is df or r[0] is None]
+        got = substring_dedup.remove_repeats(part).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_removed, r.kept_sha256)) for r in got) == brute_repeats(mine, 20)
+
+
 def test_repeats_equal_brute_force(odd, odd_rows, none):
     for window in (20, 8):
         rows = substring_dedup.remove_repeats(odd, window).collect()
