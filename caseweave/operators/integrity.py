@@ -94,6 +94,59 @@ def history_roots(entries: DataFrame, keys: list[str], chunk_rows: int = 100_000
     return _drop_all(_reduce(i, keys or ["__all"], False, b"\x01"))
 
 
+def history_pyramid(entries: DataFrame, keys: list[str], chunk_rows: int = 100_000) -> DataFrame:
+    """All nodes of the append-only log's trees: keys, level, pos, h, nodes (how many the level has).
+
+    Level 0 are the leaves in order of ``seq``; the root is the only node of the
+    last level.  Each level is one grouping of pairs of the level below.
+    """
+    leaf = F.sha2(F.concat(F.lit(bytearray(b"\x00")), F.col("data").cast("binary")), 256)
+    level = _indexed(entries.withColumn("leaf", leaf), keys, ["seq"], seq_chunk("seq", chunk_rows))
+    k = keys or ["__all"]
+    levels, number = [], 0
+    while True:
+        level = materialize(level) if number else level
+        levels.append(level.select(*k, F.lit(number).alias("level"), "pos", "h", F.col("total").alias("nodes")))
+        open_ = level.filter("total > 1")
+        if open_.isEmpty():
+            return _drop_all(union_all(levels))
+        side = lambda odd: F.max(F.when(F.col("pos") % 2 == odd, F.col("h")))
+        level = (open_.groupBy(*k, F.shiftright("pos", 1).alias("up"), F.ceil(F.col("total") / 2).cast("bigint").alias("total"))
+                 .agg(side(0).alias("left"), side(1).alias("right"))
+                 .select(*k, F.col("up").alias("pos"), F.coalesce(_pair(F.col("left"), F.col("right"), b"\x01"), F.col("left")).alias("h"), "total"))
+        number += 1
+
+
+def inclusion(claims: DataFrame, pyramid: DataFrame, keys: list[str]) -> DataFrame:
+    """``(claims' columns, root, path_length, included)``: is the claimed entry in the log at its place?
+
+    ``claims``: keys, pos (from 0), data.  The claim's hash goes up the tree with its
+    audit path, one equi join with the stored nodes per level, and must end at the
+    stored root.  A claim of a place or a log that does not exist is not included.
+    """
+    spark_pyramid = materialize(pyramid)
+    leaf = F.sha2(F.concat(F.lit(bytearray(b"\x00")), F.col("data").cast("binary")), 256)
+    size = spark_pyramid.filter("level = 0").select(*keys, F.col("nodes").alias("__n")).distinct()
+    root = spark_pyramid.filter("nodes = 1").select(*keys, F.col("h").alias("root"))
+    at = claims.withColumn("__id", F.monotonically_increasing_id())
+    at = materialize(at.join(size, keys, "left").join(root, keys, "left"))
+    climb = at.select("__id", *keys, F.col("pos").alias("__pos"), leaf.alias("__h"), "__n", F.lit(0).alias("__steps")).filter(
+        "__pos >= 0 AND __pos < __n")
+    highest = spark_pyramid.agg(F.max("level")).first()[0] or 0
+    for level in range(highest):
+        nodes = spark_pyramid.filter(F.col("level") == level).select(*keys, F.col("pos").alias("__sib"), F.col("h").alias("__other"))
+        sibling = F.when(F.col("__pos") % 2 == 0, F.col("__pos") + 1).otherwise(F.col("__pos") - 1)
+        both = climb.withColumn("__sib", sibling).join(nodes, [*keys, "__sib"], "left")
+        up = F.when(F.col("__pos") % 2 == 0, _pair(F.col("__h"), F.col("__other"), b"\x01")).otherwise(
+            _pair(F.col("__other"), F.col("__h"), b"\x01"))
+        climb = materialize(both.select(
+            "__id", *keys, F.shiftright("__pos", 1).alias("__pos"), F.coalesce(up, F.col("__h")).alias("__h"), "__n",
+            (F.col("__steps") + F.col("__other").isNotNull().cast("int")).alias("__steps")))
+    done = at.join(climb.select("__id", "__h", "__steps"), "__id", "left")
+    return done.select(*claims.columns, "root", F.col("__steps").alias("path_length"),
+                       F.coalesce(F.col("__h") == F.col("root"), F.lit(False)).alias("included"))
+
+
 def _drop_all(df: DataFrame) -> DataFrame:
     return df.drop("__all")
 

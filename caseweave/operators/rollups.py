@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import looks_like_refusal, present
@@ -208,3 +211,19 @@ def alias_collisions(members: DataFrame) -> DataFrame:
     m = members.withColumn("alias", portable_path("name"))
     first = m.groupBy("archive_id", "alias").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")).filter("n > 1")
     return m.join(first, ["archive_id", "alias"]).filter("ordinal > first").select("archive_id", "ordinal", "name", "alias")
+
+
+def capped_examples(findings: DataFrame, keys: list[str], example: str, k: int) -> DataFrame:
+    """``(keys, total, examples)``: how many findings there are, and the first ``k`` of them in order of ``example``.
+
+    Each task keeps ``k`` rows of a key before they are dealt out, so a finding type
+    with very many rows is never gathered.  Nulls come last and are not listed.
+    """
+    first = Window.partitionBy(*keys).orderBy(F.col(example).asc_nulls_last())
+    shown = (findings.select(*keys, example).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
+             .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col(example).isNotNull(), F.struct("__n", example)))),
+                                             lambda x: x[example]).alias("examples")))
+    counts = findings.groupBy(*keys).agg(F.count("*").alias("total"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    joined = counts.alias("a").join(shown.alias("b"), reduce(and_, same))
+    return joined.select(*[F.col(f"a.{c}").alias(c) for c in keys], "total", "examples")

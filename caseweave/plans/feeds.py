@@ -11,6 +11,7 @@ from ..sources import cloud as C
 from ..sources import files as FS
 from ..sources import traces as TR
 from ..sources import variants as V
+from ..runtime import checkpoint_dir
 from .domains import base_events
 from .registry import domain, duck, query, table
 
@@ -85,6 +86,20 @@ def s5(spark, sf):
     return FS.match_files(table(spark, sf, "part").select(path.alias("path")), [("ring_jsonl", "*ring*.jsonl*"), ("bolts", "*bolt.txt?"), ("small", "case/small/*")])
 
 
+@query("s5_case_tree", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, strlen(text) + 1 AS size, sha256(text || chr(10)) AS sha256, a AS artifact_id FROM documents
+LEFT JOIN (VALUES ('english', 'en'), ('german', 'de'), ('text_file', NULL)) v(a, l) ON l IS NULL OR lang = l""")
+def s5_tree(spark, sf):
+    """Documents written as a tree of files, scanned, hashed and matched against presence patterns."""
+    import uuid
+    root = f"{checkpoint_dir(spark)}/case-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d.write.partitionBy("lang", "doc_id").text(root)
+    files = FS.read_case_tree(spark, root).filter(F.contains(F.col("path"), F.lit("part-")))
+    found = FS.match_files(files, [("english", "lang=en/*"), ("german", "LANG=DE/*"), ("text_file", "part-*.txt")])
+    doc = F.regexp_extract("path", "doc_id=([^/]+)/", 1)
+    return files.join(found, "path", "left").select(doc.alias("doc_id"), "size", "sha256", "artifact_id")
+
+
 @query("s25_receipts", """SELECT 'src-' || l_suppkey AS source, bool_and(l_quantity > 1) AS collection_complete, CAST(sum(l_linenumber) AS BIGINT) AS pages, count(*) AS receipts FROM lineitem GROUP BY 1""")
 def s25(spark, sf):
     return FS.receipt_completeness(table(spark, sf, "lineitem").select(
@@ -221,11 +236,17 @@ def s11(spark, sf):
     return C.result_cells(la_docs(spark, sf)).select("source_id", "response_state", "row_ordinal", "column_name", "state", "json_kind", "v_bool", "v_long", "v_double", "reject")
 
 
-@query("s12_lossless_numbers", E_SQL + """ SELECT CAST(ord // 20 AS VARCHAR) AS source_id, CAST(ord % 20 + 1 AS INT) AS row_ordinal, (['79228162514264337593543950335', '79228162514264337593543950336', '1.50', '1e-29', '1200e3', NULL])[k % 6 + 1] AS numeric_text,
- CASE WHEN k % 6 IN (1, 3) THEN 'cell_type_mismatch' END AS reject FROM e""")
+@query("s12_lossless_numbers", E_SQL + """, x AS (SELECT *, unnest(['B', 'I', 'L', 'R', 'S', 'T', 'D']) AS c FROM e),
+y AS (SELECT *, (c = 'R' AND k % 4 = 0) OR (c = 'D' AND k % 6 = 5) AS missing FROM x)
+SELECT CAST(ord // 20 AS VARCHAR) AS source_id, CAST(ord % 20 + 1 AS INT) AS row_ordinal, c AS column_name, CASE WHEN missing THEN 'null' ELSE 'present' END AS state,
+ CASE WHEN missing THEN 'null' WHEN c = 'B' THEN 'boolean' WHEN c IN ('S', 'T') OR (c = 'D' AND k % 6 = 2) THEN 'string' ELSE 'number' END AS json_kind,
+ CASE c WHEN 'I' THEN CASE WHEN k % 10 = 1 THEN '3000000000' ELSE '7' END WHEN 'L' THEN CAST(ord AS VARCHAR) WHEN 'R' THEN CASE WHEN k % 4 <> 0 THEN '0.25' END
+   WHEN 'D' THEN (['79228162514264337593543950335', '79228162514264337593543950336', '1.50', '1e-29', '1200e3', NULL])[k % 6 + 1] END AS numeric_text,
+ CASE WHEN c = 'B' THEN k % 2 = 0 END AS v_bool, CASE WHEN c = 'I' AND k % 10 <> 1 THEN 7 WHEN c = 'L' THEN ord END AS v_long, CASE WHEN c = 'R' AND k % 4 <> 0 THEN 0.25::DOUBLE END AS v_double,
+ CASE WHEN (c = 'I' AND k % 10 = 1) OR (c = 'T' AND k % 10 = 2) OR (c = 'D' AND k % 6 IN (1, 3)) THEN 'cell_type_mismatch' END AS reject FROM y""")
 def s12(spark, sf):
     t = C.result_cells(la_docs(spark, sf, True), lossless=True)
-    return t.filter("column_name = 'D'").select("source_id", "row_ordinal", "numeric_text", "reject")
+    return t.select("source_id", "row_ordinal", "column_name", "state", "json_kind", "numeric_text", "v_bool", "v_long", "v_double", "reject")
 
 
 # S13 ------------------------------------------------------------------------------------
@@ -305,6 +326,11 @@ def s14_cov(spark, sf):
     return TR.operation_coverage(TR.genai_events(TR.trace_envelopes(otlp_docs(spark, sf))))
 
 
+@query("s14_coverage_gap", SPAN_SQL + """ SELECT source_id, event_type AS span_name, 'otel_genai_coverage_gap' AS type, 'high' AS severity FROM s GROUP BY 1, 2 HAVING count(op) = 0""")
+def s14_gap(spark, sf):
+    return TR.coverage_gap(TR.trace_envelopes(otlp_docs(spark, sf)), ["source_id", "span_name"])
+
+
 def log_docs(spark, sf):
     rec = F.concat(F.lit('{"timeUnixNano":"'), F.unix_micros(F.col("ts").cast("timestamp")), F.lit('000","severityNumber":9,"severityText":"INFO","body":{"stringValue":"m'), "k", F.lit('"}'),
                    F.when(F.col("k") % 3 != 0, F.concat(F.lit(',"traceId":"'), trace_id(), F.lit('"'))).otherwise(""), F.when(F.col("k") % 3 == 1, F.concat(F.lit(',"spanId":"'), span_id(F.col("ord")), F.lit('"'))).otherwise(""), F.lit(',"attributes":{"a":1}}'))
@@ -494,9 +520,16 @@ def s28(spark, sf):
     return AG.tool_identities(t).select("p_partkey", "tool_identity_sha256")
 
 
-@query("s29_memory_snapshot")
+@query("s29_memory_snapshot", E_SQL + """, m AS (SELECT *, 'm' || k AS memory_id FROM e WHERE event_type = 'memory_write'),
+j AS (SELECT tenant_id, memory_id, ord, '{"content_sha256":"' || content_sha256 || '","created_utc":"' || strftime(ts, '%Y-%m-%d') || '","embedding_model":"mü","embedding_version":null,"expires_utc":null,"memory_id":"' || memory_id
+  || '","source_chunk_sha256":null,"source_event_id":"' || event_id || '","tenant_id":"' || tenant_id || '","tombstoned_utc":null,"vector_id":null,"version":' || (ord % 3) || ',"writer_id":"' || actor_id || '"}' AS t FROM m)
+SELECT tenant_id, count(*) AS record_count, sha256('[' || string_agg(replace(t, 'ü', chr(92) || 'u00fc'), ',' ORDER BY memory_id, ord) || ']') AS snapshot_sha256 FROM j GROUP BY 1""")
 def s29(spark, sf):
-    return AG.memory_snapshot(events(spark, sf).filter("event_type = 'memory_write'"), ["tenant_id"], ["event_id", "content_sha256"])
+    m = events(spark, sf).filter("event_type = 'memory_write'").select(
+        "tenant_id", F.concat(F.lit("m"), "k").alias("memory_id"), "ord", (F.col("ord") % 3).alias("version"), "content_sha256",
+        F.col("event_id").alias("source_event_id"), F.col("actor_id").alias("writer_id"), F.lit("mü").alias("embedding_model"),
+        F.date_format("ts", "yyyy-MM-dd").alias("created_utc"))
+    return AG.memory_snapshot(m, ["tenant_id"])
 
 
 def _bom(spark, sf):

@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import access as AC
 from ..operators import authority as A
-from ..operators import detectors as D
 from ..operators import gates as G
 from ..operators import joins as J
 from ..operators import rollups as R
-from .detectors import CARD, ROUTER_POLICY, a2a_log, router_events
 from .domains import base_events
 from ..schema import union_all
 from .registry import FINDING_QUERIES, ORACLE, QUERIES, domain, duck, query, table
@@ -314,24 +312,7 @@ def f26_role(spark, sf):
     return AC.role_access(domain(spark, sf, access_rows))
 
 
-# Finding table, G23, G28, G29, G36, U3, T5 ---------------------------------
-def finding_table(spark, sf):
-    """Findings of two detectors in the shared shape, keyed to cases by tenant."""
-    routing = D.model_routing(domain(spark, sf, router_events), ROUTER_POLICY)
-    binding = D.a2a_binding(domain(spark, sf, a2a_log), CARD)
-    return routing.unionByName(binding)
-
-
-_ROUTE = [("unapproved_model_resolution", "critical", "resolved_model = 'm4'"), ("unapproved_provider", "critical", "provider = 'p3'"), ("unapproved_model_region", "high", "region = 'cn'"),
-          ("unapproved_model_failover", "critical", "requested_model <> resolved_model AND NOT fallback_approved"), ("safety_policy_downgrade", "critical", "safety_profile IS NULL OR safety_profile = 'lax'"),
-          ("router_policy_drift", "critical", "router_policy_sha256 <> 'aa'")]
-_BIND = [("a2a_execution_card_hash_mismatch", "critical", "agent_card_sha256 <> 'aa'"), ("a2a_undeclared_skill_invoked", "critical", "skill_id = 'skill4'"), ("a2a_tenant_binding_mismatch", "critical", "tenant NOT IN ('T0', 'T1')"),
-         ("a2a_callback_points_to_agent_interface", "high", "callback_url = 'https://agent.example/cb'"), ("a2a_unapproved_authority_escalation", "critical", "len(authority_after) = 2 AND NOT authority_elevation_approved")]
-FINDINGS_SQL = f"WITH ro AS ({duck(router_events)}), ab AS ({duck(a2a_log)}), f AS (" + " UNION ALL ".join(
-    [f"SELECT 'model_routing' AS analyzer, '{t}' AS type, '{s}' AS severity, request_id AS event_id, CAST(NULL AS VARCHAR) AS tenant_id FROM ro WHERE {c}" for t, s, c in _ROUTE]
-    + [f"SELECT 'a2a_binding', '{t}', '{s}', event_id, tenant FROM ab WHERE {c}" for t, s, c in _BIND]) + ")"
-
-
+# Findings of all detectors, G23, G28, G29, G36, U3, T5, T6 -------------------
 # Every registered detector whose rows have the four finding columns.
 ANALYZERS = ["f1_", "f2_", "f3_", "f5_", "f6_mcp", "f7_", "f8_", "f9_", "f10_", "f11_", "f12_", "f13_", "f14_render_requests",
              "f18_", "f19_", "f20_", "f21_", "f24_"]
@@ -348,12 +329,26 @@ def all_findings(spark, sf):
     return union_all([QUERIES[n](spark, sf).select(F.lit(n).alias("analyzer"), *_COLUMNS) for n in _analyzers()])
 
 
+def tenant_findings(spark, sf):
+    """All findings with the tenant their event belongs to, and a detail."""
+    event = F.coalesce("event_id", F.lit(""))
+    return all_findings(spark, sf).withColumns({"tenant_id": F.concat(F.lit("T"), F.length(event) % 4), "detail": F.lit(None).cast("string")})
+
+
 ALL_SQL = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS analyzer, {', '.join(_COLUMNS)} FROM ({ORACLE[n]}) x" for n in _analyzers()) + ")"
 
 
-@query("g36_finding_cube", FINDINGS_SQL + " SELECT analyzer, severity, tenant_id, count(*) AS n, CAST(grouping(analyzer, severity, tenant_id) AS BIGINT) AS level FROM f GROUP BY CUBE (analyzer, severity, tenant_id)")
+TENANT_SQL = ALL_SQL + ", ft AS (SELECT *, 'T' || length(coalesce(event_id, '')) % 4 AS tenant_id FROM f)"
+
+
+@query("g36_finding_cube", TENANT_SQL + " SELECT analyzer, severity, tenant_id, count(*) AS n, CAST(grouping(analyzer, severity, tenant_id) AS BIGINT) AS level FROM ft GROUP BY CUBE (analyzer, severity, tenant_id)")
 def g36(spark, sf):
-    return R.finding_cube(finding_table(spark, sf)).withColumn("level", F.col("level").cast("bigint"))
+    return R.finding_cube(tenant_findings(spark, sf)).withColumn("level", F.col("level").cast("bigint"))
+
+
+@query("t6_finding_examples", ALL_SQL + """ SELECT analyzer, type, count(*) AS total, array_to_string(list(coalesce(event_id, subject_id) ORDER BY coalesce(event_id, subject_id))[1:20], ',') AS examples FROM f GROUP BY 1, 2""")
+def t6(spark, sf):
+    return R.capped_examples(all_findings(spark, sf).withColumn("example", F.coalesce("event_id", "subject_id")), ["analyzer", "type"], "example", 20).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("g36_analyzer_cube", ALL_SQL + " SELECT analyzer, severity, type, count(*) AS n, CAST(grouping(analyzer, severity, type) AS BIGINT) AS level FROM f GROUP BY CUBE (analyzer, severity, type)")

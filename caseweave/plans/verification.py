@@ -53,6 +53,24 @@ def g35(spark, sf):
     return I.history_roots(o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("data")), ["k"]).select("k", "root")
 
 
+@query("g35_inclusion", """WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS data, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+a AS (SELECT k, list(sha256(unhex('00') || encode(CAST(data AS VARCHAR))) ORDER BY pos) AS h FROM o GROUP BY 1),
+t(k, h) AS (SELECT k, h FROM a UNION ALL SELECT k, list_transform(range(1, (len(h) + 1) // 2 + 1), lambda i: CASE WHEN 2 * i <= len(h) THEN sha256(unhex('01' || h[2 * i - 1] || h[2 * i])) ELSE h[2 * i - 1] END) FROM t WHERE len(h) > 1),
+x AS (SELECT k, data, pos + CASE WHEN data % 13 = 4 THEN 1 ELSE 0 END AS pos, n, data % 11 = 3 OR data % 13 = 4 AS forged FROM o),
+p(k, data, place, w, steps) AS (SELECT k, data, pos, n, 0 FROM x WHERE pos < n
+  UNION ALL SELECT k, data, place // 2, (w + 1) // 2, steps + CASE WHEN place % 2 = 1 OR place + 1 < w THEN 1 ELSE 0 END FROM p WHERE w > 1)
+SELECT x.k, x.data AS entry, x.pos, r.h[1] AS root, p.steps AS path_length, NOT forged AS included
+FROM x JOIN t r ON r.k = x.k AND len(r.h) = 1 LEFT JOIN p ON p.k = x.k AND p.data = x.data AND p.w = 1""")
+def g35_inclusion(spark, sf):
+    """Every order as an entry of its customer's log; some claims have other content, some another place."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("data"))
+    pyramid = I.history_pyramid(o, ["k"])
+    placed = prior(o, ["k"], ["seq"], {"pos": ("count", F.lit(True))}, seq_chunk("seq", 100_000))
+    claims = placed.select("k", F.col("seq").alias("entry"), (F.col("pos") + (F.col("seq") % 13 == 4).cast("int")).alias("pos"),
+                           F.when(F.col("seq") % 11 == 3, F.concat("data", F.lit("!"))).otherwise(F.col("data")).alias("data"))
+    return I.inclusion(claims, pyramid, ["k"]).drop("data")
+
+
 @query("v1_replay_check", f"""WITH e AS (SELECT DISTINCT ord // 20 AS s FROM ({duck(base_events)})) SELECT CAST(s AS VARCHAR) AS source_id, CASE WHEN s % 10 = 3 THEN 'FAIL' ELSE 'PASS' END AS status FROM e""")
 def v1(spark, sf):
     docs = batches(events(spark, sf), trail_record(), '{"Records":[', "]}")

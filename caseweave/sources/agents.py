@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..schema import union_all
 from . import variants as V
@@ -243,15 +250,51 @@ def tool_identities(tools: DataFrame) -> DataFrame:
     return tools.withColumn("tool_identity_sha256", F.sha2(core, 256))
 
 
-def memory_snapshot(records: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Digest per tenant over its memory records, independent of their order.
+# The fields of a memory record in a snapshot.
+MEMORY_FIELDS = ["memory_id", "tenant_id", "version", "content_sha256", "source_event_id", "source_chunk_sha256", "writer_id",
+                 "embedding_model", "embedding_version", "vector_id", "created_utc", "expires_utc", "tombstoned_utc"]
+
+
+def memory_snapshot(records: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, record_count, snapshot_sha256)``: SHA-256 of the sorted list of 13-field records, as compact JSON.
 
-    Record hashes are reduced level by level (``integrity.merkle_roots``), so a
-    tenant of any size is hashed without being gathered.
+    Records are sorted by tenant, memory id and ``ord``; fields that ``records``
+    lacks are null.  A hash over a list runs through it in order, so each key is one
+    task's stream of sorted rows; nothing of it is held but the hash.
     """
-    from ..operators.integrity import merkle_roots
-    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return merkle_roots(records.select(*keys, F.sha2(row, 256).alias("leaf")), keys)
+    fields = sorted(MEMORY_FIELDS)
+    value = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    ranked = records.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], text("tenant_id").alias("__tenant"),
+                            text("memory_id").alias("__memory"), F.col("ord").alias("__ord"),
+                            F.to_json(F.struct(*[value(c).alias(c) for c in fields]), {"ignoreNullFields": "false"}).alias("__row"))
+    named = [f"__{i}" for i in range(len(keys))]
+    dealt = (ranked.repartition(*named) if named else ranked.repartition(1)).sortWithinPartitions(*named, "__tenant", "__memory", "__ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, n = None, None, 0
+
+        def out() -> pa.RecordBatch:
+            digest.update(b"]")
+            return pa.RecordBatch.from_pylist([{**dict(zip(keys, current)), "record_count": n, "snapshot_sha256": digest.hexdigest()}],
+                                              schema=to_arrow_schema(schema))
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in named]
+            for i, row in enumerate(b.column("__row").to_pylist()):
+                key = tuple(c[i] for c in columns)
+                if digest is None or key != current:
+                    if digest is not None:
+                        yield out()
+                    current, digest, n = key, hashlib.sha256(b"["), 0
+                # Non-ASCII characters are escaped, as in the exported snapshot.
+                digest.update((b"," if n else b"") + json.dumps(json.loads(row), sort_keys=True, separators=(",", ":")).encode())
+                n += 1
+        if digest is not None:
+            yield out()
+
+    schema = StructType([records.schema[k] for k in keys] + [StructField("record_count", LongType()), StructField("snapshot_sha256", StringType())])
+    return dealt.mapInArrow(run, schema)
 
 
 def bom(components: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
