@@ -231,7 +231,7 @@ def count_transitions(texts: DataFrame, vocab: DataFrame, weights: attention.Wei
             return pa.table({"part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         scorer, block = attention.Scorer(*model.value, END), Block(words)
         total = np.zeros((shape[0] * shape[1], shape[2]))
-        for length, first, _, part_first, tokens in block.texts(texts.column("data").to_pylist(), 1 << 20):
+        for length, first, _, part_first, tokens in block.texts(texts.column("data").to_pylist(), 1 << 17):
             ends = np.append(part_first, len(tokens))
             scorer.transitions(tokens, ends[first + length] - ends[first], total)
         return pa.table({"part": pa.array([texts.column("block")[0].as_py()], pa.int64()),
