@@ -370,12 +370,11 @@ def declared_vs_observed(events: DataFrame, declared: dict) -> DataFrame:
         Rule("sandbox_undeclared_sensitive_behavior", "critical",
              F.col("event_type").isin(SENSITIVE_BEHAVIOR) & (outside(F.col("event_type"), caps) if caps else F.lit(True))),
     ], kind="behavior", subject="event_type", event_id="event_id")
-    extra = (e.filter(present("event_type") & (outside(F.col("event_type"), caps) if caps else F.lit(True)))
-             .select("event_type").distinct()
-             .agg(F.array_join(F.array_sort(F.collect_list("event_type")), ",").alias("extra")).filter("extra <> ''"))
+    # One finding per undeclared type, so the types of a long run are never listed in one row.
+    extra = e.filter(present("event_type") & (outside(F.col("event_type"), caps) if caps else F.lit(True))).select("event_type").distinct()
     return rows.unionByName(as_findings(
         extra, "behavior", "sandbox_declared_observed_capability_mismatch", "high", kind="behavior",
-        subject="extra", detail="extra"))
+        subject="event_type", detail="event_type"))
 
 
 def fleet_policy(heartbeats: DataFrame, policies: DataFrame) -> DataFrame:

@@ -350,8 +350,7 @@ DECLARED = {"capabilities": ["file_read", "dns", "memory_write"], "file_paths":
     ("sandbox_undeclared_network_destination", "critical", "hostname <> 'h1.example'"),
     ("sandbox_undeclared_sensitive_behavior", "critical", "event_type = 'credential_access_attempt'"),
 ], src="t", subject="event_type") + """
-UNION ALL SELECT 'sandbox_declared_observed_capability_mismatch', 'high',
-  string_agg(DISTINCT event_type, ',' ORDER BY event_type), NULL FROM t
+UNION ALL SELECT DISTINCT 'sandbox_declared_observed_capability_mismatch', 'high', event_type, CAST(NULL AS VARCHAR) FROM t
   WHERE event_type NOT IN ('file_read', 'dns', 'memory_write')""")
 def f11(spark, sf):
     return brief(D.declared_vs_observed(domain(spark, sf, sandbox_events), DECLARED))

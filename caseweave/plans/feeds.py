@@ -461,16 +461,29 @@ def _graph(spark, sf):
     return AG.exchange_graph(ex, AG.body_objects(b))
 
 
-@query("r9_exchange_nodes", OBJ_SQL + """ SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind, exchange_id || direction || object_id AS id FROM o UNION ALL SELECT 'protocol', event_id FROM e UNION ALL SELECT DISTINCT 'agent', x FROM (SELECT actor_id AS x FROM e UNION SELECT 'srv-' || k % 5 FROM e)
- UNION ALL SELECT DISTINCT 'context', context_id FROM o WHERE context_id IS NOT NULL) GROUP BY 1""")
+# The last part of an object's node id is the beginning of its digest, which is compared in s31.
+R9_SQL = OBJ_SQL + """, x AS (SELECT event_id AS id, 'a2a-exchange:' || event_id AS proto, 'a2a-agent:' || actor_id AS client, 'a2a-agent:srv-' || k % 5 AS server FROM e),
+d AS (SELECT DISTINCT exchange_id, direction, kind, object_id, task_id, context_id, 'a2a-exchange:' || exchange_id AS proto,
+        'a2a-exchange:' || exchange_id || ':' || direction || ':' || kind || ':' || object_id AS n FROM o)"""
+
+
+def _bare(node):
+    return F.regexp_replace(node, ":[0-9a-f]{8}$", "")
+
+
+@query("r9_exchange_nodes", R9_SQL + """ SELECT client AS node_id, 'agent' AS kind FROM x UNION SELECT server, 'agent' FROM x UNION SELECT proto, 'protocol' FROM x
+ UNION SELECT n, kind FROM d UNION SELECT 'a2a-context:' || context_id, 'context' FROM d WHERE context_id IS NOT NULL""")
 def r9_nodes(spark, sf):
-    return _graph(spark, sf)[0].groupBy("kind").agg(F.count("*").alias("n"))
+    object_ = ~F.col("kind").isin("agent", "protocol", "context")
+    return _graph(spark, sf)[0].select(F.when(object_, _bare("node_id")).otherwise(F.col("node_id")).alias("node_id"), "kind").distinct()
 
 
-@query("r9_exchange_edges", OBJ_SQL + """ SELECT relationship, count(*) AS n FROM (SELECT 'communicated_with' AS relationship FROM e, (SELECT unnest([1, 2])) x UNION ALL SELECT CASE WHEN direction = 'request' THEN 'provided_context' WHEN kind = 'task' THEN 'observed' ELSE 'produced' END FROM o
- UNION ALL SELECT 'correlated_with' FROM o WHERE context_id IS NOT NULL UNION ALL SELECT 'correlated_with' FROM (SELECT task_id, unnest(range(count(*) - 1)) FROM o WHERE kind = 'task' GROUP BY 1)) GROUP BY 1""")
+@query("r9_exchange_edges", R9_SQL + """ SELECT client AS src, proto AS dst, 'communicated_with' AS relationship FROM x UNION ALL SELECT proto, server, 'communicated_with' FROM x
+ UNION ALL SELECT proto, n, CASE WHEN direction = 'request' AND kind = 'message' THEN 'provided_context' WHEN direction = 'response' AND kind IN ('message', 'artifact') THEN 'produced' ELSE 'observed' END FROM d
+ UNION ALL SELECT n, 'a2a-context:' || context_id, 'correlated_with' FROM d WHERE context_id IS NOT NULL
+ UNION ALL SELECT * FROM (SELECT lag(n) OVER (PARTITION BY task_id ORDER BY n) AS src, n AS dst, 'correlated_with' FROM d WHERE kind = 'task') WHERE src IS NOT NULL""")
 def r9_edges(spark, sf):
-    return _graph(spark, sf)[1].groupBy("relationship").agg(F.count("*").alias("n"))
+    return _graph(spark, sf)[1].select(_bare("src").alias("src"), _bare("dst").alias("dst"), "relationship")
 
 
 @query("s24_retrieval_documents", E_SQL + """ SELECT event_id AS retrieval_id, l AS list, CAST(p AS INT) AS pos, 'd' || ((k + p) % 7) AS document_id, sha256('chunk ' || ((k + p) % 7)) AS content_sha256 FROM e, (VALUES ('candidates', 0), ('candidates', 1), ('candidates', 2), ('returned', 0)) v(l, p)""")

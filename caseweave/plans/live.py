@@ -78,11 +78,13 @@ def st7(spark, sf):
     return t.select(F.unix_micros("w.start").alias("start_us"), "service", "events", "errors", "max_lag_seconds")
 
 
-@query("st8_session_activity", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS events FROM s GROUP BY user_id, s HAVING epoch_us(max(ts)) + 7200000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""")
+@query("st8_session_activity", """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 7200000000 AS end_us, count(*) AS events, count(*) FILTER (event_type = 'signup') AS approvals
+FROM s GROUP BY user_id, s HAVING epoch_us(max(ts)) + 7200000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""")
 def st8(spark, sf):
-    t = J.run_available(J.session_activity(stream(spark, sf), "user_id", "2 hours"))
-    return t.select("user_id", F.unix_micros("w.start").alias("start_us"), "events")
+    e = stream(spark, sf).withColumn("event_type", F.when(F.col("event_type") == "signup", "approval").otherwise(F.col("event_type")))
+    t = J.run_available(J.session_activity(e, "user_id", "2 hours"))
+    return t.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "events", "approvals")
 
 
 @query("st9_streaming_detector", """WITH t AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS s, event_id % 3 AS m, user_id % 5 AS o FROM events)

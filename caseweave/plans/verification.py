@@ -40,7 +40,10 @@ def g34(spark, sf):
     return I.merkle_roots(o.select(F.col("o_custkey").alias("k"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("leaf")), ["k"]).select("k", "root")
 
 
-@query("g34_merkle_root_total")
+@query("g34_merkle_root_total", """WITH RECURSIVE l AS (SELECT sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey)) AS h FROM lineitem),
+t(pos, h, n) AS (SELECT row_number() OVER (ORDER BY h) - 1, h, count(*) OVER () FROM l
+  UNION ALL SELECT pos // 2, sha256(unhex(max(h) FILTER (pos % 2 = 0) || coalesce(max(h) FILTER (pos % 2 = 1), max(h) FILTER (pos % 2 = 0)))), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY pos // 2, n)
+SELECT h AS root FROM t WHERE n = 1""")
 def g34_total(spark, sf):
     return I.merkle_roots(table(spark, sf, "lineitem").select(F.sha2(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"), 256).alias("leaf")), [])
 

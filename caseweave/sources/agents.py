@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.ordered import prior
 from ..schema import union_all
 from . import variants as V
 
@@ -175,9 +176,9 @@ def exchange_graph(exchanges: DataFrame, objects: DataFrame) -> tuple[DataFrame,
     rel = (F.when((F.col("direction") == "request") & (F.col("kind") == "message"), "provided_context")
            .when((F.col("direction") == "response") & F.col("kind").isin("message", "artifact"), "produced").otherwise("observed"))
     tasks = o.filter("kind = 'task'").select("task_id", onode.alias("n")).distinct()
-    from pyspark.sql import Window
-    w = Window.partitionBy("task_id").orderBy("n")
-    chain = tasks.withColumn("prev", F.lag("n").over(w)).filter("prev IS NOT NULL")
+    # Pieces by the beginning of the exchange id: a task that most exchanges mention is no single window.
+    piece = F.substring("n", 1, len("a2a-exchange:") + 3)
+    chain = prior(tasks, ["task_id"], ["n"], {"prev": ("last", "n")}, piece).filter("prev IS NOT NULL")
     edges = union_all([
         edge(exchanges, agent("client_agent_id"), proto, "communicated_with"), edge(exchanges, proto, agent("server_agent_id"), "communicated_with"),
         edge(o, proto, onode, rel), edge(o.filter("context_id IS NOT NULL"), onode, ctx, "correlated_with"),
