@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from caseweave.llm.common import as_bytes, mix, pieces, split_words, word_hashes
 from caseweave.runtime import materialize
 
-# The first two have a span of eight words, so they hit items of eight words that stand in a text whole.
+# The third has a span of seven words, so items of seven words that stand in a text whole are hit, shorter ones are not.
 MASKS = ("11101011", "11001111", "1111011", "1100100001011")
 # Test items are sent to every executor up to so many words in all; more are joined.
 MAX_SHARED_WORDS = 1 << 20
@@ -106,8 +106,9 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
     An overlap is a stretch of ``least`` words or more of which at least ``ratio``
     agree after lower-casing A-Z; of an item shorter than that, all words must
-    stand in the text in a row.  All of a text is searched.  Items of fewer than 8 words prove nothing and match nothing, as
-    do null and empty texts; repeated rows give repeated rows; null ids stay
+    stand in the text in a row.  All of a text is searched.  Items of fewer words
+    than the shortest mask reads, seven, prove nothing and match nothing, as do null
+    and empty texts; repeated rows give repeated rows; null ids stay
     null; empty tables give no rows.  Other columns are not read.
     """
     spark = docs.sparkSession

@@ -223,3 +223,12 @@ def test_altered_passages_of_more_than_two_substitutions(spark):
     for limit in (1 << 20, 0):
         rows = decontamination.overlaps(df, bench, max_shared_words=limit).collect()
         assert sorted((r.doc_id, r.item_id, r.overlap) for r in rows) == want
+
+
+def test_short_items_match_from_seven_words(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen".split()
+    items = spark.createDataFrame([(n, " ".join(words[:n])) for n in (5, 6, 7, 8, 12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words)), (2, "x y " + " ".join(words).replace("four", "4"))], "doc_id long, text string")
+    for shared in (1 << 20, 0):
+        got = decontamination.overlaps(docs, items, max_shared_words=shared).collect()
+        assert sorted((r.doc_id, r.item_id, r.matched) for r in got) == [(1, 7, 7), (1, 8, 8), (1, 12, 12)]
