@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 from .ordered import prior
 
-CHUNKS = 64  # default number of value chunks a group is ranked in; raise it with the number of distinct values
+CHUNK_ROWS = 100_000  # about so many rows of a key share a value chunk
+MOST_CHUNKS = 1024  # the sketch's steps; keys above CHUNK_ROWS * MOST_CHUNKS rows have longer chunks
 
 
 def ranked_values(rows: DataFrame, keys: list[str], value: str, measures: dict[str, Column],
-                  chunks: int = CHUNKS) -> DataFrame:
-    """Per (keys, distinct value): each measure, its total over smaller values (``before_<name>``), the key's ``__rows``."""
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Per (keys, distinct value): each measure, its total over smaller values (``before_<name>``), the key's ``__rows``.
+
+    A key is ranked in as many value chunks as its rows need: small keys in one,
+    larger ones in up to ``MOST_CHUNKS``.
+    """
     per_value = rows.groupBy(*keys, value).agg(*[m.alias(n) for n, m in measures.items()])
-    steps = [i / chunks for i in range(1, chunks)]
-    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, F.lit(steps), F.lit(max(1000, 8 * chunks))).alias("__bounds"),
+    steps = [i / MOST_CHUNKS for i in range(1, MOST_CHUNKS)]
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, F.lit(steps), F.lit(8 * MOST_CHUNKS)).alias("__bounds"),
                                      F.count(F.lit(1)).alias("__rows"))
+    stride = F.floor(MOST_CHUNKS / F.least(F.ceil(F.col("__rows") / chunk_rows), F.lit(MOST_CHUNKS)))
+    bounds = bounds.withColumn("__bounds", F.filter("__bounds", lambda _, i: (i + 1) % stride == 0))
     if keys:
         v, limits = _join(per_value, bounds, keys), F.col("__bounds")
     else:
@@ -44,10 +51,10 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
-                      chunks: int = CHUNKS) -> DataFrame:
+                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Linearly interpolated percentiles per key, as ``percentile`` would return them."""
     rows = rows.filter(F.col(value).isNotNull())
-    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunks)
+    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunk_rows)
     first, last = F.col("before_n"), F.col("before_n") + F.col("n")
 
     def at(position: Column) -> Column:
@@ -64,16 +71,16 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: d
     return g.select(*keys, *out)
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, chunks: int = CHUNKS) -> DataFrame:
+def average_ranks(rows: DataFrame, keys: list[str], value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Tie-averaged 1-based rank of every distinct value."""
-    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunks)
+    r = ranked_values(rows, keys, value, {"n": F.count(F.lit(1))}, chunk_rows)
     return r.select(*keys, value, "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def auc(rows: DataFrame, keys: list[str], score: str, positive: str, chunks: int = CHUNKS) -> DataFrame:
+def auc(rows: DataFrame, keys: list[str], score: str, positive: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Area under the ROC curve per key by rank sums; ties count one half."""
     is_pos = F.col(positive).cast("int")
-    r = ranked_values(rows, keys, score, {"pos": F.sum(is_pos), "neg": F.sum(1 - is_pos)}, chunks)
+    r = ranked_values(rows, keys, score, {"pos": F.sum(is_pos), "neg": F.sum(1 - is_pos)}, chunk_rows)
     return r.groupBy(*keys).agg(
         F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("__wins"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives")).select(

@@ -73,9 +73,11 @@ def test_percentiles_and_auc(spark):
     rows = [("a" if i % 3 else "b", float(rnd.choice([rnd.random() * 100, 7.0])), rnd.random() < .4) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, v double, p boolean")
     want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.lit([.01, .5, .95])).alias("q")).collect()}
-    got = {r["k"]: [r["x"], r["y"], r["z"]] for r in R.exact_percentiles(df, ["k"], "v", {"x": .01, "y": .5, "z": .95}).collect()}
-    for k in want:
-        assert got[k] == pytest.approx(list(want[k]))
+    for chunk_rows in (100_000, 60, 1):  # one chunk, a few, and as many as there are
+        r = R.exact_percentiles(df, ["k"], "v", {"x": .01, "y": .5, "z": .95}, chunk_rows)
+        got = {r["k"]: [r["x"], r["y"], r["z"]] for r in r.collect()}
+        for k in want:
+            assert got[k] == pytest.approx(list(want[k]))
     for r in R.auc(df, ["k"], "v", "p").collect():
         pos = [v for k, v, p in rows if k == r["k"] and p]
         neg = [v for k, v, p in rows if k == r["k"] and not p]
