@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -149,6 +150,22 @@ def labelled(spark, odd):
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_quality_scores_are_the_rules_applied_by_hand(labelled):
+    """Each text's statistics against the model's conditions and weights, in plain Python."""
+    docs, labels = labelled
+    model, stats = quality.learn(docs, labels)
+    assert model.rules
+    told = {}
+    for r in stats.collect():
+        x = r["__stats"]
+        fired = sum(w for rule, w in model.rules if eval(re.sub(r"(\d)D\b", r"\1", rule).replace("$", "x").replace(" AND ", " and ")))
+        told.setdefault(r.doc_id, set()).add(round(1 / (1 + math.exp(-(model.intercept + fired))), 9))
+    rows = quality.classify(docs, labels).collect()
+    assert len({round(r.score, 9) for r in rows}) > 1
+    for r in rows:
+        assert round(r.score, 9) in told[r.doc_id] and r.predicted == (r.score >= 0.3)
+
+
 def test_quality_rules(labelled, odd, none):
     docs, labels = labelled
     rows = quality.classify(docs, labels).collect()
