@@ -158,7 +158,7 @@ def test_quality_scores_are_the_rules_applied_by_hand(labelled):
     told = {}
     for r in stats.collect():
         x = r["__stats"]
-        fired = sum(w for rule, w in model.rules if eval(re.sub(r"(\d)D\b", r"\1", rule).replace("$", "x").replace(" AND ", " and ")))
+        fired = sum(w for rule, w in model.rules if eval(re.sub(r"(\d)D\b", r"\1", rule).replace("$", "x").replace(" AND ", " and "), {"x": x}))
         told.setdefault(r.doc_id, set()).add(round(1 / (1 + math.exp(-(model.intercept + fired))), 9))
     rows = quality.classify(docs, labels).collect()
     assert len({round(r.score, 9) for r in rows}) > 1
