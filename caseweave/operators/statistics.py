@@ -51,7 +51,7 @@ def robust_z(x: Column, median: Column, mad: Column, mean: Column, std: Column)
 
 def score(rows: DataFrame, base: DataFrame, keys: list[str], value: str = "value", threshold: float = 5.0) -> DataFrame:
     """Every measurement against its baseline."""
-    stats = broadcast_if_small(base.select(*keys, "median", "mad", "mean", "std"))
+    stats = broadcast_if_small(materialize(base.select(*keys, "median", "mad", "mean", "std")))
     z, method = robust_z(F.col(value), F.col("median"), F.col("mad"), F.col("mean"), F.col("std"))
     return (rows.join(stats, keys).withColumns({"robust_z": z, "scoring_method": method})
             .withColumn("abs_robust_z", F.abs("robust_z"))
@@ -101,7 +101,7 @@ def directions(vectors: DataFrame) -> DataFrame:
 
 
 def projections(vectors: DataFrame, dirs: DataFrame) -> DataFrame:
-    return vectors.join(broadcast_if_small(dirs.select("depth", "direction")), "depth").withColumn(
+    return vectors.join(broadcast_if_small(materialize(dirs.select("depth", "direction"))), "depth").withColumn(
         "projection", dot(F.col("vec"), F.col("direction")))
 
 
