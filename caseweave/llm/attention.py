@@ -22,6 +22,7 @@ INPUTS = 512
 PRIOR = 20.0  # pseudo-counts that draw a table row to what it is built on
 CONTEXT = 32  # keys of a window; the second half of a window is scored, the first half is context
 STRIDE = CONTEXT // 2
+WINDOWS = 32  # of a training step
 
 
 class Coding(NamedTuple):
@@ -115,45 +116,38 @@ def gate(weights: Weights, out: np.ndarray) -> np.ndarray:
 class Scorer:
     """Log probabilities of whole documents."""
 
-    def __init__(self, weights: Weights, table: np.ndarray, code: Coding, end: int, windows: int = 256):
+    def __init__(self, weights: Weights, table: np.ndarray, code: Coding, end: int, windows: int = 256,
+                 begins: np.ndarray | None = None):
+        """``begins``: which ids begin a word or end a text (default: all)."""
         self.weights, self.code, self.end, self.windows = weights, code, end, windows
         self.table = table.reshape(-1, EXPERTS)
+        share = np.bincount(code.cls, np.exp(code.within) * (1.0 if begins is None else begins), CLASSES)
+        self.begin_table = np.einsum("rce,c->re", table.astype(np.float32), share.astype(np.float32))
 
     def _windows(self, x: np.ndarray, y: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table cells of classes ``y`` at the last places of windows ``x``, and what every expert says there."""
+        """Probabilities of classes ``y`` at the last places of windows ``x``, and of a word's beginning there."""
         _, out = attend(self.weights, x, factor)
-        cell = (x[:, -len(factor):] * CLASSES + y).ravel()
-        said = np.take(self.table, cell, axis=0, mode="clip")
-        said *= gate(self.weights, out)
-        return cell, said
+        last, pi = x[:, -len(factor):], gate(self.weights, out)
+        said = np.take(self.table, (last * CLASSES + y).ravel(), axis=0, mode="clip")
+        begun = np.take(self.begin_table, last.ravel(), axis=0, mode="clip")
+        return np.einsum("ne,ne->n", said, pi), np.einsum("ne,ne->n", begun, pi)
 
-    def transitions(self, tokens: np.ndarray, count: np.ndarray, total: np.ndarray) -> None:
-        """Add the transitions every expert is responsible for to ``total``, one row per table cell."""
-        cells, shares = [], []
+    def score(self, tokens: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of every token, and of a word's beginning at its place.
 
-        def add(_: np.ndarray, valid: np.ndarray, cell: np.ndarray, said: np.ndarray) -> None:
-            cell, said = cell[valid.ravel()], said[valid.ravel()]
-            cells.append(cell)
-            shares.append(said / said.sum(axis=1, keepdims=True))
-
-        self._each(tokens, count, add)
-        if cells:
-            cell, share = np.concatenate(cells), np.concatenate(shares)
-            for j in range(EXPERTS):
-                total[:, j] += np.bincount(cell, share[:, j], len(total))
-
-    def score(self, tokens: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Natural log probability of every token; ``tokens`` holds ``count[d]`` ids of each document."""
-        result = np.zeros(len(tokens) + STRIDE)
+        ``tokens`` holds ``count[d]`` ids of each document.
+        """
+        result = np.zeros((2, len(tokens) + STRIDE))
 
-        def put(place: np.ndarray, valid: np.ndarray, _: np.ndarray, said: np.ndarray) -> None:
-            result[place[valid]] = np.log(said.sum(axis=1)).reshape(place.shape)[valid]
+        def put(place: np.ndarray, valid: np.ndarray, said: np.ndarray, begun: np.ndarray) -> None:
+            for row, p in zip(result, (said, begun)):
+                row[place[valid]] = np.log(p).reshape(place.shape)[valid]
 
         self._each(tokens, count, put)
-        return result[: len(tokens)] + self.code.within[tokens]
+        return result[0, : len(tokens)] + self.code.within[tokens], result[1, : len(tokens)]
 
     def _each(self, tokens: np.ndarray, count: np.ndarray, use) -> None:
-        """Call ``use(place, valid, cell, said)`` on windows that hold every token once.
+        """Call ``use(place, valid, said, begun)`` on windows that hold every token once.
 
         A window has 32 inputs and scores its last 16; windows overlap by half,
         so every token is scored once with 16 to 31 tokens before it.  The first
@@ -233,22 +227,39 @@ class Trainer:
         self.mean = {n: np.zeros_like(w) for n, w in weights.items()}
         self.square = {n: np.zeros_like(w) for n, w in weights.items()}
 
-    def step(self, sequences: list[np.ndarray]) -> float:
-        """One step on id sequences; the first id of each is input only."""
-        cut = [s[at: at + CONTEXT + 1] for s in sequences for at in range(0, len(s) - 1, CONTEXT)]
-        x = np.zeros((len(cut), CONTEXT), np.int64)
-        y, valid = np.zeros_like(x), np.zeros(x.shape, bool)
-        for i, s in enumerate(cut):
-            x[i, : len(s) - 1], y[i, : len(s) - 1] = self.code.row[s[:-1]], self.code.cls[s[1:]]
-            valid[i, : len(s) - 1] = True
-        loss, grads, mine = gradients(self.weights, self.table, x, y, valid)
-        cell, where = np.unique(x.ravel() * CLASSES + y.ravel(), return_inverse=True)
-        self.counts[cell] += _rows_sum(where, mine, len(cell))
+    def learn(self, sequences: list[np.ndarray]) -> float:
+        """Steps over id sequences, the first id of each an input only; the mean loss."""
+        ids = np.concatenate(sequences)
+        row, cls = self.code.row[ids].astype(np.int64), self.code.cls[ids].astype(np.int64)
+        length = np.array([len(s) for s in sequences])
+        stop = np.cumsum(length)
+        each = np.maximum(-(-(length - 1) // CONTEXT), 0)
+        begin = np.repeat(stop - length - CONTEXT * (np.cumsum(each) - each), each) + CONTEXT * np.arange(each.sum())
+        last = np.repeat(stop - 1, each)  # no input
+        cells, shares, lost = [], [], 0.0
+        for lo in range(0, len(begin), WINDOWS):
+            place = begin[lo: lo + WINDOWS, None] + np.arange(CONTEXT)
+            valid = place < last[lo: lo + WINDOWS, None]
+            place = np.where(valid, place, 0)
+            x, y = np.where(valid, row[place], 0), np.where(valid, cls[np.minimum(place + 1, len(cls) - 1)], 0)
+            loss, grads, mine = gradients(self.weights, self.table, x, y, valid)
+            cells.append((x * CLASSES + y).ravel())
+            shares.append(mine)
+            lost += loss * valid.sum()
+            self._descend(grads)
+        if cells:
+            cell, share = np.concatenate(cells), np.concatenate(shares)
+            for j in range(EXPERTS):
+                self.counts[:, j] += np.bincount(cell, share[:, j], len(self.counts))
+        count = int((length - 1).clip(0).sum())
+        self.seen += count
+        return lost / max(count, 1)
+
+    def _descend(self, grads: Weights) -> None:
+        """One Adam step."""
         self.steps += 1
-        self.seen += int(valid.sum())
         for n, g in grads.items():
             self.mean[n] += 0.1 * (g - self.mean[n])
             self.square[n] += 0.02 * (g * g - self.square[n])
             up = self.mean[n] / (1 - 0.9 ** self.steps)
             self.weights[n] -= self.rate * up / (np.sqrt(self.square[n] / (1 - 0.98 ** self.steps)) + 1e-6)
-        return loss

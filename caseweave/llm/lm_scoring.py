@@ -3,24 +3,24 @@
 Learns from one part of the corpus and scores all of it:
 
 1. One scan splits texts into words and writes them as numbers of a dictionary
-   per block of about 16 MB of text, so no text is shuffled.
-2. Dictionary words meet by word: their counts over the whole training part, and
-   their subword ids from a public tokenizer.
-3. A causal self-attention model (``attention``) is trained in numpy on subword
-   ids, by several trainers in parallel whose results are averaged each round.
-   Its gate learns from text segments drawn by hash; their number grows with the
-   square root of the corpus.  Then one pass over all training blocks counts the
-   transitions of every expert, which give the final tables, and in sum the
-   bigrams.  Counts of words, subwords and transitions cover the whole corpus.
-4. Blocks get their words' counts and ids back and are scored: overlapping
-   context windows score each subword once; a word's probability is the model's
-   for its subwords, mixed with its corpus frequency.
+   per block of about 4 MB of text, and the texts to learn from as subword ids of
+   a public tokenizer, so no text is shuffled.
+2. Dictionary words meet by word for their counts over the whole training part.
+3. A causal self-attention model (``attention``) is trained in numpy on the subword
+   ids of all texts to learn from, each in one of four rounds, by several trainers
+   in parallel whose results are averaged each round.
+4. Blocks get their words' counts back and are scored: overlapping context windows
+   score each subword once.  A word's probability mixes three: the model's for its
+   subwords and for a word's end after them; the model's for its first subword,
+   times the word's frequency among words that begin so; and its frequency alone.
+   The probabilities of all words add up to one at most.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.llm import attention
-from caseweave.llm.common import as_bytes, ascii_lower, mix, pieces
+from caseweave.llm.common import ascii_lower, pieces
 from caseweave.runtime import materialize
 
 TOKENIZERS = "/opt/tokenizers"
@@ -38,21 +38,30 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # The pre-tokenizer that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256  # free in the vocabulary
-BLOCK_BYTES = 16 << 20
-SEGMENT_WORDS, SEGMENT_BYTES = 64, 384
-# The gate is trained on this many times the square root of the number of segments, chosen by hash.
-SEGMENT_FACTOR = 80
-TRAINER_TOKENS = 1 << 20
-ROUNDS, RATE, BATCH = 4, 0.02, 16
-WORD_SHARE = 0.15  # weight of a word's corpus frequency against the subword model
+BLOCK_BYTES = 4 << 20
+TRAINER_TOKENS = 8 << 20  # of one trainer and round
+ROUNDS, RATE = 4, 0.02
+# Weights of a word's spelling in subwords, of its frequency among words that begin alike, and of its frequency.
+SPELLED, ALIKE, FREQUENT = 0.5, 0.4, 0.1
 FAN_IN = 4
 
 
+def read_vocabulary(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(n) for a, n in (line.split() for line in vocabulary.splitlines() if line)}
+
+
+def word_beginnings(vocabulary: bytes) -> np.ndarray:
+    """Whether an id begins a word (a space before it) or ends a text, by id."""
+    begins = np.zeros(END + 1, bool)
+    begins[[n for piece, n in read_vocabulary(vocabulary).items() if piece.startswith(b" ")] + [END]] = True
+    return begins
+
+
 class Subwords:
     """Subword ids of words."""
 
     def __init__(self, vocabulary: bytes):
-        ranks = {base64.b64decode(a): int(n) for a, n in (line.split() for line in vocabulary.splitlines() if line)}
+        ranks = read_vocabulary(vocabulary)
         self.size = np.zeros(END + 1, np.int64)
         for piece, n in ranks.items():
             self.size[n] = len(piece)
@@ -85,32 +94,23 @@ def _batch(kind: str, block: int, n: int, **columns) -> pa.RecordBatch:
         [values.get(f, pa.nulls(n, t)) for f, t in _FIELDS.items()], names=list(_FIELDS))
 
 
-_FIELDS = {"kind": pa.string(), "block": pa.int64(), "id": pa.int64(), "learn": pa.bool_(), "data": pa.binary(),
-           "number": pa.int32(), "learned": pa.int64()}
-_SCHEMA = "kind string, block long, id long, learn boolean, data binary, number int, learned long"
+_FIELDS = {"kind": pa.string(), "block": pa.int64(), "id": pa.int64(), "learn": pa.bool_(), "round": pa.int32(),
+           "data": pa.binary(), "tokens": pa.binary(), "number": pa.int32(), "learned": pa.int64(), "ids": pa.binary()}
+_SCHEMA = ("kind string, block long, id long, learn boolean, round int, data binary, tokens binary, number int, "
+           "learned long, ids binary")
+_END = np.array([END], np.uint16)
+
 
+def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn) -> DataFrame:
+    """Documents as word numbers, with the subwords of those to learn from (``doc``), and block dictionaries (``word``).
 
-def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn,
-           share: float) -> DataFrame:
-    """Documents as word numbers (``doc``), block dictionaries (``word``) and training segments (``segment``)."""
+    Each document to learn from is dealt to one training round by its hash.
+    """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), learn.alias("learn"),
-                         F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+                         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(ROUNDS)).cast("int").alias("round"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    limit = np.uint64(int(share * ((1 << 63) - 1)))
-
-    def segments(words: list[bytes], h: int, coder: Subwords) -> list[bytes]:
-        count = -(-max(len(words), 1) // SEGMENT_WORDS)
-        key = mix(np.arange(count, dtype=np.uint64) + np.uint64(h & (1 << 64) - 1))
-        out = []
-        for j in np.flatnonzero(key >> np.uint64(1) <= limit).tolist():
-            ids = coder.text(words[j * SEGMENT_WORDS: (j + 1) * SEGMENT_WORDS])
-            ids = np.concatenate([[END] if j == 0 else ids[:0], ids, [END] if j == count - 1 else ids[:0]])
-            if len(ids) > 1:
-                out.append(ids.astype(np.uint16).tobytes())
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Subwords(shared.value)
         part, nth, held = TaskContext.get().partitionId(), 0, 0
@@ -120,7 +120,7 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn
         def flush() -> Iterator[pa.RecordBatch]:
             block = part << 24 | nth
             total, learned = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
-            for _, own, numbers in numbered:
+            for _, own, _, numbers in numbered:
                 count = np.bincount(numbers, minlength=0)
                 total[: len(count)] += count
                 if own:
@@ -128,34 +128,42 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn
             order = np.argsort(-total, kind="stable")  # frequent words get small numbers, which compress
             rank = np.empty(len(index), np.int32)
             rank[order] = np.arange(len(index), dtype=np.int32)
-            for lo in range(0, len(numbered), 2048):
-                some = numbered[lo: lo + 2048]
-                yield _batch("doc", block, len(some), id=pa.array([d[0] for d in some], pa.int64()),
-                             learn=pa.array([d[1] for d in some]),
-                             data=pa.array([rank[d[2]].tobytes() for d in some], pa.binary()))
             words = list(index)
+            pieces_of = [i.astype(np.uint16) for i in coder.each(words)]
+            size = np.array([len(i) for i in pieces_of], np.int64)
+            begin = np.cumsum(size) - size
+            flat = np.concatenate(pieces_of) if pieces_of else np.empty(0, np.uint16)
+
+            def tokens(numbers: np.ndarray) -> bytes:
+                parts = size[numbers]
+                at = np.cumsum(parts) - parts
+                ids = flat[np.arange(parts.sum()) + np.repeat(begin[numbers] - at, parts)]
+                return np.concatenate([_END, ids, _END]).tobytes()
+
+            for lo in range(0, len(numbered), 512):
+                some = numbered[lo: lo + 512]
+                yield _batch("doc", block, len(some), id=pa.array([d[0] for d in some], pa.int64()),
+                             learn=pa.array([d[1] for d in some]), round=pa.array([d[2] for d in some], pa.int32()),
+                             data=pa.array([rank[d[3]].tobytes() for d in some], pa.binary()),
+                             tokens=pa.array([tokens(d[3]) if d[1] else None for d in some], pa.binary()))
             for lo in range(0, len(words), 1 << 16):
                 hi = min(len(words), lo + (1 << 16))
                 yield _batch("word", block, hi - lo, data=pa.array(words[lo:hi], pa.binary()),
-                             number=pa.array(rank[lo:hi]), learned=pa.array(learned[lo:hi]))
+                             number=pa.array(rank[lo:hi]), learned=pa.array(learned[lo:hi]),
+                             ids=pa.array([i.tobytes() for i in pieces_of[lo:hi]], pa.binary()))
             index.clear()
             numbered.clear()
 
         for b in batches:
-            texts = as_bytes(b.column("text").to_pylist())
-            rows = zip(b.column("id").to_pylist(), b.column("learn").to_pylist(), b.column("h").to_pylist(), texts)
-            taught = []
-            for id_, own, h, t in rows:
-                words = t.split()
-                numbered.append((id_, own, np.array([index.setdefault(w, len(index)) for w in words], np.int32)))
-                held += len(t)
-                if own:
-                    taught += segments(words, h, coder)
+            columns = [b.column(c).to_pylist() for c in ("id", "learn", "round")]
+            for id_, own, nth_round, t in zip(*columns, b.column("text")):
+                raw = t.as_buffer().to_pybytes()
+                numbers = np.array([index.setdefault(w, len(index)) for w in raw.split()], np.int32)
+                numbered.append((id_, own, nth_round, numbers))
+                held += len(raw)
                 if held >= BLOCK_BYTES:
                     yield from flush()
                     nth, held = nth + 1, 0
-            if taught:
-                yield _batch("segment", part, len(taught), data=pa.array(taught, pa.binary()))
         yield from flush()
 
     return picked.mapInArrow(run, _SCHEMA)
@@ -179,16 +187,23 @@ def _tree_sum(parts: DataFrame, n: int) -> np.ndarray | None:
     return np.frombuffer(rows[0].blob, np.float32) if rows else None
 
 
-def _per_trainer(segments: DataFrame, run: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
-    """``(part, blob)``: one array per partition that has segments."""
+def _per_trainer(texts: DataFrame, run: Callable[[Iterator[list[np.ndarray]]], np.ndarray]) -> DataFrame:
+    """``(part, blob)``: one array per partition that has texts; ``run`` gets the token ids of a few texts at a time."""
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = [np.frombuffer(s, np.uint16).astype(np.int64) for b in batches for s in b.column("data").to_pylist()]
-        if mine:
-            blob = run(mine).astype(np.float32).tobytes()
+        def groups() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                column = b.column("tokens")
+                for lo, hi in pieces([len(t.as_buffer()) for t in column], 1 << 18):
+                    yield [np.frombuffer(t.as_buffer(), np.uint16) for t in column[lo:hi]]
+
+        some = groups()
+        first = next(some, None)
+        if first is not None:
+            blob = run(chain([first], some)).astype(np.float32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()),
                                               pa.array([blob], pa.binary())], names=["part", "blob"])
 
-    return segments.mapInArrow(call, "part long, blob binary")
+    return texts.select("tokens").mapInArrow(call, "part long, blob binary")
 
 
 class Block:
@@ -220,78 +235,61 @@ class Block:
             yield length, first, number, part_first, tokens
 
 
-def count_transitions(texts: DataFrame, vocab: DataFrame, weights: attention.Weights, table: np.ndarray,
-                      code: attention.Coding) -> np.ndarray:
-    """Expert tables from the transitions of all ``texts(block, data)``."""
-    model = texts.sparkSession.sparkContext.broadcast((weights, table, code))
-    shape = (code.rows, attention.CLASSES, attention.EXPERTS)
-
-    def count(texts: pa.Table, words: pa.Table) -> pa.Table:
-        if not len(texts):
-            return pa.table({"part": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        scorer, block = attention.Scorer(*model.value, END), Block(words)
-        total = np.zeros((shape[0] * shape[1], shape[2]))
-        for length, first, _, part_first, tokens in block.texts(texts.column("data").to_pylist(), 1 << 17):
-            ends = np.append(part_first, len(tokens))
-            scorer.transitions(tokens, ends[first + length] - ends[first], total)
-        return pa.table({"part": pa.array([texts.column("block")[0].as_py()], pa.int64()),
-                         "blob": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+def train(texts: DataFrame, counts: np.ndarray) -> tuple[attention.Weights, np.ndarray, attention.Coding]:
+    """Gate weights, expert tables and coding, from ``texts(round, tokens)`` and corpus counts of subwords.
 
-    found = (texts.groupBy("block").cogroup(vocab.select("block", "number", "c", "ids").groupBy("block"))
-             .applyInArrow(count, "part long, blob binary"))
-    found = materialize(found)
-    n = max(2, found.count())
-    total = _tree_sum(found.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n))), n)
-    model.unpersist()
-    if total is None:
-        return table
-    cells = total.reshape(shape).astype(float)
-    bigram = attention.bigram_table(cells.sum(axis=(0, 2)), cells.sum(axis=2))
-    return attention.expert_tables(cells, bigram)
-
-
-def train(segments: DataFrame, counts: np.ndarray) -> tuple[attention.Weights, np.ndarray, attention.Coding]:
-    """Gate weights, expert tables and coding, from training segments and corpus counts of subwords.
-
-    Segments are dealt to trainers of about a million tokens each.  Every round
-    starts all of them from the same model; expert counts are summed and gate
-    weights averaged by tokens.
+    One pass counts bigrams of all texts.  Each round then takes its own part of
+    the texts, so all of them train the gate, and all transitions are counted,
+    once.  The trainers of a round start from the same model, a trainer for about
+    eight million tokens; gate weights are averaged by tokens.  The transitions
+    the experts were responsible for add up over trainers; those of an earlier
+    round, from a less trained gate, weigh a quarter.
     """
     code = attention.coding(counts)
-    classes = np.bincount(code.cls, counts, attention.CLASSES)
     shape = (code.rows, attention.CLASSES)
-    tokens = segments.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    n = 1 + tokens // (2 * TRAINER_TOKENS)
-    dealt = materialize(segments.repartition(n, F.xxhash64("data")).sortWithinPartitions(F.xxhash64("data")))
-    dealt = dealt.coalesce(n)
-
-    def bigrams(mine: list[np.ndarray]) -> np.ndarray:
-        cell = np.concatenate([code.row[s[:-1]].astype(np.int64) * shape[1] + code.cls[s[1:]] for s in mine])
-        return np.bincount(cell, minlength=shape[0] * shape[1])
-
-    found = _tree_sum(_per_trainer(dealt, bigrams), n)
-    bigram = attention.bigram_table(classes, np.zeros(shape) if found is None else found.reshape(shape).astype(float))
+    cells = shape[0] * shape[1] * attention.EXPERTS
+    tokens = {r["round"]: r["n"] for r in texts.groupBy("round").agg(F.sum(F.octet_length("tokens") / 2).alias("n")).collect()}
+
+    def trainers(n: float) -> int:
+        return 1 + int(n) // TRAINER_TOKENS
+
+    def bigrams(groups: Iterator[list[np.ndarray]]) -> np.ndarray:
+        total = np.zeros(shape[0] * shape[1])
+        for mine in groups:
+            ids = np.concatenate(mine)
+            cell = code.row[ids[:-1]].astype(np.int64) * shape[1] + code.cls[ids[1:]]
+            inside = np.ones(len(cell), bool)
+            inside[np.cumsum([len(t) for t in mine])[:-1] - 1] = False
+            total += np.bincount(cell[inside], minlength=len(total))
+        return total
+
+    n = trainers(sum(tokens.values()))
+    found = _tree_sum(_per_trainer(texts.coalesce(n), bigrams), n)
+    bigram = attention.bigram_table(np.bincount(code.cls, counts, attention.CLASSES),
+                                    np.zeros(shape) if found is None else found.reshape(shape).astype(float))
     weights, table = attention.initial(code, bigram)
-    for _ in range(ROUNDS if found is not None else 0):
-        shared = segments.sparkSession.sparkContext.broadcast((weights, table))
+    seen = np.zeros((*shape, attention.EXPERTS))
+    for nth in sorted(tokens):
+        shared = texts.sparkSession.sparkContext.broadcast((weights, table))
 
-        def learn(mine: list[np.ndarray]) -> np.ndarray:
+        def learn(groups: Iterator[list[np.ndarray]]) -> np.ndarray:
             trainer = attention.Trainer(*shared.value, code, RATE)
-            for lo in range(0, len(mine), BATCH):
-                trainer.step(mine[lo: lo + BATCH])
+            for mine in groups:
+                trainer.learn(mine)
             return np.concatenate([trainer.counts.ravel(), attention.pack(trainer.weights) * trainer.seen,
                                    [trainer.seen]])
 
-        total = _tree_sum(_per_trainer(dealt, learn), n)
-        cells = shape[0] * shape[1] * attention.EXPERTS
-        table = attention.expert_tables(total[:cells].reshape(*shape, -1), bigram)
+        n = trainers(tokens[nth])
+        total = _tree_sum(_per_trainer(texts.filter(F.col("round") == nth).coalesce(n), learn), n)
+        seen = 0.25 * seen + total[:cells].reshape(seen.shape)
+        table = attention.expert_tables(seen, bigram)
         weights = attention.unpack(total[cells:-1] / total[-1], weights)
         shared.unpersist()
     return weights, table, code
 
 
 def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
-                    tokenizers: str = TOKENIZERS, segment_factor: float = SEGMENT_FACTOR) -> DataFrame:
+                    tokenizers: str = TOKENIZERS) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row.
 
     ``learn`` is a boolean column: rows to learn from.  Tokens are words (runs of
@@ -306,65 +304,61 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     with open(f"{tokenizers}/{VOCABULARY}", "rb") as file:
         vocabulary = file.read()
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    share = min(1.0, segment_factor / max(1.0, size / SEGMENT_BYTES) ** 0.5)
-    encoded = materialize(encode(docs, vocabulary, id_col, text_col, F.coalesce(learn, F.lit(False)), share))
+    encoded = materialize(encode(docs, vocabulary, id_col, text_col, F.coalesce(learn, F.lit(False))))
     texts = encoded.filter("kind = 'doc'").select("block", "id", "learn", "data")
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Subwords(shared.value)
-        for b in batches:
-            words = b.column("word").dictionary_encode()
-            ids = [i.astype(np.uint16).tobytes() for i in coder.each(words.dictionary.to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("block"), b.column("number"), b.column("c"), b.column("first"),
-                 pa.array(ids, pa.binary()).take(words.indices)], names=["block", "number", "c", "first", "ids"])
-
     by_word = Window.partitionBy("word")
-    words = (encoded.filter("kind = 'word'").select("block", "number", F.col("data").alias("word"), "learned")
+    words = (encoded.filter("kind = 'word'").select("block", "number", F.col("data").alias("word"), "learned", "ids")
              .withColumn("c", F.sum("learned").over(by_word))
              .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1))
-    vocab = materialize(words.select("block", "number", "word", "c", "first")
-                        .mapInArrow(subwords, "block long, number int, c long, first boolean, ids binary"))
+    vocab = materialize(words.select("block", "number", "c", "first", "ids", "learned"))
 
     n_docs = texts.filter("learn").count()
-    known = vocab.filter("first AND c > 0")
-    n_words, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_words, distinct = vocab.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_if(F.expr("first AND c > 0"))).first()
     n, v = n_words + n_docs, distinct + (n_docs > 0)
 
     def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(END + 1)
+        total, heads = np.zeros(END + 1), np.zeros(END + 1)
         for b in batches:
             ids = [np.frombuffer(i, np.uint16) for i in b.column("ids").to_pylist()]
             if ids:
-                weight = np.repeat(b.column("c").to_numpy(), [len(i) for i in ids])
-                total += np.bincount(np.concatenate(ids), weight, END + 1)
+                learned = b.column("learned").to_numpy()
+                total += np.bincount(np.concatenate(ids), np.repeat(learned, [len(i) for i in ids]), END + 1)
+                heads += np.bincount([i[0] for i in ids], learned, END + 1)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
-    counts = np.zeros(END + 1)
-    counts[END] = n_docs
-    for id_, k in known.mapInArrow(subword_counts, "id long, n double").groupBy("id").agg(F.sum("n")).collect():
-        counts[id_] = k  # one row per id of the vocabulary at most
-    weights, table, code = train(encoded.filter("kind = 'segment'").select("data"), counts)
-    table = count_transitions(texts.filter("learn").select("block", "data"), vocab, weights, table, code)
-    model = spark.sparkContext.broadcast((weights, table, code))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(heads[seen])],
+                                         names=["id", "n", "heads"])
+
+    counts, heads = np.zeros(END + 1), np.zeros(END + 1)
+    counts[END] = heads[END] = n_docs
+    own = encoded.filter("kind = 'word' AND learned > 0").select("ids", "learned")
+    found = own.mapInArrow(subword_counts, "id long, n double, heads double")
+    for id_, k, words_of in found.groupBy("id").agg(F.sum("n"), F.sum("heads")).collect():
+        counts[id_], heads[id_] = k, words_of  # one row per id of the vocabulary at most
+    weights, table, code = train(encoded.filter("kind = 'doc' AND learn").select("round", "tokens"), counts)
+    begins = word_beginnings(vocabulary)
+    model = spark.sparkContext.broadcast((weights, table, code, begins, heads))
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
-        scorer = attention.Scorer(*model.value, END)
+        weights, table, code, begins, heads = model.value
+        scorer = attention.Scorer(weights, table, code, END, begins=begins)
         block = Block(words)
         c = np.append(block.c, n_docs).astype(np.float64)
         with np.errstate(divide="ignore"):
             base_log = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            word_log = np.log(WORD_SHARE * c / n) if n else np.full(len(c), -np.inf)
-        model_share = np.log(1 - WORD_SHARE) if n else 0.0
+            frequent = np.log(FREQUENT * c / max(n, 1))
+            alike = np.log(ALIKE * c / np.maximum(heads[block.flat[block.begin]], 1))
+        spelling = np.log(SPELLED) if n else 0.0
         columns: list[list] = [[], [], [], []]
         for length, first, number, part_first, tokens in block.texts(texts.column("data").to_pylist(), 1 << 18):
             parts = block.size[number]
-            said = scorer.score(tokens, np.add.reduceat(parts, first))
-            spelled = np.add.reduceat(said, part_first)
-            mixed = np.logaddexp(model_share + spelled, word_log[number])
+            said, begin = scorer.score(tokens, np.add.reduceat(parts, first))
+            # A word is given that one begins here, and ends where the next one or the end begins.
+            begin = begin[part_first]
+            after = np.append(begin[1:], 0.0)
+            after[first + length - 1] = 0.0
+            head = said[part_first] - begin
+            rest = np.add.reduceat(said, part_first) - said[part_first] + after
+            mixed = np.logaddexp(head + np.logaddexp(spelling + rest, alike[number]), frequent[number])
             columns[0].append(length)
             columns[1].append(np.add.reduceat((c[number] > 0).astype(np.int64), first))
             columns[2].append(np.add.reduceat(base_log[number], first))

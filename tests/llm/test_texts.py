@@ -61,7 +61,8 @@ def test_attention_windows_score_each_token_once():
     weights, table = attention.initial(code, bigram)
     count = np.array([1, 40, 0, 16, 17, 100])
     tokens = rng.integers(0, 2000, count.sum())
-    got = attention.Scorer(weights, table, code, end=7, windows=2).score(tokens, count)
+    begins = rng.random(2000) < 0.4
+    got, begun = attention.Scorer(weights, table, code, end=7, windows=2, begins=begins).score(tokens, count)
     start = np.cumsum(count) - count
     for d in range(len(count)):
         mine = tokens[start[d]: start[d] + count[d]]
@@ -69,8 +70,10 @@ def test_attention_windows_score_each_token_once():
         for i in range(len(mine)):
             x = code.row[inputs[max(0, (i // 16 - 1) * 16): i + 1]][None]
             _, out = attention.attend(weights, x, attention._position_factor(weights["d"], 1, x.shape[1]))
-            p = (attention.gate(weights, out)[0] * table[x[0, -1], code.cls[mine[i]]]).sum()
-            assert abs(np.log(p) + code.within[mine[i]] - got[start[d] + i]) < 1e-4
+            every = (table[x[0, -1]] @ attention.gate(weights, out)[0])[code.cls] * np.exp(code.within)
+            assert abs(every.sum() - 1) < 1e-4
+            assert abs(np.log(every[mine[i]]) - got[start[d] + i]) < 1e-4
+            assert abs(np.log(every[begins].sum()) - begun[start[d] + i]) < 1e-4
     whole = np.exp(code.within) * bigram[3, code.cls]
     assert abs(whole.sum() - 1) < 1e-6
 
@@ -262,26 +265,36 @@ def test_html_lines():
     assert line_dedup.html_lines(html) == ["T &amp; x", "a b", "c", "d"]
 
 
-def test_transitions_of_all_training_texts_count(spark):
-    """Without any sampled segment the tables still learn, from all blocks."""
+def test_texts_to_learn_from_teach_their_order(spark):
     words = ["river", "stone", "light", "garden", "winter", "copper", "silver", "table"]
     rows = [(i, " ".join(words[(i + j) % 8] for j in range(120))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = lm_scoring.score_documents(docs, F.col("doc_id") % 5 != 0, segment_factor=0.0)
+    out = lm_scoring.score_documents(docs, F.col("doc_id") % 5 != 0)
     total = out.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert total[0] > 0.6 * total[1]
 
 
+def test_words_to_learn_from_reach_their_round_whole(spark, odd, odd_rows):
+    with open(f"{lm_scoring.TOKENIZERS}/{lm_scoring.VOCABULARY}", "rb") as file:
+        vocabulary = file.read()
+    coder = lm_scoring.Subwords(vocabulary)
+    rows = lm_scoring.encode(odd, vocabulary, "doc_id", "text", F.col("source").isNotNull()).filter("kind = 'doc'").collect()
+    got = sorted(np.frombuffer(r.tokens, np.uint16).tolist() for r in rows if r.learn)
+    end = lm_scoring.END
+    want = sorted([end, *np.concatenate([[], *coder.each((t or "").lower().encode().split())]).astype(int).tolist(), end]
+                  for _, t, source in odd_rows if source is not None)
+    assert got == want and len(rows) == len(odd_rows)
+    assert {r.round for r in rows if r.learn} == set(range(lm_scoring.ROUNDS))
+
+
 def test_every_token_is_one_transition():
     rng = np.random.default_rng(3)
     code = attention.coding(np.round(1e5 / (1 + np.arange(2000)) ** 1.1))
     weights, table = attention.initial(code, np.full((code.rows, attention.CLASSES), 1 / attention.CLASSES))
-    count = np.array([1, 40, 0, 16, 17, 100])
-    tokens = rng.integers(0, 2000, count.sum())
-    total = np.zeros((code.rows * attention.CLASSES, attention.EXPERTS))
-    attention.Scorer(weights, table, code, end=7, windows=2).transitions(tokens, count, total)
-    start = (np.cumsum(count) - count)[count > 0]
-    inputs = np.concatenate([[0], tokens[:-1]])
-    inputs[start] = 7
-    want = np.bincount(code.row[inputs].astype(np.int64) * attention.CLASSES + code.cls[tokens], minlength=len(total))
-    assert np.abs(total.sum(axis=1) - want).max() < 1e-4
+    texts = [rng.integers(0, 2000, n) for n in (2, 1, 40, 33, 34, 5000)]
+    trainer = attention.Trainer(weights, table, code, 0.02)
+    trainer.learn(texts)
+    want = sum(np.bincount(code.row[t[:-1]].astype(np.int64) * attention.CLASSES + code.cls[t[1:]],
+                           minlength=code.rows * attention.CLASSES) for t in texts)
+    assert np.abs(trainer.counts.sum(axis=1) - want).max() < 1e-3
+    assert trainer.seen == want.sum()
