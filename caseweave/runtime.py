@@ -29,10 +29,11 @@ def clear_stages(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, partition_by: list[str] | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of iterative jobs; a lost executor only re-reads files.
+    ``codec`` compresses other than the session's default does.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
@@ -40,6 +41,8 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if codec:
+        writer = writer.option("compression", codec)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
