@@ -3,7 +3,7 @@
 Learns from one part of the corpus and scores all of it:
 
 1. One scan splits texts into words and writes them as numbers of a dictionary
-   per block of about 4 MB of text, and the texts to learn from as subword ids of
+   per block of about 12 MB of text, and the texts to learn from as subword ids of
    a public tokenizer, so no text is shuffled.
 2. Dictionary words meet by word for their counts over the whole training part.
 3. A causal self-attention model (``attention``) is trained in numpy on the subword
@@ -38,7 +38,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 # The pre-tokenizer that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END = 50256  # free in the vocabulary
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
+CODED_TOGETHER = 1 << 14  # words of one call of the tokenizer
 TRAINER_TOKENS = 8 << 20  # of one trainer and round
 ROUNDS, RATE = 4, 0.02
 # Weights of a word's spelling in subwords, of its frequency among words that begin alike, and of its frequency.
@@ -70,22 +71,52 @@ class Subwords:
     def text(self, words: list[bytes]) -> np.ndarray:
         """Ids of words in a row, each with a space before it."""
         line = b"".join(b" " + w for w in words).decode("utf-8", "replace")
-        return np.array(self.coder.encode_ordinary(line), np.int64)
+        return self.coder.encode_to_numpy(line, disallowed_special=()).astype(np.uint16)
 
-    def each(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of every word.  Words are coded in one call where the pieces end at the words' ends."""
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each has.  Words are coded in one call where the pieces end
+        at the words' ends."""
         if not words:
-            return []
-        ids = self.text(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        piece_ends = np.cumsum(self.size[ids])
-        at = np.searchsorted(piece_ends, ends)
-        if len(piece_ends) and at[-1] < len(piece_ends) and (piece_ends[at] == ends).all():
-            return np.split(ids, at[:-1] + 1)
-        if len(words) == 1:
-            return [ids]
+            return np.empty(0, np.uint16), np.empty(0, np.int64)
+        if len(words) <= CODED_TOGETHER:
+            ids = self.text(words)
+            ends = np.cumsum([len(w) + 1 for w in words])
+            piece_ends = np.cumsum(self.size[ids])
+            at = np.searchsorted(piece_ends, ends)
+            if len(piece_ends) and at[-1] < len(piece_ends) and (piece_ends[at] == ends).all():
+                return ids, np.diff(at, prepend=-1)
+            if len(words) == 1:
+                return ids, np.array([len(ids)])
         half = len(words) // 2
-        return self.each(words[:half]) + self.each(words[half:])
+        return tuple(np.concatenate(x) for x in zip(self.flat(words[:half]), self.flat(words[half:])))
+
+    def each(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of every word."""
+        ids, size = self.flat(words)
+        return np.split(ids, np.cumsum(size)[:-1])
+
+
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    """One binary value per ``size`` of ``flat``."""
+    ends = np.concatenate([[0], np.cumsum(size * flat.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat.tobytes())])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all values of a binary column in one array, and the places at which values begin and the last ends."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1] // 2
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint16)[: at[-1]] if raw and at[-1] else np.empty(0, np.uint16)), at
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes, which compress better."""
+    return np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _batch(kind: str, block: int, n: int, **columns) -> pa.RecordBatch:
@@ -129,10 +160,8 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn
             rank = np.empty(len(index), np.int32)
             rank[order] = np.arange(len(index), dtype=np.int32)
             words = list(index)
-            pieces_of = [i.astype(np.uint16) for i in coder.each(words)]
-            size = np.array([len(i) for i in pieces_of], np.int64)
+            flat, size = coder.flat(words)
             begin = np.cumsum(size) - size
-            flat = np.concatenate(pieces_of) if pieces_of else np.empty(0, np.uint16)
 
             def tokens(numbers: np.ndarray) -> bytes:
                 parts = size[numbers]
@@ -144,13 +173,13 @@ def encode(docs: DataFrame, vocabulary: bytes, id_col: str, text_col: str, learn
                 some = numbered[lo: lo + 512]
                 yield _batch("doc", block, len(some), id=pa.array([d[0] for d in some], pa.int64()),
                              learn=pa.array([d[1] for d in some]), round=pa.array([d[2] for d in some], pa.int32()),
-                             data=pa.array([rank[d[3]].tobytes() for d in some], pa.binary()),
+                             data=pa.array([_pack(rank[d[3]]) for d in some], pa.binary()),
                              tokens=pa.array([tokens(d[3]) if d[1] else None for d in some], pa.binary()))
             for lo in range(0, len(words), 1 << 16):
                 hi = min(len(words), lo + (1 << 16))
                 yield _batch("word", block, hi - lo, data=pa.array(words[lo:hi], pa.binary()),
                              number=pa.array(rank[lo:hi]), learned=pa.array(learned[lo:hi]),
-                             ids=pa.array([i.tobytes() for i in pieces_of[lo:hi]], pa.binary()))
+                             ids=_binary(flat[begin[lo]: begin[hi - 1] + size[hi - 1]], size[lo:hi]))
             index.clear()
             numbered.clear()
 
@@ -212,12 +241,8 @@ class Block:
     def __init__(self, words: pa.Table):
         order = np.argsort(words.column("number").to_numpy())
         self.c = words.column("c").to_numpy()[order]
-        # Ids of all words in one array, without an object per word.
-        column = words.column("ids").combine_chunks().cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1] // 2
-        raw = column.buffers()[2]
-        self.flat = np.append(np.frombuffer(raw, np.uint16)[: offsets[-1]] if raw else np.empty(0, np.uint16),
-                              np.uint16(END)).astype(np.int64)
+        flat, offsets = _flat(words.column("ids").combine_chunks())
+        self.flat = np.append(flat, np.uint16(END)).astype(np.int64)
         self.size = np.append(np.diff(offsets)[order], 1)
         self.begin = np.append(offsets[:-1][order], len(self.flat) - 1)
 
@@ -225,7 +250,7 @@ class Block:
         """Pieces of texts: words and first word of each text, word numbers, first subword of each word, subwords."""
         end = np.array([len(self.c)])
         for lo, hi in pieces([len(t) for t in blobs], limit):
-            mine = [np.concatenate([np.frombuffer(t, np.int32), end]) for t in blobs[lo:hi]]
+            mine = [np.concatenate([_unpack(t), end]) for t in blobs[lo:hi]]
             length = np.array([len(m) for m in mine])
             first = np.cumsum(length) - length
             number = np.concatenate(mine)
@@ -304,13 +329,14 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     with open(f"{tokenizers}/{VOCABULARY}", "rb") as file:
         vocabulary = file.read()
-    encoded = materialize(encode(docs, vocabulary, id_col, text_col, F.coalesce(learn, F.lit(False))))
+    encoded = materialize(encode(docs, vocabulary, id_col, text_col, F.coalesce(learn, F.lit(False))), codec="zstd")
     texts = encoded.filter("kind = 'doc'").select("block", "id", "learn", "data")
-    by_word = Window.partitionBy("word")
+    by_word = Window.partitionBy("word").orderBy("block")
+    whole = by_word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     words = (encoded.filter("kind = 'word'").select("block", "number", F.col("data").alias("word"), "learned", "ids")
-             .withColumn("c", F.sum("learned").over(by_word))
-             .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1))
-    vocab = materialize(words.select("block", "number", "c", "first", "ids", "learned"))
+             .withColumn("c", F.sum("learned").over(whole))
+             .withColumn("first", F.row_number().over(by_word) == 1))
+    vocab = materialize(words.select("block", "number", "c", "first", "ids", "learned"), codec="zstd")
 
     n_docs = texts.filter("learn").count()
     n_words, distinct = vocab.agg(F.coalesce(F.sum("learned"), F.lit(0)), F.count_if(F.expr("first AND c > 0"))).first()
@@ -319,11 +345,10 @@ def score_documents(docs: DataFrame, learn, id_col: str = "doc_id", text_col: st
     def subword_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, heads = np.zeros(END + 1), np.zeros(END + 1)
         for b in batches:
-            ids = [np.frombuffer(i, np.uint16) for i in b.column("ids").to_pylist()]
-            if ids:
-                learned = b.column("learned").to_numpy()
-                total += np.bincount(np.concatenate(ids), np.repeat(learned, [len(i) for i in ids]), END + 1)
-                heads += np.bincount([i[0] for i in ids], learned, END + 1)
+            flat, at = _flat(b.column("ids"))
+            learned = b.column("learned").to_numpy()
+            total += np.bincount(flat[at[0]:], np.repeat(learned, np.diff(at)), END + 1)
+            heads += np.bincount(flat[at[:-1]], learned, END + 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(heads[seen])],
                                          names=["id", "n", "heads"])
