@@ -68,6 +68,43 @@ def test_replication_matches_pairwise(spark, records):
     assert got == {k: len(v) for k, v in fan.items()}
 
 
+def test_similar_texts_of_all_lengths(spark):
+    """The similarity as defined, pair by pair: shingles, or ratio and share of grams; lengths around the change of grams."""
+    rnd = random.Random(8)
+    texts = set()
+    for length in (1, 2, 3, 5, 7, 8, 9, 20, 45, 60, 63, 64, 66, 80, 92, 93, 150, 400):
+        base = "".join(rnd.choice("abcdé𝔘 ") for _ in range(length)).strip() or "a"
+        texts.add(base)
+        for edits in (1, 1, 2, length // 12, length // 6, length // 5):
+            t = list(base)
+            for _ in range(edits):
+                at, kind = rnd.randrange(len(t) + 1), rnd.choice("ird")
+                t[at:at + (kind != "i")] = [] if kind == "d" else [rnd.choice("abcxyz")]
+            texts.add("".join(t) or "b")
+    texts |= {"a" * 70, "a" * 90, "ab" * 50, "word " * 30, "word " * 31}
+
+    def grams(x, q, edge):
+        x = edge + x + edge
+        return {x[i:i + q] for i in range(max(1, len(x) - q + 1))}
+
+    def near(a, b):
+        sh = lambda t: {" ".join(t[i:i + 5]) for i in range(len(t) - 4)}
+        x, y = sh(a.split()), sh(b.split())
+        jac = len(x & y) / len(x | y) if x | y else 0.0
+        g, h = (grams(t, 3, "\1\1") if min(len(a), len(b)) < 64 else grams(t, 8, "") for t in (a, b))
+        ratio = SequenceMatcher(None, a, b).ratio() if len(g & h) >= .3 * max(len(g), len(h)) else 0.0
+        return max(jac, ratio)
+
+    df = spark.createDataFrame([(t, t) for t in sorted(texts)], "text_id string, norm string").repartition(3)
+    want = {(a, b): near(a, b) for a in texts for b in texts if a != b and near(a, b) >= .82}
+    got = {(r["first"], r["second"]): r["similarity"] for r in P.similar_texts(df).collect()}
+    assert got == pytest.approx(want) and len(want) > 80
+    pairs = P.sequence_pairs(df, .82)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "CoGroup" not in plan
+    assert P.similar_texts(df.filter("false")).collect() == []
+
+
 def test_percentiles_and_auc(spark):
     rnd = random.Random(5)
     rows = [("a" if i % 3 else "b", float(rnd.choice([rnd.random() * 100, 7.0])), rnd.random() < .4) for i in range(500)]
