@@ -68,3 +68,50 @@ def test_denies_for_everyone(spark, most):
         missing = sorted(set(a[6]) - scopes)
         want[a[0]] = (len(scopes), len(missing), missing[0] if missing else None, not missing)
     assert {r.action_id: (r.scopes, r.missing_scopes, r.first_missing, r.authorized) for r in out.collect()} == want
+
+
+def test_shuffles_carry_classes_not_pairs(spark):
+    """300 owners with one set and 300 equal wants make 90 000 pairs; what is matched and shuffled is one class of each."""
+    h = spark.sql("SELECT concat('o', id) AS owner, i AS item FROM range(300), (SELECT explode(array('a', 'b', 'c')) AS i)")
+    w = spark.sql("SELECT concat('w', id) AS id, i AS item FROM range(300), (SELECT explode(array('a', 'b')) AS i)")
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        before = _shuffled(spark)
+        assert contains_all(h, w, ["item"]).count() == 90_000
+        assert _shuffled(spark) - before < 20_000
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
+def _shuffled(spark):
+    """Shuffle records written so far."""
+    sc = spark.sparkContext
+    empty = sc._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(empty(), False, False, sc._gateway.new_array(sc._jvm.double, 0), empty())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_gates_of_equal_cases(spark):
+    """Cases and gates of a class are judged once and all come out; equal gates with another logic are not one class."""
+    quality = [(f"c{i}", f"p{i % 2}", a, q) for i in range(12) for a, q in (("a1", "VALIDATED"), ("a2", ["MISSING", "CORRELATED"][i % 3 == 0]))]
+    gates = [(p, f"g{i}", ["any", "all"][i % 2]) for p in ("p0", "p1", "p9") for i in range(7)]
+    needs = [(p, f"g{i}", f"r{k}", f"a{k}", "VALIDATED") for p in ("p0", "p1") for i in range(6) for k in ((1, 2) if i < 4 else (2,))]
+    got = G.conclusion_gates(spark.createDataFrame(needs, "pack_id string, gate_id string, requirement string, candidate string, required_quality string"),
+                             spark.createDataFrame(gates, "pack_id string, gate_id string, logic string"),
+                             spark.createDataFrame(quality, "case_id string, pack_id string, artifact_id string, quality string"))
+    want = set()
+    for case, pack in {q[:2] for q in quality}:
+        have = {a: q for c, p, a, q in quality if (c, p) == (case, pack)}
+        for p, gate, logic in gates:
+            if p != pack:
+                continue
+            asked = [a for q, g, _, a, _ in needs if (q, g) == (pack, gate)]
+            hits = sum(have[a] != "MISSING" for a in asked)
+            good = hits > 0 if logic == "any" else hits == len(asked)
+            want.add((case, pack, gate, "supported" if good else "not_supported", len(asked) - hits, 0))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
