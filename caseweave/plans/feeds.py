@@ -86,6 +86,9 @@ def s5(spark, sf):
     return FS.match_files(table(spark, sf, "part").select(path.alias("path")), [("ring_jsonl", "*ring*.jsonl*"), ("bolts", "*bolt.txt?"), ("small", "case/small/*")])
 
 
+FILES_A_TASK = 500
+
+
 @query("s5_case_tree", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, strlen(text) + 1 AS size, sha256(text || chr(10)) AS sha256, a AS artifact_id FROM documents
 LEFT JOIN (VALUES ('english', 'en'), ('german', 'de'), ('text_file', NULL)) v(a, l) ON l IS NULL OR lang = l""")
 def s5_tree(spark, sf):
@@ -93,11 +96,12 @@ def s5_tree(spark, sf):
     import uuid
     root = f"{checkpoint_dir(spark)}/case-{uuid.uuid4().hex}"
     d = table(spark, sf, "documents").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d.write.partitionBy("lang", "doc_id").text(root)
+    # One small file a row: as many tasks as files call for, however few the input has, and each moves its own files.
+    d.repartition(d.count() // FILES_A_TASK + 1, "doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("lang", "doc_id").text(root)
     files = FS.read_case_tree(spark, root).filter(F.contains(F.col("path"), F.lit("part-")))
-    found = FS.match_files(files, [("english", "lang=en/*"), ("german", "LANG=DE/*"), ("text_file", "part-*.txt")])
+    found = FS.with_artifacts(files, [("english", "lang=en/*"), ("german", "LANG=DE/*"), ("text_file", "part-*.txt")])
     doc = F.regexp_extract("path", "doc_id=([^/]+)/", 1)
-    return files.join(found, "path", "left").select(doc.alias("doc_id"), "size", "sha256", "artifact_id")
+    return found.select(doc.alias("doc_id"), "size", "sha256", "artifact_id")
 
 
 @query("s25_receipts", """SELECT 'src-' || l_suppkey AS source, bool_and(l_quantity > 1) AS collection_complete, CAST(sum(l_linenumber) AS BIGINT) AS pages, count(*) AS receipts FROM lineitem GROUP BY 1""")

@@ -67,18 +67,27 @@ def glob_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.replace(F.replace(literal, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 
+def _hits(patterns: list[tuple[str, str]]) -> Column:
+    """The artifacts whose presence pattern matches the lower-case path or file name."""
+    wanted = F.array(*[F.struct(F.lit(a).alias("artifact_id"), glob_regex(F.lit(p)).alias("rx")) for a, p in patterns])
+    low = F.lower("path")
+    name = F.substring_index(low, "/", -1)
+    return F.array_distinct(F.transform(
+        F.filter(wanted, lambda w: F.regexp(low, w["rx"]) | F.regexp(name, w["rx"])), lambda w: w["artifact_id"]))
+
+
 def match_files(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """Artifacts whose presence pattern matches the lower-case path or file name.
 
     ``patterns`` is the bounded pack configuration [(artifact_id, pattern)]; it
     is attached as array, so files are scanned once and never shuffled.
     """
-    wanted = F.array(*[F.struct(F.lit(a).alias("artifact_id"), glob_regex(F.lit(p)).alias("rx")) for a, p in patterns])
-    low = F.lower("path")
-    name = F.substring_index(low, "/", -1)
-    hits = F.array_distinct(F.transform(
-        F.filter(wanted, lambda w: F.regexp(low, w["rx"]) | F.regexp(name, w["rx"])), lambda w: w["artifact_id"]))
-    return files.select("path", F.explode(hits).alias("artifact_id"))
+    return files.select("path", F.explode(_hits(patterns)).alias("artifact_id"))
+
+
+def with_artifacts(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """``files`` with a row per artifact that matches, or one with a null ``artifact_id``; each file is read once."""
+    return files.select("*", F.explode_outer(_hits(patterns)).alias("artifact_id"))
 
 
 def search(files: DataFrame, query: str, regex: bool = False, case_sensitive: bool = False,
