@@ -155,7 +155,8 @@ def kernel_timeline(events: DataFrame, collectors: DataFrame) -> DataFrame:
     ``events``: collector_id, ts_ns, kind, summary.  ``collectors``: collector_id, start.
     """
     first = events.filter("ts_ns IS NOT NULL").groupBy("collector_id").agg(F.min("ts_ns").alias("first_ns"))
-    us = F.unix_micros("start") + F.floor((F.col("ts_ns") - F.col("first_ns")) / 1000).cast("bigint")
+    # Whole-number division: nanoseconds of more than 104 days do not fit a double.
+    us = F.unix_micros("start") + F.expr("(ts_ns - first_ns) div 1000")
     return (events.filter("ts_ns IS NOT NULL").join(first, "collector_id").join(collectors, "collector_id")
             .withColumns({"adjusted": F.timestamp_micros(us), "interval_start": F.timestamp_micros(us - 1_000_000),
                           "interval_end": F.timestamp_micros(us + 1_000_000), "timestamp_quality": F.lit("estimated")})
