@@ -189,7 +189,11 @@ def bom_components(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def bom_dependencies(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    pair = ["source", "target"]
-    gone = expected.select(*pair).exceptAll(observed.select(*pair)).distinct()
-    new = observed.select(*pair).exceptAll(expected.select(*pair)).distinct()
-    return union_all([new.withColumn("change", F.lit("added")), gone.withColumn("change", F.lit("removed"))])
+    """Dependency pairs on one side only, each once; repeated rows count as one.
+
+    Both sides meet in one aggregate with two flags a pair, so a task holds a pair once.
+    """
+    side = lambda df, wanted: df.select("source", "target", F.lit(wanted).alias("__e"), F.lit(not wanted).alias("__o"))
+    known = union_all([side(expected, True), side(observed, False)]).groupBy("source", "target").agg(
+        F.bool_or("__e").alias("__e"), F.bool_or("__o").alias("__o"))
+    return known.filter("__e <> __o").select("source", "target", F.when(F.col("__o"), "added").otherwise("removed").alias("change"))
