@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.ordered import prior
+from ..runtime import materialize
 from ..schema import union_all
 from . import variants as V
 
@@ -137,9 +138,10 @@ def body_objects(bodies: DataFrame) -> DataFrame:
     ``bodies``: exchange_id, direction, raw.
     """
     x = V.walk(bodies.select("exchange_id", "direction", V.parse("raw").alias("doc")), ["exchange_id", "direction"], F.col("doc"), indexed=True)
-    x = x.filter(V.kind(F.col("v")) == "object")
     v = F.col("v")
     t = lambda p: V.text(v, p)
+    # Every object sought has one of these names; the other nodes go before any of the costlier looks.
+    x = x.filter(F.coalesce(*[V.at(v, f"$.{name}") for name in ("messageId", "artifactId", "id", "taskId")]).isNotNull())
     has = lambda p: V.at(v, p).isNotNull() & ~F.coalesce(F.is_variant_null(V.at(v, p)), F.lit(True))
     kind_is = lambda p, k: V.kind(V.at(v, p)) == k
     obj = lambda kind, ident, task, ctx, suffix, value: F.struct(
@@ -165,7 +167,8 @@ def exchange_graph(exchanges: DataFrame, objects: DataFrame) -> tuple[DataFrame,
     """
     agent = lambda c: F.concat(F.lit("a2a-agent:"), c)
     proto = F.concat(F.lit("a2a-exchange:"), "exchange_id")
-    o = objects.dropDuplicates(["exchange_id", "direction", "kind", "object_id", "object_sha256"])
+    # Written once: nodes, edges, contexts and task chains all read it.
+    o = materialize(objects.dropDuplicates(["exchange_id", "direction", "kind", "object_id", "object_sha256"]))
     onode = F.concat(proto, F.lit(":"), "direction", F.lit(":"), "kind", F.lit(":"), "object_id", F.lit(":"), F.substring("object_sha256", 1, 8))
     ctx = F.concat(F.lit("a2a-context:"), "context_id")
     node = lambda df, ident, kind: df.select(ident.alias("node_id"), F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"))
