@@ -174,7 +174,8 @@ def replay_check(replayed: DataFrame, preserved: DataFrame, keys: list[str]) ->
 def output_digest(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Order-independent digest of a projection per source."""
     row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    return merkle_roots(rows.select(*keys, F.sha2(row, 256).alias("leaf")), keys).withColumnRenamed("root", "output_sha256")
+    # Written once: the positions of the leaves read them three times, and the projection parses documents.
+    return merkle_roots(materialize(rows.select(*keys, F.sha2(row, 256).alias("leaf"))), keys).withColumnRenamed("root", "output_sha256")
 
 
 def custody(rows: DataFrame) -> DataFrame:
