@@ -420,21 +420,21 @@ def network_exfil(events: DataFrame, approved_domains: list | None = None) -> Da
     approved = F.lit(False)
     for d in approved_domains or []:
         approved = approved | (host == d.lower()) | host.endswith("." + d.lower())
-    rows = detect(e, "network", [
-        Rule("agent_network_to_unapproved_domain", "high",
-             ~approved & F.col("source").isin("agent", "tool", "rendered_output") if approved_domains else never()),
-        Rule("dns_query_correlated_with_sensitive_source", "critical",
-             (F.col("channel") == "dns") & truthy("contains_sensitive_source_hash")),
-    ], kind="host", subject="_host", event_id="event_id")
     parts = F.split(host, r"\.")
-    labels = (e.filter(F.size(parts) >= 3)
-              .withColumn("_label", F.explode(F.slice(parts, F.lit(1), F.size(parts) - 2)))
-              .filter(F.length("_label") >= 24))
+    long = F.filter(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: F.length(x) >= 24)
+    # One pass: a host comes once without a label, for its own rules, and once for each long label.
+    e = e.withColumn("_label", F.explode(F.concat(F.array(F.lit(None).cast("string")), long)))
     lab = F.col("_label")
+    whole = lab.isNull()
     encoded = lab.rlike("^[0-9a-fA-F]{20,}$") | lab.rlike("(?i)^[A-Z2-7]{20,}$") | lab.rlike("^[A-Za-z0-9_-]{24,}$")
-    return rows.unionByName(detect(labels, "network", [
-        Rule("dns_data_like_subdomain_label", "high", encoded | (entropy(lab) >= 3.6),
-             detail=F.round(entropy(lab), 3))], kind="host", subject="_host", event_id="event_id"))
+    return detect(e, "network", [
+        Rule("agent_network_to_unapproved_domain", "high",
+             whole & ~approved & F.col("source").isin("agent", "tool", "rendered_output") if approved_domains else never()),
+        Rule("dns_query_correlated_with_sensitive_source", "critical",
+             whole & (F.col("channel") == "dns") & truthy("contains_sensitive_source_hash")),
+        Rule("dns_data_like_subdomain_label", "high", ~whole & (encoded | (entropy(lab) >= 3.6)),
+             detail=F.round(entropy(lab), 3)),
+    ], kind="host", subject="_host", event_id="event_id")
 
 
 def dns_fanout(events: DataFrame, threshold: int = 20) -> DataFrame:
