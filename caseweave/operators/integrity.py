@@ -122,19 +122,19 @@ def inclusion(claims: DataFrame, pyramid: DataFrame, keys: list[str]) -> DataFra
 
     ``claims``: keys, pos (from 0), data.  The claim's hash goes up the tree with its
     audit path, one equi join with the stored nodes per level, and must end at the
-    stored root.  A claim of a place or a log that does not exist is not included.
+    stored root.  ``pyramid`` is read once per level, so it should be a written table,
+    as ``history_pyramid`` returns it.  A claim of a place or a log that does not exist is not included.
     """
-    spark_pyramid = materialize(pyramid)
     leaf = F.sha2(F.concat(F.lit(bytearray(b"\x00")), F.col("data").cast("binary")), 256)
-    size = spark_pyramid.filter("level = 0").select(*keys, F.col("nodes").alias("__n")).distinct()
-    root = spark_pyramid.filter("nodes = 1").select(*keys, F.col("h").alias("root"))
+    size = pyramid.filter("level = 0").select(*keys, F.col("nodes").alias("__n")).distinct()
+    root = pyramid.filter("nodes = 1").select(*keys, F.col("h").alias("root"))
     at = claims.withColumn("__id", F.monotonically_increasing_id())
     at = materialize(at.join(size, keys, "left").join(root, keys, "left"))
     climb = at.select("__id", *keys, F.col("pos").alias("__pos"), leaf.alias("__h"), "__n", F.lit(0).alias("__steps")).filter(
         "__pos >= 0 AND __pos < __n")
-    highest = spark_pyramid.agg(F.max("level")).first()[0] or 0
+    highest = pyramid.agg(F.max("level")).first()[0] or 0
     for level in range(highest):
-        nodes = spark_pyramid.filter(F.col("level") == level).select(*keys, F.col("pos").alias("__sib"), F.col("h").alias("__other"))
+        nodes = pyramid.filter(F.col("level") == level).select(*keys, F.col("pos").alias("__sib"), F.col("h").alias("__other"))
         sibling = F.when(F.col("__pos") % 2 == 0, F.col("__pos") + 1).otherwise(F.col("__pos") - 1)
         both = climb.withColumn("__sib", sibling).join(nodes, [*keys, "__sib"], "left")
         up = F.when(F.col("__pos") % 2 == 0, _pair(F.col("__h"), F.col("__other"), b"\x01")).otherwise(
