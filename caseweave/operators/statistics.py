@@ -43,7 +43,8 @@ def robust_z(x: Column, median: Column, mad: Column, mean: Column, std: Column)
     """Robust z and the scale it used: MAD, else standard deviation, else degenerate."""
     sigma = F.lit(1.4826) * F.coalesce(mad, F.lit(0.0))
     by_mad, by_std = sigma > 1e-12, F.coalesce(std, F.lit(0.0)) > 1e-12
-    far = F.when(x > median, F.lit(math.inf)).otherwise(F.lit(-math.inf))
+    # Unknown stays unknown: a null gives null, NaN gives NaN.
+    far = F.signum(x - median) * F.lit(math.inf)
     z = (F.when(by_mad, (x - median) / sigma).when(by_std, (x - mean) / std)
          .when(F.abs(x - median) <= 1e-12, F.lit(0.0)).otherwise(far))
     return z, F.when(by_mad, "mad").when(by_std, "std").otherwise("degenerate")
