@@ -36,14 +36,19 @@ def prior(df: DataFrame, keys: list[str], order: list[str], specs: dict, chunk:
     (rows where the column is true).  ``chunk`` must never decrease along
     ``order``.  Sums and counts are 0 when nothing precedes.
     """
-    exprs = {}
+    exprs, source = {}, {}
     for name, (kind, column) in specs.items():
+        # A plain column is read where it is, any other value is a column of its own.
+        source[name] = column if isinstance(column, str) and column not in keys and kind != "count" else f"__v_{name}"
         column = F.col(column) if isinstance(column, str) else column
         exprs[name] = (kind, column if kind != "count" else F.when(column, F.lit(1)).otherwise(F.lit(0)))
     # One struct stands for the key: it is never null, so the join needs no null-safe comparison and reuses the
-    # partitioning and the order of the window.  The rows move once; summaries are aggregated before they move.
-    tagged = df.withColumns({_KEY: F.struct(*keys), _CHUNK: chunk, **{f"__v_{n}": c for n, (_, c) in exprs.items()}})
+    # partitioning and the order of the window.  The rows move once, their key in the struct only; summaries are
+    # aggregated before they move.
+    tagged = df.withColumns({_KEY: F.struct(*keys), _CHUNK: chunk,
+                             **{source[n]: c for n, (_, c) in exprs.items() if source[n] == f"__v_{n}"}}).drop(*keys)
 
+    order = [c for c in order if c not in keys]
     inside = (Window.partitionBy(_KEY, _CHUNK).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     carried = (Window.partitionBy(_KEY).orderBy(_CHUNK)
@@ -51,7 +56,7 @@ def prior(df: DataFrame, keys: list[str], order: list[str], specs: dict, chunk:
     position = F.struct(*order)
     per_chunk, carry, local = [], [], {}
     for name, (kind, _) in exprs.items():
-        v, s = F.col(f"__v_{name}"), f"__s_{name}"
+        v, s = F.col(source[name]), f"__s_{name}"
         if kind == "last":
             per_chunk.append(F.max_by(v, F.when(v.isNotNull(), position)).alias(s))
             carry.append(F.last(s, ignorenulls=True).over(carried).alias(f"__c_{name}"))
@@ -62,11 +67,14 @@ def prior(df: DataFrame, keys: list[str], order: list[str], specs: dict, chunk:
             carry.append(agg(s).over(carried).alias(f"__c_{name}"))
             local[name] = agg(v).over(inside)
 
-    summary = tagged.groupBy(_KEY, _CHUNK).agg(*per_chunk).select(_KEY, _CHUNK, *carry)
+    # Nothing is carried into the first chunk of a key, so only later ones meet the rows.
+    later = (F.row_number().over(Window.partitionBy(_KEY).orderBy(_CHUNK)) > 1).alias("__later")
+    summary = (tagged.groupBy(_KEY, _CHUNK).agg(*per_chunk).select(_KEY, _CHUNK, *carry, later)
+               .filter("__later").drop("__later"))
     rows = tagged.withColumns({f"__l_{n}": c for n, c in local.items()})
     joined = rows.join(summary, [_KEY, _CHUNK], "left")
 
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(_KEY)[c].alias(c) if c in keys else F.col(c) for c in df.columns]
     for name, (kind, _) in exprs.items():
         here, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
         if kind == "last":
