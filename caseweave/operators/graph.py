@@ -248,16 +248,20 @@ def shortest_paths(edges: DataFrame, order: DataFrame, seeds: DataFrame, targets
     order a breadth-first search over the event list would find.  ``order`` maps
     ``event_id`` to ``ord``; ``targets`` has ``node``.
     """
-    edges = materialize(edges.select("src", "dst").distinct()
-                        .join(order.select(F.col("event_id").alias("dst"), "ord"), "dst"))
-    start = materialize(seeds.select("seed", "node").distinct().join(
-        order.select(F.col("event_id").alias("node"), "ord"), "node").select(
-        "seed", "node", F.array(F.struct("ord", F.col("node").alias("id"))).alias("path")))
+    # Events are numbered in input order, so a path is a list of whole numbers that compares as its events do;
+    # ids come back only for the paths that are results.
+    numbers = materialize(order.groupBy("event_id").agg(F.min("ord").alias("ord")).repartitionByRange("ord", "event_id")
+                          .sortWithinPartitions("ord", "event_id").select("event_id", F.monotonically_increasing_id().alias("n")))
+    number = lambda name: numbers.select(F.col("event_id").alias(name), F.col("n").alias(f"{name}_n"))
+    edges = materialize(edges.select("src", "dst").distinct().join(number("src"), "src").join(number("dst"), "dst")
+                        .select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")))
+    start = materialize(seeds.select("seed", "node").distinct().join(number("node"), "node")
+                        .select("seed", F.col("node_n").alias("node"), F.array("node_n").alias("path")))
     found, frontier = [start], start
     while True:
         step = (frontier.join(edges, F.col("node") == F.col("src"))
                 .select("seed", F.col("dst").alias("node"),
-                        F.concat("path", F.array(F.struct("ord", F.col("dst").alias("id")))).alias("path"))
+                        F.concat("path", F.array("dst")).alias("path"))
                 .join(union_all(found).select("seed", "node"), ["seed", "node"], "left_anti")
                 .groupBy("seed", "node").agg(F.min("path").alias("path")))
         step = materialize(step)
@@ -266,8 +270,11 @@ def shortest_paths(edges: DataFrame, order: DataFrame, seeds: DataFrame, targets
         found.append(step)
         frontier = step
     hits = union_all(found[1:]) if len(found) > 1 else start.limit(0)
-    return hits.join(targets.select("node").distinct(), "node", "left_semi").select(
-        "seed", "node", F.transform("path", lambda x: x["id"]).alias("path"))
+    hits = hits.join(targets.join(number("node"), "node").select(F.col("node_n").alias("node")).distinct(), "node", "left_semi")
+    steps = hits.select("seed", "node", F.posexplode("path").alias("at", "n")).join(numbers, "n")
+    named = steps.groupBy("seed", "node").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("path"))
+    path = F.transform("path", lambda x: x["event_id"])
+    return named.select("seed", F.element_at(path, -1).alias("node"), path.alias("path"))
 
 
 def claim_support(edges: DataFrame, claims: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import authority as A
 from ..operators import graph as G
+from ..runtime import materialize
 from .domains import AGENTIC_SQL, agentic_events
 from .registry import query, table
 
@@ -131,7 +132,8 @@ ranked AS (SELECT seed, node, path, row_number() OVER (PARTITION BY seed, node O
            FROM walk JOIN ae ON ae.event_id = node WHERE event_type = 'consequence' AND node <> seed)
 SELECT seed, node, array_to_string(path, '>') AS path FROM ranked WHERE rn = 1""")
 def r4(spark, sf):
-    e = agentic_events(spark, sf)
+    # Read as edges, order, seeds and targets: written once.
+    e = materialize(agentic_events(spark, sf).select("event_id", "ord", "event_type", "untrusted", "parent_event_id", "cause_event_ids"))
     targets = e.filter("event_type = 'consequence'").select(F.col("event_id").alias("node"))
     paths = G.shortest_paths(G.causal_edges(e), e.select("event_id", "ord"), seeds(e), targets)
     return paths.select("seed", "node", F.array_join("path", ">").alias("path"))
