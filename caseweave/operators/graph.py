@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, materialize_counted
+from ..runtime import broadcast_if_small, materialize, materialize_counted
 from ..schema import union_all
 
 # Typed-edge vocabulary, its causal part, and the metadata reference fields.
@@ -270,9 +270,13 @@ def shortest_paths(edges: DataFrame, order: DataFrame, seeds: DataFrame, targets
         found.append(step)
         frontier = step
     hits = union_all(found[1:]) if len(found) > 1 else start.limit(0)
-    hits = hits.join(targets.join(number("node"), "node").select(F.col("node_n").alias("node")).distinct(), "node", "left_semi")
-    steps = hits.select("seed", "node", F.posexplode("path").alias("at", "n")).join(numbers, "n")
-    named = steps.groupBy("seed", "node").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("path"))
+    # Written, so that the few paths do not decide how many tasks sort all events.
+    ends = materialize(targets.join(number("node"), "node").select(F.col("node_n").alias("node")).distinct())
+    hits = hits.join(ends, "node", "left_semi")
+    # The events on results are few beside all events, which therefore do not move to meet them.
+    steps = materialize(hits.select("seed", "node", F.posexplode("path").alias("at", "n")))
+    used = numbers.join(broadcast_if_small(steps.select("n").distinct()), "n", "left_semi")
+    named = steps.join(used, "n").groupBy("seed", "node").agg(F.array_sort(F.collect_list(F.struct("at", "event_id"))).alias("path"))
     path = F.transform("path", lambda x: x["event_id"])
     return named.select("seed", F.element_at(path, -1).alias("node"), path.alias("path"))
 
