@@ -172,6 +172,18 @@ def tensor_delta(reference: DataFrame, suspect: DataFrame, tolerance: float = 1e
                     (F.col("ch") / F.col("numel")).alias("changed_fraction"))
 
 
+def exact_mean(column: str, digits: int) -> Column:
+    """Mean of decimal fractions, rounded half up, the same in whatever order rows come.
+
+    A sum of doubles keeps a trace of their order, which decides where the mean
+    lies halfway between two results.  Values that are no such fractions (not
+    finite, 10^10 or more) are averaged as doubles.
+    """
+    exact = F.col(column).try_cast("decimal(28,18)")
+    mean = F.when(F.count(exact) == F.count(column), F.round(F.try_avg(exact), digits).cast("double"))
+    return F.coalesce(mean, F.round(F.avg(column), digits))
+
+
 def largest_transitions(depths: DataFrame, keys: list[str]) -> DataFrame:
     """Largest jump between adjacent depths, worst cosine and largest relative L2 per key.
 

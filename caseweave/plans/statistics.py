@@ -198,7 +198,7 @@ SELECT l_suppkey, arg_max(from_depth, (j, -depth)) FILTER (j IS NOT NULL) AS fro
  arg_min(depth, (cosine, depth)) AS worst_cosine_depth, arg_max(depth, (relative_l2, depth)) AS max_relative_l2_depth FROM w GROUP BY 1""")
 def g39(spark, sf):
     d = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("int").alias("depth")).agg(
-        F.round(F.avg("l_discount"), 6).alias("cosine"), F.round(F.avg("l_tax"), 6).alias("relative_l2"))
+        S.exact_mean("l_discount", 6).alias("cosine"), S.exact_mean("l_tax", 6).alias("relative_l2"))
     return S.largest_transitions(d, ["l_suppkey"])
 
 
