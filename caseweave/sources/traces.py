@@ -41,17 +41,22 @@ def any_value(v: Column) -> Column:
     return F.coalesce(scalar, nested, plain)
 
 
-def attributes(v: Column) -> tuple[Column, Column]:
-    """Attribute map of a span or log (array of key/value or object), and whether a key repeats."""
-    pairs = V.items(v)
-    entries = F.transform(pairs, lambda p: F.named_struct(
+def attributes(v: Column) -> Column:
+    """Struct (map, repeated): attributes of a span or log (array of key/value or object), and whether a key repeats."""
+    # Arrays of one element name what lambdas would otherwise work out at every use.
+    entries = F.transform(V.items(v), lambda p: F.named_struct(
         F.lit("key"), V.at(p, "$.key", "string"), F.lit("value"), any_value(V.at(p, "$.value"))))
-    keys = F.transform(entries, lambda e: e["key"])
-    repeated = (F.size(keys) != F.size(F.array_distinct(keys))) | F.exists(keys, lambda k: k.isNull())
-    as_object = F.transform_values(V.fields(v), lambda k, x: any_value(x))
     empty = F.create_map().cast("map<string,string>")
-    return (F.when(V.kind(v) == "object", as_object).when(repeated, empty).otherwise(F.map_from_entries(entries)),
-            F.coalesce(repeated, F.lit(False)))
+
+    def checked(e: Column) -> Column:
+        keys = F.transform(e, lambda x: x["key"])
+        repeated = (F.size(keys) != F.size(F.array_distinct(keys))) | F.exists(keys, lambda k: k.isNull())
+        return F.transform(F.array(repeated), lambda twice: F.named_struct(
+            F.lit("map"), F.when(twice, empty).otherwise(F.map_from_entries(e)), F.lit("repeated"), twice))[0]
+
+    listed = F.transform(F.array(entries), checked)[0]
+    as_object = F.transform_values(V.fields(v), lambda k, x: any_value(x))
+    return F.coalesce(F.when(as_object.isNotNull(), F.named_struct(F.lit("map"), as_object, F.lit("repeated"), F.lit(False))), listed)
 
 
 def trace_envelopes(docs: DataFrame) -> DataFrame:
@@ -63,7 +68,7 @@ def trace_envelopes(docs: DataFrame) -> DataFrame:
     doc = F.col("doc")
     d = docs.withColumn("doc", V.parse("raw"))
     r = d.select("source_id", F.posexplode(V.items(doc, "$.resourceSpans")).alias("resource_index", "resource_group"))
-    s = r.select("source_id", "resource_index", attributes(V.at(F.col("resource_group"), "$.resource.attributes"))[0].alias("resource_attributes"),
+    s = r.select("source_id", "resource_index", attributes(V.at(F.col("resource_group"), "$.resource.attributes"))["map"].alias("resource_attributes"),
                  F.posexplode(V.items(F.col("resource_group"), "$.scopeSpans")).alias("scope_index", "scope_group"))
     p = s.select("source_id", "resource_index", "resource_attributes", "scope_index", V.text(F.col("scope_group"), "$.scope.name").alias("scope_name"),
                  V.text(F.col("scope_group"), "$.scope.version").alias("scope_version"),
@@ -71,17 +76,23 @@ def trace_envelopes(docs: DataFrame) -> DataFrame:
     return _span_columns(p)
 
 
+def _spelled(v: Column, *names: str) -> Column:
+    """The first member of these names that is a text and not empty."""
+    return F.get(F.filter(F.array(*[V.text(v, f"$.{k}") for k in names]), lambda x: x != ""), F.lit(0))
+
+
 def _span_columns(p: DataFrame) -> DataFrame:
     v = F.col("span")
-    attrs, repeated = attributes(V.at(v, "$.attributes"))
-    pick = lambda a, b: F.coalesce(*[F.when(V.text(v, f"$.{k}") != "", V.text(v, f"$.{k}")) for k in (a, b)])
-    trace, span, parent = pick("traceId", "trace_id"), pick("spanId", "span_id"), pick("parentSpanId", "parent_span_id")
+    # Columns of their own, so that what depends on them does not work them out again.
+    named = p.withColumns({"__a": attributes(V.at(v, "$.attributes")), "__trace": _spelled(v, "traceId", "trace_id"),
+                           "__span": _spelled(v, "spanId", "span_id"), "__parent": _spelled(v, "parentSpanId", "parent_span_id")})
+    repeated, trace, span, parent = F.col("__a.repeated"), F.col("__trace"), F.col("__span"), F.col("__parent")
     hexed = lambda x, n: x.isNull() | x.rlike(f"^[0-9a-fA-F]{{{n}}}$")
     reject = F.coalesce(F.when(repeated, "duplicate_attribute_key"), F.when(~hexed(trace, 32), "invalid_trace_id"),
                         F.when(~hexed(span, 16) | ~hexed(parent, 16), "invalid_span_id"))
     keys = F.lit(GENAI_KEYS)
     start = V.at(v, "$.startTimeUnixNano", "string")
-    return p.withColumn("attrs", attrs).select(
+    return named.withColumn("attrs", F.col("__a.map")).select(
         *[c for c in p.columns if c != "span"], trace.alias("trace_id"), span.alias("span_id"), parent.alias("parent_span_id"),
         V.text(v, "$.name").alias("span_name"), start.alias("start_unix_nano"),
         F.timestamp_micros(F.floor(start.try_cast("decimal(20,0)") / 1000).cast("bigint")).alias("ts"),
@@ -134,13 +145,11 @@ def log_envelopes(docs: DataFrame) -> DataFrame:
     s = r.select("source_id", "resource_index", F.posexplode(V.items(F.col("g"), "$.scopeLogs")).alias("scope_index", "sg"))
     p = s.select("source_id", "resource_index", "scope_index", F.posexplode(V.items(F.col("sg"), "$.logRecords")).alias("log_index", "log"))
     v = F.col("log")
-    attrs, repeated = attributes(V.at(v, "$.attributes"))
-    pick = lambda a, b: F.coalesce(*[F.when(V.text(v, f"$.{k}") != "", V.text(v, f"$.{k}")) for k in (a, b)])
-    return p.select(
-        "source_id", "resource_index", "scope_index", "log_index", pick("traceId", "trace_id").alias("trace_id"), pick("spanId", "span_id").alias("span_id"),
+    return p.withColumn("__a", attributes(V.at(v, "$.attributes"))).select(
+        "source_id", "resource_index", "scope_index", "log_index", _spelled(v, "traceId", "trace_id").alias("trace_id"), _spelled(v, "spanId", "span_id").alias("span_id"),
         V.at(v, "$.timeUnixNano", "string").alias("time_unix_nano"), V.at(v, "$.severityNumber", "int").alias("severity_number"),
-        V.text(v, "$.severityText").alias("severity_text"), any_value(V.at(v, "$.body")).alias("body"), attrs.alias("attrs"),
-        F.sha2(F.to_json(v), 256).alias("log_sha256"), F.when(repeated, "duplicate_attribute_key").alias("reject"))
+        V.text(v, "$.severityText").alias("severity_text"), any_value(V.at(v, "$.body")).alias("body"), F.col("__a.map").alias("attrs"),
+        F.sha2(F.to_json(v), 256).alias("log_sha256"), F.when(F.col("__a.repeated"), "duplicate_attribute_key").alias("reject"))
 
 
 def log_diagnostics(logs: DataFrame) -> DataFrame:
