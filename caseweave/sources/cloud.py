@@ -305,9 +305,11 @@ def result_cells(docs: DataFrame, lossless: bool = False) -> DataFrame:
     number = F.when(jk == "number", F.coalesce(F.get("tokens", F.col("cpos")), txt)).when(F.lit(lossless) & (jk == "string"), s)
     is_num = number.rlike(JSON_NUMBER)
     integer = number.rlike(r"^-?(?:0|[1-9]\d*)$")
-    in_int = integer & F.coalesce((number.try_cast("int")).isNotNull(), F.lit(False))
-    in_long = integer & F.coalesce((number.try_cast("bigint")).isNotNull(), F.lit(False))
-    real = number.try_cast("double")
+    # A cast that fails costs an exception, so text is cast only where it can be what the column says.
+    whole = F.when(integer & (F.length(number) <= 20), number.try_cast("bigint"))
+    in_long = whole.isNotNull()
+    in_int = in_long & whole.between(-2 ** 31, 2 ** 31 - 1)
+    real = F.when((kind == "real") & is_num, number.try_cast("double"))
     nonzero = F.regexp_replace(number, "[eE].*$", "").rlike("[1-9]")
     real_ok = is_num & real.isNotNull() & ~F.isnan(real) & (F.abs(real) < float("inf")) & ~((real == 0) & nonzero)
     valid = (F.when(kind == "bool", jk == "boolean").when(kind == "int", in_int).when(kind == "long", in_long).when(kind == "real", real_ok)
@@ -322,7 +324,7 @@ def result_cells(docs: DataFrame, lossless: bool = False) -> DataFrame:
         F.col("z.columns.name").alias("column_name"), kind.alias("type"), "row_sha256", "binding_sha256",
         F.when(null, "null").otherwise("present").alias("state"), jk.alias("json_kind"), F.sha2(F.coalesce(txt, F.lit("null")), 256).alias("sha256"),
         F.when((kind == "bool") & (jk == "boolean"), V.at(x, "$", "boolean")).alias("v_bool"),
-        F.when(((kind == "int") & in_int) | ((kind == "long") & in_long), number.try_cast("bigint")).alias("v_long"),
+        F.when(((kind == "int") & in_int) | ((kind == "long") & in_long), whole).alias("v_long"),
         F.when((kind == "real") & real_ok, real).alias("v_double"),
         F.when(kind.isin("int", "long", "real", "decimal") & is_num, number).alias("numeric_text"),
         F.when(kind == "datetime", s).alias("datetime_text"), reject.alias("reject"))
@@ -335,7 +337,8 @@ def decimal_in_range(number: Column) -> Column:
     zeros are dropped, and the coefficient may be scaled up by at most 10^28.
     """
     mantissa = F.regexp_replace(F.regexp_replace(number, "[eE].*$", ""), "^-", "")
-    power = F.coalesce(F.regexp_extract(number, "[eE]([+-]?\\d+)$", 1).try_cast("int"), F.lit(0))
+    # A cast that fails costs an exception: only a number with an exponent is cast.
+    power = F.when(number.rlike("[eE]"), F.coalesce(F.regexp_extract(number, "[eE]([+-]?\\d+)$", 1).try_cast("int"), F.lit(0))).otherwise(0)
     fraction = F.length(F.regexp_extract(mantissa, "\\.(\\d+)$", 1))
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^0+", "")
     kept = F.regexp_replace(digits, "0+$", "")
