@@ -1,6 +1,8 @@
 """Operators that read their input once."""
 
+from caseweave import runtime
 from caseweave.operators import detectors as D
+from caseweave.operators import graph as G
 from caseweave.plans import load_all
 from caseweave.plans.registry import QUERIES
 from caseweave.sources import traces as TR
@@ -33,3 +35,11 @@ def test_attribute_lists_and_objects(spark):
     both, twice = ({"a": "x", "n": "5"}, None), ({}, "duplicate_attribute_key")
     assert got == {0: both, 1: both, 2: ({}, None), 3: ({}, None), 4: ({}, None), 5: twice, 6: twice}
     assert {r["trace_id"] for r in spans.collect()} == {"A" * 32}
+
+
+def test_cycles_stop_once_no_chain_ends(spark):
+    rows = [(1, f"{i}", f"{i ^ 1}") for i in range(200)] + [(2, "x", "y"), (2, "y", None), (2, "z", "x")]
+    written = len(runtime._WRITTEN)
+    found = G.parent_cycles(spark.createDataFrame(rows, "trace int, node string, parent string"))
+    assert len(runtime._WRITTEN) - written <= 4
+    assert {(r["trace"], r["node"]) for r in found.collect()} == {(1, f"{i}") for i in range(200)}
