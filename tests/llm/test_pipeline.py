@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entrypoint
 import corpus_pipeline as pipeline
+from caseweave.llm import minhash, simhash
 
 from tests.llm.conftest import make, prose, SCHEMA
 
@@ -145,3 +146,20 @@ def test_rows_are_judged_by_id_and_text(spark, corpus):
     assert once.text in (extra, extra + " end")
     assert sorted(str((r.doc_id, (r.text or "")[:40])) for r in got) == \
         sorted(str((i, (t or "")[:40])) for i, t, _ in (rows[0], rows[2], rows[3], rows[6], rows[7], (None, once.text, "")))
+
+
+def test_simhash_links_are_candidates(spark, corpus, monkeypatch):
+    """Without bands, SimHash finds the copies within 4 bits; near fingerprints of unlike texts are no copies."""
+    folder, _ = corpus
+    rng = random.Random(18)
+    good = [prose(rng, 400) for _ in range(12)]
+    rows = [(i, t, "s0") for i, t in enumerate(good)] + [(100 + i, edited(rng, t, 1), "s1") for i, t in enumerate(good)]
+    loud = prose(rng, 9)  # an odd number of shingles, so no bit is halfway
+    rows += [(200 + k, " ".join([loud] * 300 + [prose(rng, 30)]), "s2") for k in range(2)]
+    fps = [simhash.fingerprint(t.lower().encode(), 5) for _, t, _ in rows]
+    near = {100 + i for i in range(12) if (fps[i] ^ fps[12 + i]).bit_count() <= 4}
+    assert near and (fps[24] ^ fps[25]).bit_count() <= 4 and jaccard(rows[24][1], rows[25][1]) < 0.8
+    docs = spark.createDataFrame(make(rows), SCHEMA).repartition(2)
+    monkeypatch.setattr(minhash, "_candidates", lambda nodes: spark.createDataFrame([], "g long, u long, v long"))
+    got = {r.doc_id for r in pipeline.one_per_group(spark, docs, folder).collect()}
+    assert got == {i for i, _, _ in rows} - near
