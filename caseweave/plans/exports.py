@@ -26,13 +26,13 @@ def lake(spark, sf):
 SELECT 'json' AS fmt, analyzer, type, severity, s AS subject_id, e AS event_id FROM x UNION ALL SELECT 'csv', analyzer, type, severity, s, e FROM x
 UNION ALL SELECT 'markdown', analyzer, type, severity, s, e FROM x""")
 def files(spark, sf):
-    """The findings written in each format and read back; a missing cell is an empty one."""
+    """The findings written in each format, compressed, and read back; a missing cell is an empty one."""
     columns = ["analyzer", "type", "severity", "subject_id", "event_id"]
     f = materialize(all_findings(spark, sf).select(*columns))
     back = []
     for fmt in ("json", "csv", "markdown"):
         path = f"{checkpoint_dir(spark)}/findings-{fmt}-{uuid.uuid4().hex}"
-        K.write_findings(f, path, fmt)
+        K.write_findings(f, path, fmt, codec="gzip")
         if fmt == "markdown":
             inner = F.substring(F.col("value"), F.lit(3), F.length("value") - 4)
             cells = F.split(F.replace(inner, F.lit("\\|"), F.lit("\x01")), r" \| ", -1)

@@ -122,16 +122,20 @@ def write_lake(findings: DataFrame, path: str, per_file_rows: int = 1_000_000) -
      .partitionBy("tenant_id", "analyzer").parquet(path))
 
 
-def write_findings(findings: DataFrame, path: str, fmt: str = "json") -> None:
-    """JSON lines, CSV, parquet, or a Markdown table as text parts, each with the table's head."""
+def write_findings(findings: DataFrame, path: str, fmt: str = "json", codec: str | None = None) -> None:
+    """JSON lines, CSV, parquet, or a Markdown table as text parts, each with the table's head.
+
+    ``codec`` compresses the parts other than the session's default does.
+    """
+    packed = {"compression": codec} if codec else {}
     if fmt == "markdown":
         cell = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
         line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in findings.columns]), F.lit(" |"))
         head = f"| {' | '.join(findings.columns)} |\n{'|---' * len(findings.columns)}|"
         # A part starts with the head: the first row of each partition carries it.
         first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-        findings.select(F.when(first, F.concat(F.lit(head + "\n"), line)).otherwise(line).alias("value")).write.mode("overwrite").text(path)
+        findings.select(F.when(first, F.concat(F.lit(head + "\n"), line)).otherwise(line).alias("value")).write.mode("overwrite").options(**packed).text(path)
     elif fmt == "csv":
-        findings.write.mode("overwrite").option("header", True).csv(path)
+        findings.write.mode("overwrite").options(**packed).option("header", True).csv(path)
     else:
-        findings.write.mode("overwrite").format(fmt).save(path)
+        findings.write.mode("overwrite").options(**packed).format(fmt).save(path)
